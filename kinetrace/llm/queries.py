@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_media_columns
+from .packing import op4_pattern_packing
 from .store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_token_store": op3_token_store,
+    "op4_pattern_packing": op4_pattern_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
