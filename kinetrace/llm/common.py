@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Words are maximal runs of characters other than these (as Java regex and as translate() argument).
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches: documents may be long, so a batch holds few of them."""
+    """Ship the package and bound the Arrow batches: documents may be long, so a batch holds few of them."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
