@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_media_columns
 from .packing import op4_pattern_packing
+from .quality import SQL as QUALITY_SQL
+from .quality import op2_quality_rules
 from .store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_quality_rules": op2_quality_rules,
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
