@@ -8,29 +8,30 @@ from array import array
 
 import numpy as np
 
-#: White space other than blank and line feed: texts with it are encoded as a whole.
-_ODD_SPACE = re.compile(rb"[\x09\x0b-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_ODD_ASCII = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_ODD_FIRST = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
-_SPACED = re.compile(rb"[ \n]*[^ \n]+|[ \n]+\Z")
-_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The pre-tokenizers' patterns over UTF-8 bytes, right for texts whose letters are ASCII or U+00C0 to U+00FF.
+_KEEPS_SPACE = re.compile(rb"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
+_DROPS_SPACE = re.compile(rb"'(?:[stmd]|re|ve|ll)|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: Bytes that a text of such letters may hold: ASCII, and what encodes U+00C0 to U+00FF.
+_SIMPLE = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
+#: Byte-level vocabularies write a byte as the character of its number where that is visible, the others as U+0100 and on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _LOADED: dict[str, CachedEncoder] = {}
 
 
 class CachedEncoder:
     """Encodes texts to unsigned ids, equal to tokenizer.encode(text, add_special_tokens=False).
 
-    drops_space: the vocabulary's normaliser drops white space, so words are independent of each other. Else a token may begin with white space but never goes on across the end of a word, so the units are a word with the white space before it. Texts that name a special token, or (unless drops_space) have unusual white space, are encoded whole. The cache of units is bounded: over max_units it starts anew.
+    A text of simple letters is cut by the pre-tokenizer's own pattern, and each distinct piece goes through the tokenizer once per cache. Any other text is encoded whole, as is one that names a special token. drops_space: the vocabulary's normaliser drops white space and lower-cases. The cache is bounded: over max_units pieces it starts anew.
     """
 
-    def __init__(self, path: str, drops_space: bool, max_units: int = 1_200_000) -> None:
+    def __init__(self, path: str, drops_space: bool, max_units: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space, self.max_units = drops_space, max_units
-        self.cache: dict[bytes, bytes] = {}  # ids by key
-        self.known: dict[bytes, bytes] = {}  # ids by piece of a unit
+        self.cache: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
@@ -38,62 +39,33 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _units(self, text: bytes) -> list[bytes] | None:
-        """Keys of the text's units; None if it must be encoded whole.
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of pieces that the pre-tokenizer's pattern would not cut: the library's BPE model takes them as they are."""
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        for p in pieces:
+            text = p.decode().lower().encode() if self.drops_space else p
+            self.cache[p] = array(code, [t.id for t in tokenize(text.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
-        Where white space is kept, a key is a word that follows one blank, or a line feed and a word, or a carriage return and the word at the very start, or (for texts with longer white space) a tab and the unit as it is.
-        """
+    def _pieces(self, text: bytes) -> list[bytes] | None:
+        """None: encode it whole."""
         if b"<|" in text:
             return None
-        if self.drops_space:
-            return text.split()
-        if len(text.translate(None, _ODD_ASCII)) < len(text) or not text.isascii() and any(x in text for x in _ODD_FIRST) and _ODD_SPACE.search(text):
-            return None
-        if any(x in text for x in (b"  ", b"\n\n", b"\n ", b" \n")) or text[:1] in b" \n" or text[-1:] in b" \n":
-            return [b"\t" + x for x in _SPACED.findall(text)]
-        return (b"\r" + text.replace(b"\n", b" \n")).split(b" ")
-
-    def _unit(self, key: bytes) -> bytes:
-        if self.drops_space or key[:1] == b"\n":
-            return key
-        return key[1:] if key[0] in b"\t\r" else b" " + key
-
-    def _stem(self, unit: bytes) -> bytes:
-        """The unit without ASCII punctuation at its end, where a token must end before that; else the unit itself."""
-        stem = unit.rstrip(_PUNCTUATION)
-        if len(stem) == len(unit):
-            pass
-        elif b"'" in unit or not stem:
-            stem = unit
-        elif stem[-1] < 128:
-            stem = stem if stem[-1:].isalnum() else unit
-        elif not stem.decode()[-1].isalpha():
-            stem = unit
-        return stem.lower() if self.drops_space and stem.isascii() else stem
-
-    def _learn(self, keys: list[bytes]) -> None:
-        known, units = self.known, list(map(self._unit, keys))
-        stems = list(map(self._stem, units))
-        ends = [u[len(s) :] for u, s in zip(units, stems, strict=True)]
-        new = [x for x in {*stems, *ends} if x and x not in known]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            known.update(zip(part, self._ids(part), strict=True))
-        known[b""] = b""
-        self.cache.update((k, known[s] + known[e]) for k, s, e in zip(keys, stems, ends, strict=True))
+        if text.isascii() or not text.translate(None, _SIMPLE) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text:  # the signs of multiplication and division are no letters
+            return _DROPS_SPACE.findall(text.lower()) if self.drops_space else _KEEPS_SPACE.findall(text)
+        return None
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        units = list(map(self._units, texts))
-        whole = [i for i, u in enumerate(units) if u is None]
-        if len(self.cache) + len(self.known) > self.max_units:
-            self.cache, self.known = {}, {}
-        cache = self.cache
-        self._learn([u for u in set().union(*filter(None, units)) if u not in cache])
+        """Equal texts of a call are encoded once."""
+        if len(self.cache) > self.max_units:
+            self.cache = {}
+        distinct, cache = {t: None for t in texts}, self.cache
+        cut = {t: self._pieces(t) for t in distinct}
+        new = [p for p in set().union(*filter(None, cut.values())) if p not in cache]
+        self._learn(new)
         get = cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, u or ())), self.dtype) for u in units]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = np.frombuffer(ids, self.dtype)
-        return out
+        for t, pieces in cut.items():
+            distinct[t] = np.frombuffer(b"".join(map(get, pieces)) if pieces is not None else self._ids([t])[0], self.dtype)
+        return [distinct[t] for t in texts]
 
 
 def encoder(path: str, drops_space: bool) -> CachedEncoder:

@@ -29,23 +29,23 @@ MEAN, LEAST, MOST = 256, 64, 1024
 END = 2
 
 
-def cut_points(ids: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks. An id ends a chunk where the rolling hash of the last 16 ids has log2(mean) zero bits, at `least` ids at least and `most` at most; the stream's end ends one too."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+def chunk_marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Ends that the rolling hash allows: where that of the last 16 ids is 0 modulo `mean`. Streams may stand one after another, as no chunk is shorter than the window."""
     g = mix64(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):
-        h[k:] += g[: n - k] << np.uint64(k)
-    h = mix64(h)
-    marks, out, at = np.flatnonzero(h % np.uint64(mean) == 0) + 1, [], 0
-    while n - at > least:
+    h = g.copy()
+    for k in range(1, min(WINDOW, len(ids))):
+        h[k:] += g[: len(g) - k] << np.uint64(k)
+    return np.flatnonzero(mix64(h) % np.uint64(mean) == 0) + 1
+
+
+def cut_points(marks: np.ndarray, start: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of the stream from start to end: the next mark `least` ids on at least and `most` at most; the stream's end ends one too."""
+    out, at = [], start
+    while end - at > least:
         k = np.searchsorted(marks, at + least)
-        end = int(marks[k]) if k < len(marks) else n
-        at = min(end, at + most, n)
+        at = min(int(marks[k]) if k < len(marks) else end, at + most, end)
         out.append(at)
-    return out if at == n else [*out, n]
+    return out if at == end else [*out, end]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -73,19 +73,23 @@ def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, seen = [], set()
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(text_bytes(batch.column("text"))), strict=True):
-            ids = ids if end is None else np.append(ids, np.array(end, ids.dtype))
-            keys, rest, at = [], [], 0
-            for to in cut_points(ids):
-                part = ids[at:to].tobytes()
+        streams = encode(text_bytes(batch.column("text")))
+        tail = np.array([] if end is None else [end], streams[0].dtype)
+        joined = np.concatenate([x for s in streams for x in (s, tail)])
+        marks, data, size, to = chunk_marks(joined), joined.tobytes(), joined.itemsize, 0
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), streams, strict=True):
+            keys, rest, at, last = [], [], to, to + len(ids) + len(tail)
+            first = at
+            for to in cut_points(marks, at, last):
+                part = data[at * size : to * size]
                 key = hashlib.sha256(part).digest()
                 if key not in seen:
                     seen.add(key)
                     rows.append((False, key, None, to - at, part, None, None))
                 keys.append(key)
-                rest.append(len(ids) - to)
+                rest.append(last - to)
                 at = to
-            rows.append((True, hashlib.sha256(b"%d" % (doc_id or 0)).digest(), doc_id, len(ids), None, keys, rest))
+            rows.append((True, hashlib.sha256(b"%d" % (doc_id or 0)).digest(), doc_id, last - first, None, keys, rest))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["recipe", "key", "doc_id", "n", "ids", "keys", "rest"])
