@@ -63,7 +63,7 @@ VECTOR = {
 }
 #: Standard deviations, in thousandths, that every estimate is given at least: most texts have no symbol or repeat at all, and their spread would be 0.
 FLOOR = (150.0, 50.0, 150.0, 120.0)
-SHARE, STEPS, LEAST_ROWS, BINS = 0.75, 5, 40, 400
+SHARE, STEPS, LEAST_ROWS, BINS, SALTS = 0.75, 5, 40, 400, 16
 #: Squared distance beyond which a document is rejected: the 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.512742444991076
 #: Share / P(chi-square(6) <= its 0.75 quantile with 4 degrees of freedom): makes the covariance of the inner 75 % that of the whole.
@@ -84,7 +84,8 @@ def with_groups(rows: DataFrame) -> DataFrame:
         "lang_key", "source_key",
         F.when(F.col("count") >= LEAST_ROWS, F.concat_ws("\u0001", F.lit("s"), "lang_key", "source_key")).when(F.col("rest") >= LEAST_ROWS, F.concat_ws("\u0001", F.lit("l"), "lang_key")).otherwise("r").alias("g"),
     )
-    return rows.join(named, ["lang_key", "source_key"])
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("doc_id", "word_chars"), F.lit(SALTS))).join(named, ["lang_key", "source_key", "salt"])
 
 
 def estimates(sums: DataFrame, factor: float) -> DataFrame:
@@ -101,7 +102,8 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
 
 def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the group's estimate, by forward substitution."""
-    out = rows.join(params, "g")
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group may hold a third of all rows
+    out = rows.join(salted, ["g", "salt"])
     for i in range(1, 5):
         rest = F.col(f"z{i}") - F.col(f"m{i}")
         for k in range(1, i):
