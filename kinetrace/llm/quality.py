@@ -62,7 +62,7 @@ VECTOR = {
     "z4": "sqrt(n_repeat_words / (n_words + 20))",
 }
 #: Standard deviations, in thousandths, that every estimate is given at least: most texts have no symbol or repeat at all, and their spread would be 0.
-FLOOR = (150.0, 50.0, 150.0, 120.0)
+FLOOR = (250.0, 50.0, 150.0, 120.0)
 SHARE, STEPS, LEAST_ROWS, BINS, SALTS = 0.75, 5, 40, 400, 16
 #: Squared distance beyond which a document is rejected: the 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.512742444991076
