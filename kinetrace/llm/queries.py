@@ -11,11 +11,13 @@ from .packing import op4_pattern_packing
 from .quality import SQL as QUALITY_SQL
 from .quality import op2_quality_rules
 from .store import op3_token_store
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
