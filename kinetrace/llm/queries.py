@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op10_language_id
 from .media import op1_media_columns
+from .nbsvm import op9_quality_classifier
 from .packing import op4_pattern_packing
 from .quality import SQL as QUALITY_SQL
 from .quality import op2_quality_rules
@@ -19,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
