@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op10_language_id
 from .media import op1_media_columns
+from .mixing import SQL as MIXING_SQL
+from .mixing import op6_mixing
 from .nbsvm import op9_quality_classifier
 from .packing import op4_pattern_packing
 from .quality import SQL as QUALITY_SQL
@@ -20,8 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
+    "op6_mixing": op6_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op6_mixing": MIXING_SQL}
