@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op7_ngram_jaccard
 from .langid import op10_language_id
 from .media import op1_media_columns
 from .mixing import SQL as MIXING_SQL
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_mixing": op6_mixing,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
