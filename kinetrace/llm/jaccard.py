@@ -5,7 +5,7 @@ A document is the set of its distinct five-word shingles (A-Z lower-cased; a sho
 1. One pass hashes the texts: set size, set digest, and the sketch (of fixed size).
 2. Documents with equal sets become one. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there.
 3. Each listed document is compared with the best first document of its lists, and components are formed of the links found.
-4. All pairs of one list that are in different components and not yet compared are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
+4. All pairs of one list that are in different components, not yet compared, and not ruled out by their signatures (counts of shingles in 128 buckets) are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
 
 Where two texts meet, the prefixes under the other orders must intersect too, before the sets themselves are intersected.
 
@@ -26,7 +26,7 @@ from .common import documents, gram_hashes, map_arrow, materialize, mix64, parti
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
-CELL_BITS, BLOCK_BITS = 20, 16
+CELL_BITS, BLOCK_BITS, BUCKETS = 20, 16, 128
 _SEEDS = [np.uint64(0x9AE16A3B2F90404F * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 
 
@@ -58,33 +58,54 @@ def may_link(n: int, m: int) -> bool:
     return 100 * min(n, m) >= PERCENT * max(n, m)
 
 
+def signature(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of 128 buckets, 255 at most."""
+    return np.minimum(np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose signatures don't rule a link out: sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets."""
+    known = sets.where("sig is not null").select("doc_id", "n", "sig")
+    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+    names = pairs.columns
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sig_a", "sig_b"))
+        total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        keep = np.abs(x - y).sum(1, dtype=np.int64) * (100 + PERCENT) <= (100 - PERCENT) * total
+        yield batch.select(names).filter(pa.array(keep))
+
+    return map_arrow(both, run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct()
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, fp) of every document, fp null for an empty set, and rows (block, counts) of each task's part of the sketch."""
-    schema = "sketch boolean, doc_id long, n long, fp binary, block int, counts binary"
+    schema = "sketch boolean, doc_id long, n long, fp binary, sig binary, block int, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            ns, fps, all_cells = [], [], []
+            ns, fps, sigs, all_cells = [], [], [], []
             for text in text_bytes(batch.column("text")):
                 s = shingles(text)
                 ns.append(len(s))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sigs.append(signature(s) if len(s) else None)
                 all_cells.append(cells(s))
             counts += np.bincount(np.concatenate(all_cells or [np.zeros(0, np.int64)]), minlength=1 << CELL_BITS).astype(np.uint32)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if counts.any():
             parts = counts.reshape(-1, 1 << BLOCK_BITS)
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def classes_of(parts: DataFrame) -> np.ndarray:
-    """Class of each cell: 0 up to twice the mean count and eight, then one more for each doubling. The sketch has a fixed size, so has what the driver gets."""
+    """Class of each cell: 0 unless its count is over the mean by more than chance would have it, then one more for each doubling of the excess. The sketch has a fixed size, so has what the driver gets."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -98,7 +119,7 @@ def classes_of(parts: DataFrame) -> np.ndarray:
     counts = np.zeros(1 << CELL_BITS)
     for k, data in parts.repartition(1 << (CELL_BITS - BLOCK_BITS), "block").mapInArrow(add, "block int, counts binary").collect():
         counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(data, "<u4")
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / (2 * counts.mean() + 8)))).astype(np.uint8)
+    return np.maximum(0, np.ceil(np.log2(np.maximum(counts - counts.mean(), 1) / (4 * np.sqrt(counts.mean()) + 4)))).astype(np.uint8)
 
 
 def postings(reps: DataFrame, classes) -> DataFrame:
@@ -200,15 +221,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document."""
     spark = docs.sparkSession
     first = materialize(set_digests(docs), "sketch")
-    sets = first.where("not sketch").select("doc_id", "n", "fp")
+    sets = first.where("not sketch").select("doc_id", "n", "fp", "sig")
     classes = spark.sparkContext.broadcast(classes_of(first.where("sketch").select("block", "counts")))
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reps = docs.select("doc_id", "text").join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     listed = postings(reps, classes)
 
     heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    stars = listed.join(heads, "token").where("doc_id <> head.doc_id and 100 * least(n, head.n) >= 75 * greatest(n, head.n)").groupBy("doc_id", F.col("head.doc_id").alias("a")).count()
-    best = materialize(stars.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("doc_id").alias("b")))
+    stars = listed.join(heads, "token").where("doc_id <> head.doc_id and 100 * least(n, head.n) >= 75 * greatest(n, head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
+    best = near_enough(stars, sets).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
+    best = materialize(best.select((-F.col("m.col2")).alias("a"), "b"))
     links = compare(best, docs, classes)
 
     groups = components(links)
@@ -216,7 +238,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cross_pairs(named.join(mixed, "token", "left_semi")).join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(compare(materialize(rest), docs, classes))
+    links = links.unionByName(compare(materialize(near_enough(rest, sets)), docs, classes))
 
     # equal sets hold together; a document with several texts has several sets
     groups = components(links)
