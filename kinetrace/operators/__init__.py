@@ -1 +1 @@
-
+"""Operators on trajectories and series, as DataFrame transformations."""
