@@ -3,7 +3,7 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Two documents link when 100 * intersection >= 75 * union. Under any one order of all shingles, linked sets share one of their first n - ceil(0.75 n) + 1; this holds under several orders at once. All orders put shingles last that a sketch of all shingles' counts shows to be common, so lists stay short; inside a class each order ranks by a hash of its own.
 
 1. One pass hashes the texts: set size, set digest, and the sketch (of fixed size).
-2. Documents with equal sets become one. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there.
+2. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there. Of documents with equal sets only the first stays listed.
 3. Each listed document is compared with the best first document of its lists, and components are formed of the links found.
 4. All pairs of one list that are in different components, not yet compared, and not ruled out by their signatures (counts of shingles in 128 buckets) are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
+from .common import documents, free_shuffles, gram_hashes, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
@@ -122,16 +122,19 @@ def classes_of(parts: DataFrame) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts - counts.mean(), 1) / (4 * np.sqrt(counts.mean()) + 4)))).astype(np.uint8)
 
 
-def postings(reps: DataFrame, classes) -> DataFrame:
-    """(token, doc_id, n) of every prefix shingle, under the first order, that two documents or more have."""
-    spark, shards = reps.sparkSession, 4 * partitions(reps.sparkSession)
+def postings(docs: DataFrame, classes) -> DataFrame:
+    """(token, doc_id, n) of every prefix shingle, under the first order, that two documents or more have. Of equal sets in a batch only the one of the least doc_id is listed."""
+    spark, shards = docs.sparkSession, 4 * partitions(docs.sparkSession)
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingles(t) for t in text_bytes(batch.column("text"))]
+        distinct: dict[bytes, int] = {}
+        for doc_id, text in sorted(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True), key=lambda r: r[0]):
+            distinct.setdefault(shingles(text).tobytes(), doc_id)
+        sets = [np.frombuffer(k, np.uint64) for k in distinct]
         firsts = [prefix(s, classes.value, 0) for s in sets]
         token = np.concatenate(firsts)
         size = [len(f) for f in firsts]
-        ids = np.repeat(batch.column("doc_id").to_numpy(), size)
+        ids = np.repeat(np.array(list(distinct.values()), np.int64), size)
         ns = np.repeat(np.array([len(s) for s in sets], np.int64), size)
         shard = (token % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -152,8 +155,8 @@ def postings(reps: DataFrame, classes) -> DataFrame:
         ids, ns = np.frombuffer(b"".join(p[1] for p in parts), "<i8"), np.frombuffer(b"".join(p[2] for p in parts), "<i4")
         yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids[order]), pa.array(ns[order].astype(np.int64))], ["token", "doc_id", "n"])
 
-    packed = map_arrow(reps.select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary")
-    return materialize(packed.repartition(partitions(spark), "shard").mapInArrow(lists, "token long, doc_id long, n long"))
+    packed = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary")
+    return packed.repartition(partitions(spark), "shard").mapInArrow(lists, "token long, doc_id long, n long")
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
@@ -224,21 +227,28 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = first.where("not sketch").select("doc_id", "n", "fp", "sig")
     classes = spark.sparkContext.broadcast(classes_of(first.where("sketch").select("block", "counts")))
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = docs.select("doc_id", "text").join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    listed = postings(reps, classes)
+    reps = equal.select(F.col("rep").alias("doc_id")).distinct()
+    listed = materialize(postings(docs, classes).join(reps, "doc_id", "left_semi"))
+    free_shuffles(spark)
+    texts = materialize(docs.select("doc_id", "text").join(listed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    free_shuffles(spark)
 
     heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"))
     stars = listed.join(heads, "token").where("doc_id <> head.doc_id and 100 * least(n, head.n) >= 75 * greatest(n, head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
     best = near_enough(stars, sets).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
     best = materialize(best.select((-F.col("m.col2")).alias("a"), "b"))
-    links = compare(best, docs, classes)
+    links = compare(best, texts, classes)
+    free_shuffles(spark)
 
     groups = components(links)
     named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n"))
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cross_pairs(named.join(mixed, "token", "left_semi")).join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(compare(materialize(near_enough(rest, sets)), docs, classes))
+    rest = materialize(near_enough(rest, sets))
+    free_shuffles(spark)
+    links = links.unionByName(compare(rest, texts, classes))
+    free_shuffles(spark)
 
     # equal sets hold together; a document with several texts has several sets
     groups = components(links)
