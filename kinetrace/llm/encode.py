@@ -19,6 +19,22 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 _LOADED: dict[str, CachedEncoder] = {}
 
 
+class _Pieces(dict):
+    """Ids (as bytes) of pieces that the pre-tokenizer's pattern would not cut: the library's BPE model takes a new one as it is."""
+
+    def __init__(self, tokenize, code: str, drops_space: bool) -> None:
+        super().__init__()
+        self.tokenize, self.code, self.drops_space = tokenize, code, drops_space
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if piece.isalnum() and piece.isascii():
+            text = piece.decode()
+        else:
+            text = (piece.decode().lower().encode() if self.drops_space else piece).decode("latin-1").translate(_BYTE_CHARS)
+        self[piece] = ids = array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
+        return ids
+
+
 class CachedEncoder:
     """Encodes texts to unsigned ids, equal to tokenizer.encode(text, add_special_tokens=False).
 
@@ -31,41 +47,30 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space, self.max_units = drops_space, max_units
-        self.cache: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cache = self._empty()
+
+    def _empty(self) -> _Pieces:
+        return _Pieces(self.tokenizer.model.tokenize, self.code, self.drops_space)
+
+    def _whole(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [array(self.code, x.ids).tobytes() for x in found]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Ids of pieces that the pre-tokenizer's pattern would not cut: the library's BPE model takes them as they are."""
-        tokenize, code = self.tokenizer.model.tokenize, self.code
-        for p in pieces:
-            text = p.decode().lower().encode() if self.drops_space else p
-            self.cache[p] = array(code, [t.id for t in tokenize(text.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-
-    def _pieces(self, text: bytes) -> list[bytes] | None:
-        """None: encode it whole."""
-        if b"<|" in text:
-            return None
-        if text.isascii() or not text.translate(None, _SIMPLE) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text:  # the signs of multiplication and division are no letters
-            return _DROPS_SPACE.findall(text.lower()) if self.drops_space else _KEEPS_SPACE.findall(text)
-        return None
+    def _encode(self, text: bytes) -> bytes:
+        # the signs of multiplication and division are no letters
+        simple = text.isascii() or not text.translate(None, _SIMPLE) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+        if not simple or b"<|" in text:
+            return self._whole(text)
+        pieces = _DROPS_SPACE.findall(text.lower()) if self.drops_space else _KEEPS_SPACE.findall(text)
+        return b"".join(map(self.cache.__getitem__, pieces))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Equal texts of a call are encoded once."""
         if len(self.cache) > self.max_units:
-            self.cache = {}
-        distinct, cache = {t: None for t in texts}, self.cache
-        cut = {t: self._pieces(t) for t in distinct}
-        new = [p for p in set().union(*filter(None, cut.values())) if p not in cache]
-        self._learn(new)
-        get = cache.__getitem__
-        for t, pieces in cut.items():
-            distinct[t] = np.frombuffer(b"".join(map(get, pieces)) if pieces is not None else self._ids([t])[0], self.dtype)
-        return [distinct[t] for t in texts]
+            self.cache = self._empty()
+        found = {t: np.frombuffer(self._encode(t), self.dtype) for t in dict.fromkeys(texts)}
+        return [found[t] for t in texts]
 
 
 def encoder(path: str, drops_space: bool) -> CachedEncoder:
