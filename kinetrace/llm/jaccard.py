@@ -5,7 +5,7 @@ A document is the set of its distinct five-word shingles (A-Z lower-cased; a sho
 1. One pass hashes the texts: set size, set digest, and the sketch (of fixed size).
 2. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there. Of documents with equal sets only the first stays listed.
 3. Each listed document is compared with the best first document of its lists, and components are formed of the links found.
-4. All pairs of one list that are in different components, not yet compared, and not ruled out by their signatures (counts of shingles in 128 buckets) are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
+4. All pairs of one list that are in different components, not yet compared, and not ruled out by their signatures (counts of shingles in buckets) are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
 
 Where two texts meet, the prefixes under the other orders must intersect too, before the sets themselves are intersected.
 
@@ -26,7 +26,7 @@ from .common import documents, free_shuffles, gram_hashes, map_arrow, materializ
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
-CELL_BITS, BLOCK_BITS, BUCKETS = 20, 16, 128
+CELL_BITS, BLOCK_BITS = 20, 16
 _SEEDS = [np.uint64(0x9AE16A3B2F90404F * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 
 
@@ -59,8 +59,16 @@ def may_link(n: int, m: int) -> bool:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """How many shingles fall into each of 128 buckets, 255 at most."""
-    return np.minimum(np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """How many shingles fall into each of a quarter to half as many buckets (a power of two, 16 at least), 255 at most."""
+    size = max(16, 1 << max(0, (len(found) - 1) // 4).bit_length())
+    return np.minimum(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def signature_distance(a: bytes, b: bytes) -> int:
+    """Sum of the differences of two signatures, the longer one folded: never more than the sets differ by."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    size = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, size).sum(0) - y.reshape(-1, size).sum(0)).sum())
 
 
 def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -70,9 +78,8 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     names = pairs.columns
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sig_a", "sig_b"))
-        total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        keep = np.abs(x - y).sum(1, dtype=np.int64) * (100 + PERCENT) <= (100 - PERCENT) * total
+        apart = np.array([signature_distance(a, b) for a, b in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)], np.int64)
+        keep = apart * (100 + PERCENT) <= (100 - PERCENT) * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
         yield batch.select(names).filter(pa.array(keep))
 
     return map_arrow(both, run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct()
