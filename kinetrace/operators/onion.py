@@ -223,8 +223,10 @@ def _onion_vectors(series: DataFrame, delta_t: int, bins: int | str, sigmas: flo
         taken = left.join(found, ["particle_id", key], "left_semi").count()
         if not taken:
             break
-        states.append(State(mean, sigma, taken / total, 1.0, taken / total, float(top["count"]), [sigmas * s for s in sigma], [sigmas * s for s in sigma]))
-        part = found.withColumn("label", F.lit(len(states) - 1))
+        within = [k for k, s in enumerate(states) if sum(((a - b) / t) ** 2 for a, b, t in zip(mean, s.mean, s.th_sup, strict=True)) <= 1]
+        if not within:  # else these are the rim of a state that was found before
+            states.append(State(mean, sigma, taken / total, 1.0, taken / total, float(top["count"]), [sigmas * s for s in sigma], [sigmas * s for s in sigma]))
+        part = found.withColumn("label", F.lit(within[0] if within else len(states) - 1))
         parts = part if parts is None else parts.unionByName(part)
         left = left.join(found, ["particle_id", key], "left_anti").cache()
     every = rows.select("particle_id", key).distinct()
