@@ -96,16 +96,17 @@ def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["recipe", "key", "doc_id", "n", "ids", "keys", "rest"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        known: set[bytes] = set()  # of one task's share of the keys
         for batch in batches:
             keep = []
             for recipe, key in zip(batch.column("recipe").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keep.append(recipe or key != last)
-                last = last if recipe else key
+                keep.append(recipe or key not in known)
+                if not recipe:
+                    known.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    dealt = map_arrow(docs.select("doc_id", "text"), cut, fields).repartition(partitions(spark), "key").sortWithinPartitions("recipe", "key")
-    both = materialize(dealt.mapInArrow(once, fields), "recipe")
+    dealt = map_arrow(docs.select("doc_id", "text"), cut, fields).repartition(partitions(spark), "key")
+    both = materialize(dealt.mapInArrow(once, fields))
     chunks = both.where("not recipe").select("key", F.col("n").cast("int").alias("n"), "ids")
     recipes = both.where("recipe").select("doc_id", F.col("n").alias("n_tokens"), "keys", "rest")
 
@@ -199,10 +200,11 @@ def read_digests(store: Store) -> DataFrame:
     def checked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         crcs, at = [], 0
         keys, ns, parts = (batch.column(c).to_pylist() for c in ("key", "n", "ids"))
-        wide = memoryview(np.frombuffer(b"".join(parts), f"<u{len(parts[0]) // ns[0]}").astype("<u4").tobytes())
-        for key, n, data in zip(keys, ns, parts, strict=True):
+        for key, data in zip(keys, parts, strict=True):
             if hashlib.sha256(data).digest() != key:
                 raise ValueError(f"chunk {key.hex()} doesn't match its key")
+        wide = memoryview(np.frombuffer(b"".join(parts), f"<u{len(parts[0]) // ns[0]}").astype("<u4").tobytes())
+        for n in ns:
             crcs.append(zlib.crc32(wide[at : at + 4 * n]))
             at += 4 * n
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64())], ["key", "crc"])

@@ -224,15 +224,18 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     marked, spans = repeated_spans(docs)
     copies = marked.where("copy").select("doc_id").distinct()
 
+    names, schema, mark = docs.columns, docs.schema, "spans"
+    while mark in names:
+        mark += "_"
+
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t if s is None else b" ".join(kept_words((t or "").encode(), s)[1]).decode() for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        keep = [s is None or t != "" for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+        found = batch.column(mark).to_pylist()
+        texts = [t if s is None else b" ".join(kept_words((t or "").encode(), s)[1]).decode() for t, s in zip(batch.column("text").to_pylist(), found, strict=True)]
         cols = {n: batch.column(n) for n in names}
         cols["text"] = pa.array(texts, pa.string())
         if "n_chars" in cols:
-            cols["n_chars"] = pa.array([old if t is None or s is None else len(t) for t, s, old in zip(texts, batch.column("spans").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)], cols["n_chars"].type)
-        yield pa.RecordBatch.from_pydict(cols).filter(pa.array(keep))
+            cols["n_chars"] = pa.array([old if s is None else len(t) for t, s, old in zip(texts, found, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+        yield pa.RecordBatch.from_pydict(cols).filter(pa.array([s is None or t != "" for t, s in zip(texts, found, strict=True)]))
 
-    names, schema = docs.columns, docs.schema
-    joined = docs.join(copies, "doc_id", "left_anti").join(spans, "doc_id", "left").select(*names, "spans")
+    joined = docs.join(copies, "doc_id", "left_anti").join(spans.withColumnRenamed("spans", mark), "doc_id", "left").select(*names, mark)
     return joined.mapInArrow(lambda it: (x for b in it if b.num_rows for x in one(b)), schema)
