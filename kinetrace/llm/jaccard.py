@@ -1,6 +1,6 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Two documents link when 100 * intersection >= 75 * union. Under any one order of all shingles, linked sets share one of their first n - ceil(0.75 n) + 1; this holds under several orders at once. All orders put shingles last that a sketch of all shingles' counts shows to be common, so lists stay short; inside a class each order ranks by a hash of its own.
+A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Two documents link when 100 * intersection >= 75 * union. Under any one order of all shingles, linked sets share one of their first n - ceil(0.75 n) + 1; this holds under several orders at once. All orders go by what a sketch of all shingles' counts says of a shingle, rare ones first, so lists stay short; inside a class each order ranks by a hash of its own.
 
 1. One pass hashes the texts: set size, set digest, and the sketch (of fixed size).
 2. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there. Of documents with equal sets only the first stays listed.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import documents, free_shuffles, gram_hashes, map_arrow, materializ
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
-CELL_BITS, BLOCK_BITS = 20, 16
+CELL_BITS, BLOCK_BITS = 24, 20
 _SEEDS = [np.uint64(0x9AE16A3B2F90404F * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 
 
@@ -85,6 +86,22 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct()
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A block of counts, compressed: as they are, or the places and values of the few that aren't 0."""
+    at = np.flatnonzero(counts)
+    if len(at) * 2 < len(counts):
+        return b"s" + zstandard.compress(at.astype("<u4").tobytes() + counts[at].astype("<u4").tobytes(), 1)
+    return b"d" + zstandard.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    values = np.frombuffer(zstandard.decompress(data[1:]), "<u4")
+    if data[:1] == b"d":
+        return values
+    at, count = values.reshape(2, -1)
+    return np.bincount(at, count, 1 << BLOCK_BITS).astype(np.uint32)
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, fp) of every document, fp null for an empty set, and rows (block, counts) of each task's part of the sketch."""
     schema = "sketch boolean, doc_id long, n long, fp binary, sig binary, block int, counts binary"
@@ -93,44 +110,42 @@ def set_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            ns, fps, sigs, all_cells = [], [], [], []
+            ns, fps, sigs = [], [], []
             for text in text_bytes(batch.column("text")):
                 s = shingles(text)
                 ns.append(len(s))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-                all_cells.append(cells(s))
-            counts += np.bincount(np.concatenate(all_cells or [np.zeros(0, np.int64)]), minlength=1 << CELL_BITS).astype(np.uint32)
+                np.add.at(counts, cells(s), 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        if counts.any():
-            parts = counts.reshape(-1, 1 << BLOCK_BITS)
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([True]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def classes_of(parts: DataFrame) -> np.ndarray:
-    """Class of each cell: 0 unless its count is over the mean by more than chance would have it, then one more for each doubling of the excess. The sketch has a fixed size, so has what the driver gets."""
+    """Class of each cell: its count up to 127, then eight classes to a doubling. The sketch has a fixed size, so has what the driver gets."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(data, "<u4").astype(np.uint64)
-                total[k] = total[k] + part if k in total else part
+                total[k] = total.get(k, 0) + unpacked(data).astype(np.int64)
         for k, a in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(a, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+            rank = np.where(a < 128, a, np.minimum(127 + 8 * (np.log2(np.maximum(a, 1)) - 7), 255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "counts"])
 
-    counts = np.zeros(1 << CELL_BITS)
+    out = np.zeros(1 << CELL_BITS, np.uint8)
     for k, data in parts.repartition(1 << (CELL_BITS - BLOCK_BITS), "block").mapInArrow(add, "block int, counts binary").collect():
-        counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(data, "<u4")
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts - counts.mean(), 1) / (4 * np.sqrt(counts.mean()) + 4)))).astype(np.uint8)
+        out[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(data, np.uint8)
+    return out
 
 
 def postings(docs: DataFrame, classes) -> DataFrame:
-    """(token, doc_id, n) of every prefix shingle, under the first order, that two documents or more have. Of equal sets in a batch only the one of the least doc_id is listed."""
+    """(token, doc_id, n, rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it. Of equal sets in a batch only the one of the least doc_id is listed."""
     spark, shards = docs.sparkSession, 4 * partitions(docs.sparkSession)
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -143,27 +158,28 @@ def postings(docs: DataFrame, classes) -> DataFrame:
         size = [len(f) for f in firsts]
         ids = np.repeat(np.array(list(distinct.values()), np.int64), size)
         ns = np.repeat(np.array([len(s) for s in sets], np.int64), size)
+        rest = np.concatenate([len(s) - np.arange(k) for s, k in zip(sets, size, strict=True)])
         shard = (token % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        token, ids, ns, shard = token[order], ids[order], ns[order], shard[order]
+        token, ids, ns, rest, shard = token[order], ids[order], ns[order], rest[order], shard[order]
         at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         to = np.append(at[1:], len(shard))
         cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(at, to, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), cut(token, "<u8"), cut(ids, "<i8"), cut(ns, "<i4")], ["shard", "token", "ids", "ns"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), cut(token, "<u8"), cut(ids, "<i8"), cut(ns, "<i4"), cut(rest, "<i4")], ["shard", "token", "ids", "ns", "rest"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(t, i, n) for b in batches for t, i, n in zip(*(b.column(c).to_pylist() for c in ("token", "ids", "ns")), strict=True)]
+        parts = [p for b in batches for p in zip(*(b.column(c).to_pylist() for c in ("token", "ids", "ns", "rest")), strict=True)]
         token = np.frombuffer(b"".join(p[0] for p in parts), "<u8")
         order = np.argsort(token, kind="stable")
         token = token[order]
         same = token[1:] == token[:-1]
         keep = np.append(same, False) | np.append(False, same) if len(token) else np.zeros(0, bool)
         order = order[keep]
-        ids, ns = np.frombuffer(b"".join(p[1] for p in parts), "<i8"), np.frombuffer(b"".join(p[2] for p in parts), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids[order]), pa.array(ns[order].astype(np.int64))], ["token", "doc_id", "n"])
+        ids, ns, rest = (np.frombuffer(b"".join(p[k] for p in parts), kind)[order].astype(np.int64) for k, kind in ((1, "<i8"), (2, "<i4"), (3, "<i4")))
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids), pa.array(ns), pa.array(rest)], ["token", "doc_id", "n", "rest"])
 
-    packed = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary")
-    return packed.repartition(partitions(spark), "shard").mapInArrow(lists, "token long, doc_id long, n long")
+    packed = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
+    return packed.repartition(partitions(spark), "shard").mapInArrow(lists, "token long, doc_id long, n long, rest long")
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
@@ -195,30 +211,31 @@ def compare(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
 
 
 def cross_pairs(listed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list whose components differ, from rows (token, component, doc_id, n) of lists with two components or more. A list is read in order of components; only pairs across them are made."""
+    """Pairs (a, b) of one list whose components differ, from rows (token, component, doc_id, n, rest) of lists with two components or more. A list is read in order of components; only pairs across them are made, and only where what stands behind the shingle in either set suffices for a link: the first shingle that linked sets share always does."""
     rows = listed.repartition(partitions(listed.sparkSession), "token").sortWithinPartitions("token", "component", "doc_id")
 
-    def emit(comp: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    def emit(comp: np.ndarray, ids: np.ndarray, ns: np.ndarray, rest: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
         out = [np.zeros((0, 2), np.int64)]
         for i, j in zip(at[1:], np.append(at[2:], len(comp)), strict=True):
             x, y = np.repeat(np.arange(i), j - i), np.tile(np.arange(i, j), i)
-            ok = 100 * np.minimum(ns[x], ns[y]) >= PERCENT * np.maximum(ns[x], ns[y])
-            out.append(np.stack([ids[x[ok]], ids[y[ok]]], 1))
+            ok = (100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (ns[x] + ns[y])
+            x, y = x[ok], y[ok]
+            out.append(np.stack([ids[x], ids[y]], 1))
         pairs = np.concatenate(out)
         return np.sort(pairs, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64)] * 4
+        left = [np.zeros(0, np.int64)] * 5
         for batch in [*batches, None]:
             if batch is not None:
-                left = [np.concatenate([p, batch.column(c).to_numpy()]) for p, c in zip(left, ("token", "component", "doc_id", "n"), strict=True)]
+                left = [np.concatenate([p, batch.column(c).to_numpy()]) for p, c in zip(left, ("token", "component", "doc_id", "n", "rest"), strict=True)]
             token = left[0]
             ends = np.flatnonzero(token[1:] != token[:-1]) + 1
             ends = np.append(ends, len(token)) if batch is None and len(token) else ends
             i, found = 0, [np.zeros((0, 2), np.int64)]
             for j in ends:
-                found.append(emit(left[1][i:j], left[2][i:j], left[3][i:j]))
+                found.append(emit(*(p[i:j] for p in left[1:])))
                 i = j
             left = [p[i:] for p in left]
             pairs = np.unique(np.concatenate(found), axis=0)
@@ -240,15 +257,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.select("doc_id", "text").join(listed.select("doc_id").distinct(), "doc_id", "left_semi"))
     free_shuffles(spark)
 
-    heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    stars = listed.join(heads, "token").where("doc_id <> head.doc_id and 100 * least(n, head.n) >= 75 * greatest(n, head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
+    heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n", "rest")).alias("head"))
+    stars = listed.join(heads, "token").where(f"doc_id <> head.doc_id and {100 + PERCENT} * least(rest, head.rest) >= {PERCENT} * (n + head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
     best = near_enough(stars, sets).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
     best = materialize(best.select((-F.col("m.col2")).alias("a"), "b"))
     links = compare(best, texts, classes)
     free_shuffles(spark)
 
     groups = components(links)
-    named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n"))
+    named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n", "rest"))
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cross_pairs(named.join(mixed, "token", "left_semi")).join(tested, ["a", "b"], "left_anti")
