@@ -99,13 +99,13 @@ def spacing_entropy(data: DataFrame, column: str, k: int = 1, units: str = "nat"
 def knn_distance(points: DataFrame, columns: Sequence[str], k: int, norm: str = "euclid") -> DataFrame:
     """(id, d): distance to the k-th nearest other point, for rows (id, columns...).
 
-    Points are put into cells; a point looks into the cells around its own, and is settled if it finds k within a cell's width, as no nearer one can lie elsewhere. The rest go on with cells of twice the width. Exact; meant for three dimensions at most.
+    Points are put into cells; a point looks into the cells around its own, and is settled if it finds k within a cell's width, as no nearer one can lie elsewhere. The rest go on with cells of four times the width. Exact; meant for three dimensions at most.
     """
     n, *span = points.agg(F.count(F.lit(1)), *[f(c) for c in columns for f in (F.min, F.max)]).first()
     if n <= k:
         return points.select("id", F.lit(None).cast("double").alias("d")).limit(0)
     sides = [max(b - a, 1e-12) for a, b in zip(span[::2], span[1::2], strict=True)]
-    width = (math.prod(sides) * 2 * (k + 1) / n) ** (1 / len(columns))
+    width = (math.prod(sides) * 4 * (k + 1) / n) ** (1 / len(columns))
     left, done = points.select("id", *columns), None
     while True:
         cell = lambda df, w: df.withColumns({f"g_{c}": F.floor(F.col(c) / w) for c in columns})
@@ -121,7 +121,7 @@ def knn_distance(points: DataFrame, columns: Sequence[str], k: int, norm: str =
         rest = left.join(found, "id", "left_anti").cache()
         if rest.isEmpty():
             return done
-        left, width = rest, width * 2
+        left, width = rest, width * 4
 
 
 def kozachenko_leonenko(points: DataFrame, columns: Sequence[str], k: int = 4, base: float = 2.0, norm: str = "chebyshev") -> float:
