@@ -87,19 +87,17 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A block of counts, compressed: as they are, or the places and values of the few that aren't 0."""
-    at = np.flatnonzero(counts)
-    if len(at) * 2 < len(counts):
-        return b"s" + zstandard.compress(at.astype("<u4").tobytes() + counts[at].astype("<u4").tobytes(), 1)
-    return b"d" + zstandard.compress(counts.astype("<u4").tobytes(), 1)
+    """A block of counts, compressed: a byte each, then places and values of those that don't fit."""
+    big = np.flatnonzero(counts > 255)
+    return zstandard.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + big.astype("<u4").tobytes() + counts[big].astype("<u4").tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    values = np.frombuffer(zstandard.decompress(data[1:]), "<u4")
-    if data[:1] == b"d":
-        return values
-    at, count = values.reshape(2, -1)
-    return np.bincount(at, count, 1 << BLOCK_BITS).astype(np.uint32)
+    raw = zstandard.decompress(data)
+    out = np.frombuffer(raw, np.uint8, 1 << BLOCK_BITS).astype(np.int64)
+    at, count = np.frombuffer(raw, "<u4", offset=1 << BLOCK_BITS).reshape(2, -1)
+    out[at] = count
+    return out
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def classes_of(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + unpacked(data).astype(np.int64)
+                total[k] = total.get(k, 0) + unpacked(data)
         for k, a in total.items():
             rank = np.where(a < 128, a, np.minimum(127 + 8 * (np.log2(np.maximum(a, 1)) - 7), 255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "counts"])
