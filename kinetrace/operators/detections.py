@@ -95,3 +95,10 @@ def predict(images: DataFrame, detector: Callable[[bytes], Iterable[tuple[int, f
 
     found = images.select("path", "content").mapInPandas(run, DETECTIONS)
     return filter_detections(suppress(found.where(F.col("conf") >= confidence), iou, agnostic), confidence, classes, max_det)
+
+
+def write_dataset(rows: DataFrame, path: str, width: float, height: float, names: dict[int, str], share: float = 0.8) -> None:
+    """A training set's tables: labels/part=train|val (image_path, lines), and dataset.yaml (as a text folder) with its classes."""
+    yolo_lines(rows, width, height).join(train_split(rows, share), "image_path").write.partitionBy("part").parquet(f"{path}/labels")
+    listed = "".join(f"\n  {k}: {v}" for k, v in sorted(names.items()))
+    rows.sparkSession.createDataFrame([(f"path: {path}\ntrain: labels/part=train\nval: labels/part=val\nnames:{listed}",)], "value string").coalesce(1).write.text(f"{path}/dataset.yaml")

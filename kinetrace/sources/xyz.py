@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -133,6 +132,12 @@ def track_blocks(tracks: DataFrame) -> DataFrame:
     return frames_text(tracks.withColumn("line", line), F.concat(F.lit("Frame "), F.col("frame").cast("string")))
 
 
+def centre_blocks(centres: DataFrame) -> DataFrame:
+    """Frames with `cls x y z` of detections' middles (frame, cls, x, y, z), under the header `class x y z`."""
+    rows = centres.withColumn("particle_id", F.monotonically_increasing_id())
+    return frames_text(rows.withColumn("line", F.format_string("%d %.6f %.6f %.1f", "cls", "x", "y", "z")), F.lit("class x y z"))
+
+
 def array_blocks(spark: SparkSession, coords, comment: str = "", name: str = "C") -> DataFrame:
     """Frames of an array (frame, atom, 3)."""
     import numpy as np
@@ -163,5 +168,3 @@ def frame_slice(positions: DataFrame, start: int = 0, stop: int | None = None, s
         rows = rows.where((F.col("frame") - start) % step == 0)
     return rows.withColumn("frame", F.floor((F.col("frame") - start) / step).cast("int")) if renumber else rows
 
-
-SAFE = re.compile(r"[^A-Za-z0-9_.-]+")

@@ -275,7 +275,7 @@ def test_log(spark, tmp_path):
     assert "WARNING: b" in (tmp_path / "h").read_text() and log.table(spark).count() == 2
 
 
-def test_detections(spark):
+def test_detections(spark, tmp_path):
     rows = [("a", 0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), ("a", 1, 0, 0.8, 1.0, 1.0, 10.0, 10.0), ("a", 2, 1, 0.7, 1.0, 1.0, 10.0, 10.0), ("b", 0, 0, 0.1, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, detections.DETECTIONS)
     ids = lambda d: sorted((r["image_path"], r["det_id"]) for r in d.collect())
@@ -283,6 +283,9 @@ def test_detections(spark):
     assert ids(detections.suppress(df, 0.7, agnostic=True)) == [("a", 0), ("b", 0)]
     assert ids(detections.filter_detections(df, max_det=1)) == [("a", 0)]
     assert ids(detections.without_overlap(df, df.where("det_id = 0 and image_path = 'a'"))) == [("b", 0)]
+    assert xyz.centre_blocks(detections.centres(df)).orderBy("frame").first()["value"].splitlines()[:2] == ["3", "class x y z"]
+    detections.write_dataset(df, str(tmp_path / "set"), 100.0, 100.0, {0: "x"}, 0.5)
+    assert spark.read.parquet(str(tmp_path / "set/labels")).where("part = 'train'").count() == 1
     images = spark.createDataFrame([("a", bytearray(b"xy"))], "path string, content binary")
     assert detections.predict(images, lambda data: [(len(data), 0.9, 0.0, 0.0, 1.0, 1.0)]).first()["cls"] == 2
     with pytest.raises(ValueError):
