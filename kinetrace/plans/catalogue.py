@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..functions.select import selection
 from ..operators import descriptors, detections, information, labels, onion, series, soap, tracking, vectors
 from ..operators.neighbors import neighbor_edges
 from ..provenance import Log
+from ..session import shared_dir
 from ..sources import tables, xyz
 from . import views as v
 
@@ -67,17 +66,17 @@ def coordinates(spark, d):
 
 @query(f"WITH {v.P} SELECT (frame - 3)::INT AS frame, particle_id, round(x, 6) + 0.0 AS x FROM p WHERE frame >= 3 AND frame < 7")
 def stored_trajectory(spark, d):
-    path = tempfile.mkdtemp(prefix="kinetrace-trj-") + "/trj"
+    path = shared_dir(spark)
     tables.write_trajectory(v.positions(spark, d), path, chunk=4)
     return rounded(tables.read_trajectory(spark, path, 3, 7).select("frame", "particle_id", "x"), "x")
 
 
 @query(f"WITH {v.P} SELECT frame, particle_id, name, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z, (particle_id % 3 + 2)::BIGINT AS label FROM p")
 def xyz_roundtrip(spark, d):
-    path = os.path.join(tempfile.mkdtemp(prefix="kinetrace-xyz-"), "colored.xyz")
+    path = shared_dir(spark)
     p = v.positions(spark, d)
-    xyz.write_text(xyz.colored_blocks(p, p.select("frame", "particle_id", (F.col("particle_id") % 3).alias("label")), (10.0, 10.0, 10.0, 90.0, 90.0, 90.0)), path)
-    rows = xyz.read_xyz(spark, "file://" + path, ["name", "x", "y", "z", "ID"])
+    xyz.save_text(xyz.colored_blocks(p, p.select("frame", "particle_id", (F.col("particle_id") % 3).alias("label")), (10.0, 10.0, 10.0, 90.0, 90.0, 90.0)), path, 1)
+    rows = xyz.read_xyz(spark, path, ["name", "x", "y", "z", "ID"])
     return rows.select("frame", F.col("row").alias("particle_id"), "name", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"], F.col("ID").alias("label"))
 
 

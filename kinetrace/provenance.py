@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 import re
-import tempfile
 import zipfile
 from datetime import UTC, datetime
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import shared_dir
+
 
 class Log:
     """History of messages, and recorded datasets. A dataset whose meta equals that of one recorded before isn't recorded again."""
@@ -19,7 +21,6 @@ class Log:
         self.auto_record = auto_record
         self.history: list[tuple[str, str, str]] = []
         self.recorded: list[tuple[dict, str]] = []
-        self.folder: str | None = None
 
     def _add(self, level: str, message: str) -> None:
         self.history.append((datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), level, message))
@@ -45,17 +46,16 @@ class Log:
         return spark.createDataFrame(self.history, "ts string, level string, message string")
 
     def record(self, data: DataFrame, meta: dict) -> bool:
-        """Writes the dataset; False if one with this meta is there."""
+        """Writes the dataset to the shared folder; False if one with this meta is there."""
         if any(m == meta for m, _ in self.recorded):
             return False
-        self.folder = self.folder or tempfile.mkdtemp(prefix="kinetrace-log-")
-        path = os.path.join(self.folder, f"{len(self.recorded)}.parquet")
+        path = shared_dir(data.sparkSession)
         data.write.parquet(path)
         self.recorded.append((dict(meta), path))
         return True
 
-    def extract(self, path: str) -> list[str]:
-        """A ZIP of the recorded datasets, a folder of Parquet files each, named by their meta's values; a name that is taken gets _1, _2, and so on."""
+    def extract(self, spark: SparkSession, path: str) -> list[str]:
+        """A local ZIP of the recorded datasets, a Parquet file each, named by their meta's values; a name that is taken gets _1, _2, and so on. One dataset at a time passes through the driver."""
         names: list[str] = []
         with zipfile.ZipFile(path, "w") as z:
             for meta, folder in self.recorded:
@@ -65,9 +65,9 @@ class Log:
                     k += 1
                     name = f"{base}_{k}"
                 names.append(name)
-                for f in sorted(os.listdir(folder)):
-                    if f.endswith(".parquet"):
-                        z.write(os.path.join(folder, f), f"{name}/{f}")
+                out = io.BytesIO()
+                pq.write_table(spark.read.parquet(folder).toArrow(), out)
+                z.writestr(f"{name}/data.parquet", out.getvalue())
                 z.writestr(f"{name}/meta.json", json.dumps(meta))
         return names
 

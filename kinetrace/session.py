@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +26,38 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the one the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "kinetrace-shared")
+        os.makedirs(base[7:], exist_ok=True)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """In whatever store the path names."""
+    fs, where = _store(spark, path)
+    return fs.exists(where)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, in whatever store the path names."""
+    fs, where = _store(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "kinetrace") -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     return (

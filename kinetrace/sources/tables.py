@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists, read_small, write_small
 from .xyz import frame_slice
 
 CHUNK = 100
@@ -42,14 +43,12 @@ def dump(path: str, tables: dict[str, DataFrame], **fields) -> None:
         folder = f"{base}_{name}.parquet"
         df.write.mode("overwrite").parquet(folder)
         fields[f"{name}_file"] = os.path.basename(folder)
-    with open(f"{base}.json", "w") as out:
-        json.dump(fields, out, indent=4)
+    write_small(next(iter(tables.values())).sparkSession, f"{base}.json", json.dumps(fields, indent=4))
 
 
 def load(spark: SparkSession, path: str, *tables: str, needed: tuple[str, ...] = ()) -> tuple[dict, dict[str, DataFrame]]:
-    """(fields, tables) of a sidecar; ValueError if it lacks a table or a needed field. A table may also be an NPY file of shape (particle, frame[, component])."""
-    with open(path) as f:
-        fields = json.load(f)
+    """(fields, tables) of a sidecar; ValueError if it lacks a table or a needed field. A table may also be a local NPY file of shape (particle, frame[, component])."""
+    fields = json.loads(read_small(spark, path))
     missing = [k for k in (*(f"{t}_file" for t in tables), *needed) if k not in fields]
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
@@ -82,7 +81,7 @@ def load_or_compute(spark: SparkSession, path: str | None, compute: Callable[[],
     if path is None:
         return compute()
     side = path.removesuffix(".json") + ".json"
-    if os.path.exists(side):
+    if path_exists(spark, side):
         fields, tables = load(spark, side, "dataset")
         if fields.get("meta") != parameters:
             raise ValueError(f"{path} was made with {fields.get('meta')}")

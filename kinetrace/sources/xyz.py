@@ -95,9 +95,10 @@ def write_text(blocks: DataFrame, path: str) -> None:
             out.write(r["value"] + "\n")
 
 
-def save_text(blocks: DataFrame, path: str) -> None:
-    """A folder of part files by ranges of frames, for what a single file can't hold."""
-    blocks.repartitionByRange("frame").sortWithinPartitions("frame").select("value").write.text(path)
+def save_text(blocks: DataFrame, path: str, files: int | None = None) -> None:
+    """A folder of part files by ranges of frames, for what a single local file can't hold."""
+    ranged = blocks.repartitionByRange(files, "frame") if files else blocks.repartitionByRange("frame")
+    ranged.sortWithinPartitions("frame").select("value").write.text(path)
 
 
 def _lattice(box) -> str | None:

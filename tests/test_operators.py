@@ -270,7 +270,7 @@ def test_log(spark, tmp_path):
     data = from_array(spark, np.zeros((1, 2)))
     meta = {"name": "lens", "r": 4, "delay": 1, "c": "all", "s": "all"}
     assert log.record(data, meta) and not log.record(data, dict(meta)) and log.record(data, meta | {"s": "all "})
-    assert log.extract(str(tmp_path / "z.zip")) == ["lens_4_1_all_all", "lens_4_1_all_all_1"]
+    assert log.extract(spark, str(tmp_path / "z.zip")) == ["lens_4_1_all_all", "lens_4_1_all_all_1"]
     log.save_history(str(tmp_path / "h"))
     assert "WARNING: b" in (tmp_path / "h").read_text() and log.table(spark).count() == 2
 
