@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Words are maximal runs of characters other than these (as Java regex and as translate() argument).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -28,15 +25,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "kinetrace-shared")
-        os.makedirs(base[7:], exist_ok=True)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage in a way that survives lost executors."""
     path = shared_dir(df.sparkSession)

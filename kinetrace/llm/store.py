@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialize, mix64, partitions, shared_dir, spread, text_bytes
+from ..session import shared_dir
+from .common import documents, map_arrow, materialize, mix64, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
 WINDOW = 16
