@@ -74,7 +74,7 @@ class Toxicity:
 
     def score(self, texts: list[str]) -> np.ndarray:
         docs = [words_of(t) for t in texts]
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 200_000:
             self.cache = {}
         cache = self.cache
         new = [w for w in set().union(*docs) if w not in cache]
@@ -91,15 +91,18 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Toxicity(np.zeros(BUCKETS), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    docs = [words_of(t) for t in texts]
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    ids = np.array([vocabulary[w] for d in docs for w in d], np.int64)
-    lengths = np.array([len(d) for d in docs], np.int64)
-    buckets, owner = subwords(list(vocabulary))
-    grams = np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
-    order = np.argsort(owner, kind="stable")
-    buckets, owner = buckets[order], owner[order]
-    first = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
+    vocabulary: dict[str, int] = {}
+    each = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    lengths, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+    names, parts, counts = list(vocabulary), [], []
+    for k in range(0, len(names), 20_000):
+        part, of = subwords(names[k : k + 20_000])
+        parts.append(part[np.argsort(of, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(of, minlength=len(names[k : k + 20_000])))
+    buckets, grams = np.concatenate(parts or [np.zeros(0, np.int32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+    first = np.append(0, np.cumsum(grams))
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), grams)
+    grams = np.maximum(grams, 1)
 
     seen = np.zeros((2, BUCKETS), np.int64)
     at = 0
