@@ -195,7 +195,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     marked = materialize(seen.join(least, "digest", "left").select("doc_id", "n_words", "whole", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), "anchors"))
     rows = marked.where("not copy and doc_id is not null").select("doc_id", F.posexplode("anchors").alias("run", "anchor"))
-    shared = rows.groupBy("anchor").count().where("count > 1").select("anchor")
+    shared = materialize(rows.groupBy("anchor").count().where("count > 1").select("anchor"))  # written, so that the join's sides are dealt anew and a hot anchor can be split
     runs = rows.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     spans = search(passages(docs.select("doc_id", "text").join(runs, "doc_id"), shards))
     return marked, materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
