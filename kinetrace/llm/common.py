@@ -21,7 +21,7 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 def tune(spark: SparkSession) -> None:
     """Ship the package and bound the Arrow batches: documents may be long, so a batch holds few of them."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
