@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import DISTANCES, normalized, soap_distance
@@ -48,6 +48,14 @@ def create_references(vectors: DataFrame, addresses: dict[str, tuple[int, int]],
     return found.select("ref_name", F.lit(n_max).alias("n_max"), F.lit(l_max).alias("l_max"), vec.alias("spectrum"))
 
 
+def save_references(refs: DataFrame, path: str, override: bool = False) -> None:
+    refs.write.mode("overwrite" if override else "errorifexists").parquet(path)
+
+
+def load_references(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def merge_references(*refs: DataFrame) -> DataFrame:
     """One set of all; ValueError unless all have the same n_max and l_max."""
     found = {tuple(r) for ref in refs for r in ref.select("n_max", "l_max").distinct().limit(2).collect()}

@@ -88,3 +88,11 @@ def test_out_of_range_is_dropped(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (10.0,), (11.0,)], "x double")
     assert info.histogram_entropy(df, {"x": (0, 10)}, 10, "bit").first()["n"] == 2
     assert info.bin_of(F.lit(10.0), 0, 10, 10) is not None
+
+
+def test_nearest_neighbour_gain(spark):
+    rng = np.random.default_rng(0)
+    a = np.concatenate([rng.normal(0, 1, 300), rng.normal(20, 1, 300)])
+    df = spark.createDataFrame([(i, float(x), i // 300) for i, x in enumerate(a)], "id long, x double, l int")
+    r = info.info_gain_kl(df, ["x"], "l").first()
+    assert r["gain"] == pytest.approx(1.0, abs=0.1) and r["relative"] == pytest.approx(r["gain"] / r["h0"])

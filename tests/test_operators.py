@@ -101,7 +101,7 @@ def test_selection_language(spark):
             selection(bad)
 
 
-def test_vectors(spark):
+def test_vectors(spark, tmp_path):
     df = spark.createDataFrame([([0.0, 0.0], [3.0, 4.0])], "a array<double>, b array<double>")
     r = df.select(normalized(F.col("a")).alias("a"), normalized(F.col("b")).alias("b"), soap_distance(F.col("a"), F.col("b")).alias("d")).first()
     assert r["a"] == [0.0, 0.0] and r["b"] == pytest.approx([0.6, 0.8]) and r["d"] == pytest.approx(2**0.5)
@@ -111,6 +111,8 @@ def test_vectors(spark):
         with pytest.raises(ValueError):
             vectors.timesoap(v, delay, check=True)
     a = vectors.create_references(v, {"a": (0, 1)}, 8, 8)
+    vectors.save_references(a, str(tmp_path / "refs"))
+    assert vectors.load_references(spark, str(tmp_path / "refs")).count() == 1
     with pytest.raises(ValueError):
         vectors.merge_references(a, a.withColumn("l_max", F.lit(6)))
 
