@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 DETECTIONS = "image_path string, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
 #: Training parameters that are known; their values are checked by whoever trains.
 HYPERPARAMETERS = ("lr0", "lrf", "momentum", "weight_decay", "warmup_epochs", "warmup_momentum", "warmup_bias_lr", "box", "cls", "dfl", "hsv_h", "hsv_s", "hsv_v", "degrees", "translate", "scale", "shear", "perspective", "flipud", "fliplr", "mosaic", "mixup", "copy_paste", "close_mosaic")
@@ -60,9 +62,17 @@ def centres(rows: DataFrame, classes: Iterable[int] | None = None) -> DataFrame:
 
 
 def frame_numbers(rows: DataFrame) -> DataFrame:
-    """(image_path, frame), by a count of the paths in each range of them; a row per image."""
-    paths = rows.select("image_path").distinct()
-    return paths.select("image_path", (F.row_number().over(Window.orderBy("image_path")) - 1).alias("frame"))
+    """(image_path, frame): places of the paths in their order. Paths are dealt out by ranges and written; each range counts its own from where the ranges before it end."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
+    rows.select("image_path").distinct().repartitionByRange("image_path").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    paths = spark.read.schema("image_path string, part int").parquet(path)
+    before, offsets = 0, []
+    for r in paths.groupBy("part").count().orderBy("part").collect():  # a row per partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    w = Window.partitionBy("part").orderBy("image_path")
+    placed = paths.join(F.broadcast(spark.createDataFrame(offsets, "part int, before int")), "part")
+    return placed.select("image_path", (F.col("before") + F.row_number().over(w) - 1).alias("frame"))
 
 
 def train_split(rows: DataFrame, share: float = 0.8) -> DataFrame:

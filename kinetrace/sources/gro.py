@@ -13,6 +13,15 @@ POSITIONS = "frame int, particle_id long, resid int, resname string, name string
 FRAMES = "frame int, time double, lx double, ly double, lz double"
 
 
+#: Elements of two letters that atom names begin with; any other name stands for its first letter.
+TWO_LETTERS = ("CL", "BR", "NA", "MG", "ZN", "FE", "LI", "SI", "SE", "AL", "MN", "CU", "NI")
+
+
+def element(name: str) -> str:
+    bare = name.strip("0123456789").upper()
+    return bare[:2] if bare[:2] in TWO_LETTERS else bare[:1] or name
+
+
 def parse(text: str) -> Iterator[tuple[int, float | None, list[tuple], tuple[float, float, float]]]:
     """(frame, time, atoms, box) of each frame. Columns of numbers have the width that the distance between decimal points tells."""
     lines, at, frame = text.splitlines(), 0, 0
@@ -25,9 +34,9 @@ def parse(text: str) -> Iterator[tuple[int, float | None, list[tuple], tuple[flo
             width = line.index(".", first + 1) - first
             number = lambda k, w: float(line[k : k + w]) * 10 if line[k : k + w].strip() else None  # noqa: E731, B023
             xyz = [number(20 + k * width, width) for k in range(3)]
-            speed = [number(20 + 3 * width + k * (width + 1), width + 1) for k in range(3)]
+            speed = [number(20 + (3 + k) * width, width) for k in range(3)]
             name = line[10:15].strip()
-            atoms.append((int(line[:5]), line[5:10].strip(), name, name.rstrip("0123456789") or name, *xyz, *speed))
+            atoms.append((int(line[:5]), line[5:10].strip(), name, element(name), *xyz, *speed))
         box = tuple(float(x) * 10 for x in lines[at + 2 + n].split()[:3])
         yield frame, time, atoms, box
         at += 3 + n
