@@ -46,6 +46,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, where = _store(spark, path)
+    fs.delete(where, True)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, in whatever store the path names."""
     fs, where = _store(spark, path)
