@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import remove_path, shared_dir, ship
 
 #: Words are maximal runs of characters other than these (as Java regex and as translate() argument).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -30,12 +31,23 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_to)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now; it only learns of them when the driver collects its garbage."""
+    """Let Spark's cleaner remove the shuffle files of finished jobs now; it only learns of them when the driver collects its garbage. The driver's Python gives back what it no longer uses too."""
     gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)  # every link of `large` leads downwards
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = materialize(down.where("u <> v").distinct())
+        before, edges = edges, materialize(down.where("u <> v").distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:  # neither step changes a thing: every node hangs on its least
             break

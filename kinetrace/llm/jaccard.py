@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, free_shuffles, gram_hashes, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
+from .common import discard, documents, free_shuffles, gram_hashes, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
@@ -263,17 +263,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
 
     groups = components(links)
+    found = [links, listed, texts, best]
     named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n", "rest"))
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cross_pairs(named.join(mixed, "token", "left_semi")).join(tested, ["a", "b"], "left_anti")
     rest = materialize(near_enough(rest, sets))
     free_shuffles(spark)
-    links = links.unionByName(compare(rest, texts, classes))
+    more = compare(rest, texts, classes)
+    links = links.unionByName(more)
     free_shuffles(spark)
 
     # equal sets hold together; a document with several texts has several sets
     groups = components(links)
+    discard(*found, named, rest, more)
+    classes.destroy()
     ids = sets.join(equal, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return ids.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WS_CHARS, documents, materialize, spread
+from .common import WS_CHARS, discard, documents, materialize, spread
 
 ROUNDS = 6
 #: Share of all tokens to keep, and the powers of its natural share that a marginal's targets follow (1 keeps it, 0 makes all equal).
@@ -73,6 +73,7 @@ def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     weighted = rake(cells, {m: tempered(cells, m, powers[m]) for m in MARGINS})
     chance = materialize(weighted.select(*MARGINS, F.least(F.lit(1.0), F.lit(budget) * F.col("w") / F.col("tokens")).alias("probability")))
+    discard(cells)
     salts = F.explode(F.sequence(F.lit(0), F.lit(15)))  # a cell may hold a third of all documents
     found = rows.withColumn("salt", F.pmod(F.hash("doc_id", "tokens"), F.lit(16))).join(chance.withColumn("salt", salts), [*MARGINS, "salt"])
     return found.select("doc_id", *MARGINS, "tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))

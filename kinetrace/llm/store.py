@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import documents, map_arrow, materialize, mix64, partitions, spread, text_bytes
+from .common import discard, documents, map_arrow, materialize, mix64, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
 WINDOW = 16
@@ -126,6 +126,7 @@ def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray
     path = shared_dir(spark)
     recipes.sortWithinPartitions("part", *order).write.partitionBy("part").option("compression", "zstd").parquet(path)
     recipes = spark.read.schema(recipes.schema).parquet(path)
+    discard(parts)
     return Store(chunks, recipes, manifest(recipes))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, map_arrow, materialize, partitions, spread, text_bytes, word_hashes
+from .common import discard, documents, free_shuffles, gram_hashes, map_arrow, materialize, partitions, spread, text_bytes, word_hashes
 from .fm import FMIndex
 
 WINDOW, GRAM = 20, 6
@@ -194,11 +194,19 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = materialize(first_pass(docs))
     least = seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     marked = materialize(seen.join(least, "digest", "left").select("doc_id", "n_words", "whole", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), "anchors"))
+    discard(seen)
     rows = marked.where("not copy and doc_id is not null").select("doc_id", F.posexplode("anchors").alias("run", "anchor"))
     shared = materialize(rows.groupBy("anchor").count().where("count > 1").select("anchor"))  # written, so that the join's sides are dealt anew and a hot anchor can be split
     runs = rows.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    free_shuffles(docs.sparkSession)
+    runs = materialize(runs)
+    discard(shared)
+    free_shuffles(docs.sparkSession)
     spans = search(passages(docs.select("doc_id", "text").join(runs, "doc_id"), shards))
-    return marked, materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    discard(runs)
+    free_shuffles(docs.sparkSession)
+    return marked, spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, fold_of, map_arrow, mix64, spread
+from .common import documents, fold_of, free_shuffles, map_arrow, mix64, spread
 from .learn import SCORES, labelled_sample, labels_of, scored
 
 BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 8, 24, (3, 4, 5)
@@ -166,7 +166,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
 
 def trained(docs: DataFrame, labels: DataFrame) -> Toxicity:
     sample = labelled_sample(docs, labels, "toxic", FOLDS, 0)
-    return fit(sample["text"].tolist(), sample["label"].to_numpy(np.int64))
+    model = fit(sample["text"].tolist(), sample["label"].to_numpy(np.int64))
+    del sample
+    free_shuffles(docs.sparkSession)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: Toxicity) -> DataFrame:
