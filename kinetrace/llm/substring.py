@@ -192,9 +192,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables: the first pass with `copy` (an earlier document has the same words), and doc_id with its spans, for documents that lose some words."""
     shards = 4 * partitions(docs.sparkSession)
     seen = materialize(first_pass(docs))
-    least = seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    least = materialize(seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least")))  # written for the same reason as the shared minimizers below
     marked = materialize(seen.join(least, "digest", "left").select("doc_id", "n_words", "whole", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), "anchors"))
-    discard(seen)
+    discard(seen, least)
     rows = marked.where("not copy and doc_id is not null").select("doc_id", F.posexplode("anchors").alias("run", "anchor"))
     shared = materialize(rows.groupBy("anchor").count().where("count > 1").select("anchor"))  # written, so that the join's sides are dealt anew and a hot anchor can be split
     runs = rows.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
