@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is a run of letters and digits, lower-cased; its vector is the mean of the vectors of its character n-grams (3 to 5, with marks for its ends), so a misspelling that was never seen shares most of them. A passage of 24 words is the mean of its words' vectors (a shorter one counts as filled up with zero vectors); a linear softmax gives its classes; a document is as toxic as its most toxic passage, so a long clean document isn't mistaken for the insults' dilution. Embeddings and softmax are fitted together by Adam on the passages that decide. n-grams keep a zero vector unless three training documents hold them, toxic ones three times as often and four standard deviations more often than others: with far more n-grams than documents, a free fit would learn the documents instead.
+A word is a run of letters and digits, lower-cased; its vector is the mean of the vectors of its character n-grams (3 to 5, with marks for its ends), so a misspelling that was never seen shares most of them. A passage of 24 words is the mean of its words' vectors (a shorter one counts as filled up with zero vectors); a linear softmax gives its classes; a document is as toxic as its most toxic passage, wherever that starts, so a long clean document isn't mistaken for the insults' dilution and no cut parts two insults that stand close together. Embeddings and softmax are fitted together by Adam on the passages that decide. n-grams keep a zero vector unless three training documents hold them, toxic ones three times as often and four standard deviations more often than others: with far more n-grams than documents, a free fit would learn the documents instead.
 
 Empty and null texts have the score of an empty passage. Without labelled documents of both classes every score is the share of toxic ones (0 without any). Repeated doc_ids get a row each; extra columns are not read.
 """
@@ -46,18 +46,35 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each passage starts among all words, and its document; every document has one at least."""
-    per = np.maximum(-(-lengths // SEGMENT), 1)
+def segments(lengths: np.ndarray, stride: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Where each passage starts among all words, and its document; every document has one at least. A stride of 1 gives every run of 24 words."""
+    per = np.maximum(-(-(lengths - SEGMENT) // stride), 0) + 1
     doc = np.repeat(np.arange(len(lengths)), per)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    return np.repeat(np.cumsum(lengths) - lengths, per) + within * SEGMENT, doc
+    return np.repeat(np.cumsum(lengths) - lengths, per) + within * stride, doc
 
 
-def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of the values from each start to the next."""
+def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the values from each start to its end."""
     total = np.concatenate([[0.0], np.cumsum(values)])
-    return np.diff(total[np.append(starts, len(values))])
+    return total[ends] - total[starts]
+
+
+def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start up to its end, one after the other, and how many each has."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+def changing(hot: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all runs of 24 words, those that open a document or hold other hot words than the run a word before, as segments() gives them. hot: sorted places among all words."""
+    end = np.cumsum(lengths)
+    begin = end - lengths
+    of = np.searchsorted(end, hot, side="right")
+    places = np.stack([np.concatenate([begin, hot - SEGMENT + 1, hot + 1]), np.concatenate([np.arange(len(lengths)), of, of])])
+    places[0] = np.clip(places[0], begin[places[1]], np.maximum(end - SEGMENT, begin)[places[1]])
+    doc, start = np.unique(places[::-1], axis=1)
+    return start, doc
 
 
 class Toxicity:
@@ -80,10 +97,10 @@ class Toxicity:
         new = [w for w in set().union(*docs) if w not in cache]
         cache.update(zip(new, self.word_scores(new).tolist(), strict=True))
         values = np.array([cache[w] for d in docs for w in d])
-        starts, doc = segments(np.array([len(d) for d in docs], np.int64))
-        logit = self.bias + sums(values, starts) / SEGMENT
-        best = np.full(len(docs), -np.inf)
-        np.maximum.at(best, doc, logit)
+        lengths = np.array([len(d) for d in docs], np.int64)
+        starts, doc = segments(lengths, 1)
+        logit = self.bias + sums(values, starts, np.minimum(starts + SEGMENT, np.cumsum(lengths)[doc])) / SEGMENT
+        best = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(docs)))) if docs else logit
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -119,19 +136,12 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
     buckets, owner = np.searchsorted(used, buckets[keep]), owner[keep]
     first = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
 
-    # words with such n-grams, and the passages that hold them or stand first in a document
-    starts, doc = segments(lengths)
+    # words with such n-grams, and the passages that differ in them
     hot = np.flatnonzero(np.diff(first)[ids] > 0)
-    passage = np.searchsorted(starts, hot, side="right") - 1
-    lead_in = np.zeros(len(starts), bool)
-    lead_in[passage] = True
-    lead_in[np.searchsorted(doc, np.arange(len(lengths)))] = True
-    kept = np.flatnonzero(lead_in)
-    passage, doc = np.searchsorted(kept, passage), doc[kept]
     word_at = ids[hot]
-    counts = np.diff(first)[word_at]
-    pick = np.repeat(first[word_at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    gram, part, row = buckets[pick], np.repeat(1 / (grams[word_at] * SEGMENT), counts), np.repeat(passage, counts)
+    starts, doc = changing(hot, lengths)
+    lo, hi = np.searchsorted(hot, starts), np.searchsorted(hot, np.minimum(starts + SEGMENT, np.cumsum(lengths)[doc]))
+    part = 1 / (grams * SEGMENT)
 
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -139,13 +149,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
     weight = np.where(labels == 1, positive, 1.0)
     weight /= weight.sum()
     for step in range(1, epochs + 1):
-        logit = np.bincount(row, part * (e @ (w[:, 1] - w[:, 0]))[gram], len(doc))
+        logit = sums((np.bincount(owner, (e @ (w[:, 1] - w[:, 0]))[buckets], len(part)) * part)[word_at], lo, hi)
         lead = np.lexsort((-logit, doc))
         lead = lead[np.append(True, np.diff(doc[lead]) > 0)]  # the deciding passage of each document
-        place = np.full(len(doc), -1)
-        place[lead] = np.arange(len(lead))
-        now = place[row] >= 0
-        g_, p_, r_ = gram[now], part[now], place[row[now]]
+        at, n = runs(lo[lead], hi[lead])
+        words = word_at[at]
+        pick, m_ = runs(first[words], first[words + 1])
+        g_, p_, r_ = buckets[pick], np.repeat(part[words], m_), np.repeat(np.repeat(np.arange(len(lead)), n), m_)
         bag = np.stack([np.bincount(r_, p_ * e[g_, k], len(lead)) for k in range(DIM)], 1)
         z = bag @ w + b
         z -= z.max(1, keepdims=True)

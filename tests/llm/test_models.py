@@ -40,6 +40,30 @@ def test_toxicity_sees_misspellings(spark):
         assert ((toxicity.fit(["a"] * len(labels), labels).score(["x"]) >= 0.5) == (len(labels) > 0 and labels[0] == 1)).all()
 
 
+def test_toxicity_reads_every_passage():
+    rng = np.random.default_rng(1)
+    lengths = np.array([0, 5, 24, 25, 90, 300])
+    starts, doc = toxicity.segments(lengths, 1)
+    assert starts.tolist() == [s + k for s, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True) for k in range(max(n - 23, 1))]
+    ends = np.minimum(starts + 24, np.cumsum(lengths)[doc])
+    hot = np.flatnonzero(rng.random(lengths.sum()) < 0.1)
+    some, of = toxicity.changing(hot, lengths)
+    sets = lambda s, d: {(int(k), *hot[(hot >= a) & (hot < min(a + 24, lengths[: k + 1].sum()))].tolist()) for a, k in zip(s, d, strict=True)}
+    assert sets(some, of) == sets(starts, doc) and len(some) < len(starts)
+    value = rng.normal(size=lengths.sum())
+    assert np.allclose(toxicity.sums(value, starts, ends), [value[a:b].sum() for a, b in zip(starts, ends, strict=True)])
+
+    clean = lambda k: " ".join("".join(rng.choice(list("lmnoprst"), 5)) for _ in range(k))
+    pair = lambda at: f"{clean(at)} horrible {clean(3)} dreadful {clean(70 - at)}"
+    lone = lambda at, w: f"{clean(at)} {w} {clean(70 - at)}"
+    y = np.arange(600) % 6 == 0  # toxic: two insults close together; some clean ones hold one
+    texts = [pair(int(rng.integers(0, 60))) if bad else lone(int(rng.integers(0, 60)), ("horrible", "dreadful")[k % 2]) if k % 12 < 3 else clean(72) for k, bad in enumerate(y)]
+    m = toxicity.fit(texts, y.astype(int))
+    held = [pair(at) for at in range(60)] + [lone(at, w) for at in range(60) for w in ("horrible", "dreadful")]
+    assert ((m.score(held) >= 0.5) == (np.arange(180) < 60)).all()
+    assert len(m.score([])) == 0
+
+
 def test_dual_descent_meets_its_conditions():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
