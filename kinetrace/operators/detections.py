@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,18 +38,17 @@ def suppress(rows: DataFrame, iou: float = 0.7, agnostic: bool = False) -> DataF
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True])
         kept: list[int] = []
+        left = np.ones(len(pdf), bool)
         box = pdf[["x1", "y1", "x2", "y2"]].to_numpy()
         area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
         cls = pdf["cls"].to_numpy()
         for i in range(len(pdf)):
-            for k in kept:
-                w = min(box[i, 2], box[k, 2]) - max(box[i, 0], box[k, 0])
-                h = min(box[i, 3], box[k, 3]) - max(box[i, 1], box[k, 1])
-                both = max(w, 0) * max(h, 0)
-                if (agnostic or cls[i] == cls[k]) and both > iou * (area[i] + area[k] - both):
-                    break
-            else:
+            if left[i]:
                 kept.append(i)
+                w = np.minimum(box[i, 2], box[i:, 2]) - np.maximum(box[i, 0], box[i:, 0])
+                h = np.minimum(box[i, 3], box[i:, 3]) - np.maximum(box[i, 1], box[i:, 1])
+                both = np.maximum(w, 0) * np.maximum(h, 0)
+                left[i:] &= ~((agnostic | (cls[i:] == cls[i])) & (both > iou * (area[i] + area[i:] - both)))
         return pdf.iloc[kept]
 
     return rows.groupBy("image_path").applyInPandas(run, schema)

@@ -451,7 +451,7 @@ def yolo_labels(spark, d):
 
 @query()
 def det_suppress(spark, d):
-    return detections.suppress(detections.filter_detections(v.detections(spark, d), 0.25, max_det=100), 0.5).select("image_path", "det_id", "cls")
+    return detections.suppress(v.detections(spark, d).where("conf >= 0.25"), 0.5).select("image_path", "det_id", "cls")
 
 
 @query()
