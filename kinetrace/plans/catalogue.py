@@ -249,7 +249,7 @@ def tica_project(spark, d):
 
 @query()
 def soap_kernel(spark, d):
-    out = soap.soap(v.positions(spark, d), 2.0, 4, 3, box=v.BOX, centers=F.col("particle_id") < 5)
+    out = soap.soap(v.positions(spark, d), 2.0, 4, 3, box=v.BOX)
     return out.select("particle_id", "frame", F.posexplode("vec").alias("k", "value")).withColumn("value", r6("value"))
 
 

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from kinetrace.operators import detections
+from kinetrace.operators import detections, soap
 from kinetrace.plans import views
 from kinetrace.plans.catalogue import QUERIES
 
@@ -43,3 +43,15 @@ def test_suppression_sees_every_confident_box(spark):
     for agnostic in (False, True):
         got = detections.suppress(df, 0.3, agnostic).select("image_path", "det_id", "cls").collect()
         assert sorted(map(tuple, got)) == brute_suppress(df.toPandas(), 0.3, agnostic)
+
+
+def test_every_environment_has_its_spectrum(spark):
+    got = QUERIES["soap_kernel"](spark, DIR).cache()
+    found = got.groupBy("particle_id", "frame").count().toPandas()
+    every = views.positions(spark, DIR).select("particle_id", "frame").toPandas()
+    assert sorted(zip(found["particle_id"], found["frame"], strict=True)) == sorted(zip(every["particle_id"], every["frame"], strict=True))
+    assert found["count"].nunique() == 1
+    few = soap.soap(views.positions(spark, DIR), 2.0, 4, 3, box=views.BOX, centers="id 8", selection="all")
+    want = {(r["frame"], k): x for r in few.collect() for k, x in enumerate(r["vec"])}
+    have = {(r["frame"], r["k"]): r["value"] for r in got.where("particle_id = 7").collect()}
+    assert want.keys() == have.keys() and all(abs(want[k] - have[k]) < 1e-5 for k in want)
