@@ -1,11 +1,13 @@
 """Token-ID output: a content-addressed store of id streams.
 
-Rolling hashes over ids cut each document's stream into chunks; a chunk is stored once under its SHA-256; a recipe per document lists its chunks; a Merkle tree over the recipes proves the whole. Tables (Parquet, in one folder):
+Rolling hashes over ids cut each document's stream into chunks; a chunk is stored once under its SHA-256; a recipe per document lists its chunks; a Merkle tree over the recipes proves the whole. Tables (Parquet):
 
     chunks   key binary (SHA-256 of the ids as little-endian unsigned 16- or 32-bit integers), n int, ids binary
     recipes  doc_id long, start long, n_tokens long, keys array<binary>, rest array<long>; files in ascending doc_id order (nulls first), rows sorted inside; rest is the number of ids after each chunk
     manifest part int, first long, n_docs long, n_tokens long, root binary; one row per part, and part -1 for the root over these
 
+Reading recomputes the manifest from the recipes, hashes chunks and adds up their lengths; whatever differs is an error.
+
 Null texts count as empty: such a document holds only the end id. Repeated doc_ids are separate documents, in order of their length and recipe. An empty table gives empty tables. Extra columns are not read.
 """
 
@@ -127,12 +129,12 @@ def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray
     recipes.sortWithinPartitions("part", *order).write.partitionBy("part").option("compression", "zstd").parquet(path)
     recipes = spark.read.schema(recipes.schema).parquet(path)
     discard(parts)
-    return Store(chunks, recipes, manifest(recipes))
+    return Store(chunks, recipes, materialize(manifest(recipes).coalesce(1)))
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
     """Merkle roots: a row per part of the recipes, and the root over them as part -1. Leaves are hashed by the executors; only a digest per part reaches the driver."""
-    leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary"), F.lit(b":"), F.col("start").cast("string").cast("binary"), F.lit(b":"), F.aggregate("keys", F.lit(b""), lambda a, x: F.concat(a, x))), 256)
+    leaf = F.sha2(F.concat(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.array_join(F.col("rest").cast("array<string>"), ","), F.lit("")).cast("binary"), F.aggregate("keys", F.lit(b""), lambda a, x: F.concat(a, x))), 256)
     rows = recipes.select("part", "doc_id", "start", "n_tokens", leaf.alias("leaf")).sortWithinPartitions("part", "start")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +158,14 @@ def manifest(recipes: DataFrame) -> DataFrame:
     return recipes.sparkSession.createDataFrame([top, *map(tuple, found)], schema)
 
 
+def verify(store: Store) -> None:
+    """Compare the recipes with the stored manifest: roots, documents and tokens of each part."""
+    rows = [{r["part"]: (r["first"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in m.collect()} for m in (store.manifest, manifest(store.recipes))]  # a row per partition
+    wrong = sorted(p for p in rows[0].keys() | rows[1].keys() if rows[0].get(p) != rows[1].get(p))
+    if wrong:
+        raise ValueError(f"recipes don't match the manifest in parts {wrong[:10]}")
+
+
 _POLY = np.uint32(0xEDB88320)
 
 
@@ -198,34 +208,41 @@ def read_digests(store: Store) -> DataFrame:
 
     Each stored chunk is read once, checked against its key, and reduced to its CRC; the CRC of a document is the exclusive or of its chunks' CRCs, each shifted by the bytes that follow. So no ids are shuffled, and a chunk that many documents share costs a row each.
     """
+    verify(store)
 
     def checked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         crcs, at = [], 0
         keys, ns, parts = (batch.column(c).to_pylist() for c in ("key", "n", "ids"))
-        for key, data in zip(keys, parts, strict=True):
-            if hashlib.sha256(data).digest() != key:
+        size = len(parts[0]) // ns[0]
+        for key, n, data in zip(keys, ns, parts, strict=True):
+            if hashlib.sha256(data).digest() != key or len(data) != n * size:
                 raise ValueError(f"chunk {key.hex()} doesn't match its key")
-        wide = memoryview(np.frombuffer(b"".join(parts), f"<u{len(parts[0]) // ns[0]}").astype("<u4").tobytes())
+        wide = memoryview(np.frombuffer(b"".join(parts), f"<u{size}").astype("<u4").tobytes())
         for n in ns:
             crcs.append(zlib.crc32(wide[at : at + 4 * n]))
             at += 4 * n
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64())], ["key", "crc"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(crcs, pa.int64())], ["key", "n", "crc"])
 
     def shifted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         crc = crc_shift(batch.column("crc").to_numpy().astype(np.uint32), batch.column("after").to_numpy() * 4)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "crc"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), batch.column("n"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "crc"])
 
-    crcs = map_arrow(store.chunks, checked, "key binary, crc long")
+    crcs = map_arrow(store.chunks, checked, "key binary, n int, crc long")
     lines = store.recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("keys", "rest")).alias("c")).select("doc_id", "start", "n_tokens", F.col("c.keys").alias("key"), F.col("c.rest").alias("after"))
-    joined = lines.join(crcs, "key", "left").select("doc_id", "start", "n_tokens", F.coalesce("crc", F.raise_error(F.lit("a chunk of a recipe is missing"))).alias("crc"), "after")
-    return map_arrow(joined, shifted, "doc_id long, start long, n_tokens long, crc long").groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
+    joined = lines.join(crcs, "key", "left").select("doc_id", "start", "n_tokens", F.coalesce("crc", F.raise_error(F.lit("a chunk of a recipe is missing"))).alias("crc"), "n", "after")
+    whole = map_arrow(joined, shifted, "doc_id long, start long, n_tokens long, n int, crc long").groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("crc"), F.sum("n").alias("n"))
+    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("n") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.lit("the chunks of a recipe don't add up to its tokens"))).alias("ids_crc32"))
 
 
 def read_documents(store: Store) -> DataFrame:
     """doc_id, start and ids (binary) of every document, put together again from its chunks."""
-    lines = store.recipes.select("doc_id", "start", F.posexplode("keys").alias("at", "key"))
-    rows = lines.join(store.chunks, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("c"))
-    return rows.select("doc_id", "start", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    verify(store)
+    lines = store.recipes.select("doc_id", "start", "n_tokens", F.posexplode("keys").alias("at", "key"))
+    same = F.unhex(F.sha2("ids", 256)) == F.col("key")
+    found = lines.join(store.chunks, "key", "left").withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk of a recipe is missing or doesn't match its key"))))
+    rows = found.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("c"), F.sum("n").alias("n"))
+    ids = F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return rows.select("doc_id", "start", F.when(F.col("n") == F.col("n_tokens"), ids).otherwise(F.raise_error(F.lit("the chunks of a recipe don't add up to its tokens"))).alias("ids"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:

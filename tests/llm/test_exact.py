@@ -76,6 +76,33 @@ def test_store(spark, docs, rows, empty):
         store.read_digests(broken).collect()
 
 
+def test_store_is_verified_against_its_manifest(spark, docs):
+    from pyspark.sql import functions as F
+
+    made = store.write_store(docs, lambda t: encoder(CLIP, True).encode(t), 2)
+    assert made.manifest.inputFiles() and made.manifest.where("part >= 0").count() == made.recipes.select("part").distinct().count()
+    first = made.recipes.orderBy("start").first()["start"]
+    long = made.recipes.where("size(keys) > 1 and keys != reverse(keys)").orderBy("start").first()["start"]
+    part = made.manifest.where("part >= 0").first()["part"]
+    here = F.col("start") == long
+    for bad in (
+        made.recipes.where(F.col("start") != first),  # a dropped recipe
+        made.recipes.where(F.col("part") != part),  # a missing part
+        made.recipes.withColumn("keys", F.when(here, F.reverse("keys")).otherwise(F.col("keys"))),  # a reordered recipe
+        made.recipes.withColumn("n_tokens", F.when(here, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))),
+        made.recipes.withColumn("rest", F.when(here, F.reverse("rest")).otherwise(F.col("rest"))),
+    ):
+        for read in (store.read_digests, store.read_documents):
+            with pytest.raises(ValueError, match="manifest"):
+                read(store.Store(made.chunks, bad, made.manifest)).collect()
+    longer = made.recipes.withColumn("n_tokens", F.when(here, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
+    for read in (store.read_digests, store.read_documents):  # a manifest made anew doesn't hide wrong lengths
+        with pytest.raises(Exception, match="add up"):
+            read(store.Store(made.chunks, longer, store.manifest(longer))).collect()
+    with pytest.raises(Exception, match="missing"):
+        store.read_documents(store.Store(made.chunks.limit(1), made.recipes, made.manifest)).collect()
+
+
 def test_chunks_and_merkle():
     ids = np.random.default_rng(0).integers(0, 50000, 5000).astype("<u2")
     ends = store.cut_points(store.chunk_marks(ids), 0, 5000)
