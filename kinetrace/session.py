@@ -27,9 +27,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder under the one the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "kinetrace-shared")
         os.makedirs(base[7:], exist_ok=True)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -51,6 +53,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path when the application ends, for tables that results not yet computed still read."""
+    fs, where = _store(spark, path)
+    fs.deleteOnExit(where)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, in whatever store the path names."""
     fs, where = _store(spark, path)
