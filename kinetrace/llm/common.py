@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove_path, shared_dir, ship
+from ..session import remove_at_exit, remove_path, shared_dir, ship
 
 #: Words are maximal runs of characters other than these (as Java regex and as translate() argument).
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -20,17 +20,20 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def tune(spark: SparkSession) -> None:
-    """Ship the package and bound the Arrow batches: documents may be long, so a batch holds few of them."""
+    """Ship the package and bound the Arrow batches, unless the session sets bounds of its own: documents may be long, so a batch holds few of them."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    now = spark._jsparkSession.sessionState().conf()
+    for key, value in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 16 << 20)):
+        if not now.contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage in a way that survives lost executors."""
+    """Write a table to the shared folder and read it back, which cuts the lineage in a way that survives lost executors. What nobody discards goes when the application ends."""
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    remove_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -67,15 +70,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with the package on the workers."""
+    tune(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """The same with a function of one batch, which has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -103,7 +112,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.ones(1, np.uint64)
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -22,40 +22,45 @@ class BitRank:
         word, mask = self.words[i >> 6], (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[i >> 6] + np.bitwise_count(word & mask)
 
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 class FMIndex:
-    """Index of a sequence of integers >= 0, in which 0 ends a text. Patterns hold no 0, and are found up to `depth` symbols.
+    """Index of a sequence of integers >= 0, in which 0 ends a text. Patterns hold no 0.
 
-    Suffixes are sorted by their first `depth` symbols, by prefix doubling; deeper ties are left as they fall, which intervals of shorter patterns don't show.
+    Ends of texts sort by their place, so row k belongs to the end of text k and no two suffixes tie. The suffix array serves to make the transform and is not kept; what an interval needs to know of places is one bit a row: whether the suffix's first `threshold` symbols (its window) stand at an earlier place too.
     """
 
-    def __init__(self, text: np.ndarray, depth: int = 64, threshold: int = 20) -> None:
+    def __init__(self, text: np.ndarray, threshold: int = 20) -> None:
         symbols, t = np.unique(text, return_inverse=True)
         if not len(symbols) or symbols[0] != 0:
             symbols, t = np.append(0, symbols), t + 1
-        self.symbols, n = symbols, len(t)
-        rank, k = t.astype(np.int64), 1
+        self.symbols, n, self.threshold = symbols, len(t), threshold
+        ends = t == 0
+        rank = np.where(ends, np.cumsum(ends) - 1, t + int(ends.sum()))
         pick = 1 << (threshold.bit_length() - 1)
-        saved = rank
-        while True:
-            if k == pick:
-                saved = rank
-            if k >= depth:
-                break
+        saved, k, order, unique = rank, 1, np.argsort(rank, kind="stable"), False
+        while not unique or k < pick:
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - k)] = rank[k:] + 1
-            key = rank * (n + 2) + ahead
+            key = rank * (int(rank.max(initial=0)) + n + 2) + ahead
             order = np.argsort(key)
             key = key[order]
+            step = np.cumsum(np.append(False, key[1:] != key[:-1])) if n else key
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])) if n else key
+            rank[order] = step
             k *= 2
-        self.suffixes = np.argsort(rank)
-        rest = np.minimum(self.suffixes + threshold - pick, n - 1)
-        whole, tail = saved[self.suffixes], saved[rest]
-        self.block = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (tail[1:] != tail[:-1]))) if n else np.zeros(0, np.int64)
-        self.first = np.minimum.reduceat(self.suffixes, self.block) if n else self.suffixes
-        last = t[self.suffixes - 1]
+            if k == pick:
+                saved = rank
+            unique = not n or int(step[-1]) == n - 1
+        rest = np.minimum(order + threshold - pick, n - 1)
+        whole, tail = saved[order], saved[rest]
+        block = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (tail[1:] != tail[:-1]))) if n else order
+        least = np.repeat(np.minimum.reduceat(order, block) if n else order, np.diff(np.append(block, n)))
+        self.again = BitRank(order > least)
+        self.n = n
+        last = t[order - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(symbols)))]).astype(np.int64)
         self.levels: list[tuple[int, BitRank]] = []
         for b in range(max(1, int(len(symbols) - 1).bit_length()) - 1, -1, -1):
@@ -76,16 +81,20 @@ class FMIndex:
         at = np.minimum(np.searchsorted(self.symbols, values), len(self.symbols) - 1)
         return np.where(self.symbols[at] == values, at, 0)
 
+    def before(self, i: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """One end of a backward step: the row of symbol + pattern from that of pattern."""
+        return self._descend(i, symbol) - self.origin[symbol] + self.less[symbol]
+
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: intervals of symbol + pattern from those of pattern. Empty ones have lo >= hi."""
-        at = self._descend(np.concatenate([lo, hi]), np.concatenate([symbol, symbol])).reshape(2, -1) - self.origin[symbol] + self.less[symbol]
+        at = self.before(np.concatenate([lo, hi]), np.concatenate([symbol, symbol])).reshape(2, -1)
         return at[0], np.where(symbol == 0, at[0], at[1])
 
     def matching_statistics(self, query: np.ndarray, cap: int) -> np.ndarray:
-        """For each position of a query, the length of the longest match that ends there, `cap` at most."""
+        """For each position of a query from elsewhere, the length of the longest match that ends there, `cap` at most."""
         symbols, n = self.encode(query), len(query)
         length, alive = np.zeros(n, np.int64), np.arange(n)
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.suffixes))
+        lo, hi = np.zeros(n, np.int64), np.full(n, self.n)
         for k in range(cap):
             keep = alive >= k
             alive, lo, hi = alive[keep], lo[keep], hi[keep]
@@ -107,6 +116,23 @@ class FMIndex:
                 out.append((s, e + 1))
         return out
 
-    def first_of(self, lo: np.ndarray) -> np.ndarray:
-        """Least text position whose first `threshold` symbols are those of the suffix at lo."""
-        return self.first[np.searchsorted(self.block, lo, side="right") - 1]
+    def earlier(self, text: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place in it) of every window of the indexed texts whose matching statistic against all that starts earlier reaches the threshold.
+
+        All texts are streamed backward side by side, from the row of their end: a backward step a symbol, and from the threshold on the row's bit says whether the window that starts there was met before. text: symbols as indexed; end: where each text's 0 stands, ascending; length: its symbols.
+        """
+        symbols = self.encode(text)
+        by_size = np.argsort(-length, kind="stable")
+        at, size = end[by_size], length[by_size]
+        row, which, place = by_size.copy(), [], []
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -k, side="left"))
+            row = self.before(row[:live], symbols[at[:live] - 1 - k])
+            if k + 1 >= self.threshold:
+                old = np.flatnonzero(self.again[row])
+                which.append(by_size[old])
+                place.append(size[old] - 1 - k)
+        none = np.zeros(0, np.int64)
+        which, place = np.concatenate([none, *which]), np.concatenate([none, *place])
+        order = np.lexsort((place, which))
+        return which[order], place[order]

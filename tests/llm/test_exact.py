@@ -184,6 +184,41 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert substring.remove_repeats(empty).count() == 0 and substring.strip_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substring_dedup_with_repeated_rows(spark, rows, hot):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    prose = lambda k: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 9)) for _ in range(k))
+    line = "one line of six common words and more of it"
+    twice, short, passage = prose(60), prose(7), prose(35)
+    made = [(i, t) for i, t, *_ in rows] + [(i, t) for i, t, *_ in rows[:9]]  # equal rows
+    made += [(1, twice), (1, twice), (1, twice + " "), (2, twice), (2, prose(40)), (2, short), (2, short), (7, f"{prose(5)} {passage}"), (7, f"{passage} {prose(5)}")]  # equal and different texts under one id
+    made += [(None, twice), (None, twice), (None, None), (8, None), (8, None), (9, ""), (9, "")]
+    made += [(2000 + k, f"{prose(30)} {line} {prose(30)}") for k in range(40)] + [(3000 + k, f"{passage} {line} {prose(9)}") for k in range(8)]  # a minimizer in many texts
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x", k) for k, (i, t) in enumerate(made)], "doc_id long, text string, n_chars long, spans string, th int").repartition(5)
+    with_hash = [(r[0], r[1], r[2]) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
+    known = sorted(((i, h), t or "") for i, h, t in with_hash if i is not None)
+    want, seen = [], set()
+    for (i, _), t in known:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    want += [(None, len(words(t)), 0, hashlib.sha256(" ".join(words(t)).encode()).hexdigest()) for i, _, t in with_hash if i is None]
+    got = [tuple(r) for r in substring.remove_repeats(docs, hot).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(0 < g < n for _, n, g, _ in want) > 10
+    kept = substring.strip_repeats(docs, hot)
+    assert kept.schema == docs.schema
+    assert sorted((repr(r["doc_id"]), hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest()) for r in kept.collect()) == sorted((repr(i), s) for i, n, g, s in want if not n or g < n)
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for n, s in ((50, 3), (400, 4), (2000, 30)):
@@ -198,6 +233,17 @@ def test_fm_index():
                 k += 1
             assert got[e] == k
     assert fm.FMIndex(np.array([5, 6, 7, 8])).report(np.array([1, 6, 7, 8, 6, 7]), 2) == [(1, 6)]
+    parts = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(60)]
+    length = np.array([len(p) for p in parts])
+    text = np.concatenate([x for p in parts for x in (p, [0])])
+    seen, want = set(), set()
+    for k, p in enumerate(parts):
+        for at in range(len(p) - 4):
+            if tuple(p[at : at + 5]) in seen:
+                want.add((k, at))
+            seen.add(tuple(p[at : at + 5]))
+    which, place = fm.FMIndex(text, 5).earlier(text, np.cumsum(length + 1) - 1, length)
+    assert list(zip(which, place, strict=True)) == sorted(want)
 
 
 def shingle_sets(rows):
