@@ -1,14 +1,14 @@
 """Token-ID output: a content-addressed store of id streams.
 
-Rolling hashes over ids cut each document's stream into chunks; a chunk is stored once under its SHA-256; a recipe per document lists its chunks; a Merkle tree over the recipes proves the whole. Tables (Parquet):
+Rolling hashes over ids cut each document's stream into chunks; a chunk is stored once under its SHA-256; a recipe per document lists its chunks; a Merkle tree over the recipes proves the whole. A store is a folder of three Parquet tables:
 
-    chunks   key binary (SHA-256 of the ids as little-endian unsigned 16- or 32-bit integers), n int, ids binary
-    recipes  doc_id long, start long, n_tokens long, keys array<binary>, rest array<long>; files in ascending doc_id order (nulls first), rows sorted inside; rest is the number of ids after each chunk
-    manifest part int, first long, n_docs long, n_tokens long, root binary; one row per part, and part -1 for the root over these
+    kind=chunks  key binary (SHA-256 of the ids as little-endian unsigned 16- or 32-bit integers), n int, ids binary
+    recipes      part int, row long, doc_id long, at long, n_tokens long, keys binary, rest array<long>; parts in ascending doc_id order (nulls first), row and at count the part's rows and ids before; keys: 32 bytes a chunk; rest: the number of ids after each chunk
+    manifest     part int, first long, n_docs long, n_tokens long, root binary: a row per part of the recipes with its Merkle root and the ids before it; part -1 has the root over the parts' and the totals; part -2 the number of chunks, of their ids, and a digest of the set of keys
 
-Reading recomputes the manifest from the recipes, hashes chunks and adds up their lengths; whatever differs is an error.
+open_store() opens a folder. Reading recomputes leaves, roots and the set of keys from the files, hashes chunks and adds up their lengths; whatever was changed, dropped, added or swapped is an error.
 
-Null texts count as empty: such a document holds only the end id. Repeated doc_ids are separate documents, in order of their length and recipe. An empty table gives empty tables. Extra columns are not read.
+Null texts count as empty: such a document holds only the end id. Repeated doc_ids are separate documents, in order of their length and recipe; null ids come first. An empty table gives an empty store. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .common import discard, documents, map_arrow, materialize, mix64, partitions, spread, text_bytes
+from ..session import path_exists, remove_at_exit, remove_path, shared_dir
+from .common import documents, in_arrow, map_arrow, mix64, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
 WINDOW = 16
 MEAN, LEAST, MOST = 256, 64, 1024
 END = 2
+#: Keys of chunks sent that a task remembers.
+REMEMBERED = 1 << 16
 
 
 def chunk_marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -67,103 +71,133 @@ class Store:
     manifest: DataFrame
 
 
-def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]], end: int | None) -> Store:
-    """Cut, deduplicate and write. encode: from UTF-8 texts to unsigned ids; end: id after each document.
+CHUNKS = "key binary, n long, ids binary"
+RECIPES = "part int, row long, doc_id long, at long, n_tokens long, keys binary, rest array<long>"
+MANIFEST = "part int, first long, n_docs long, n_tokens long, root binary"
 
-    One pass encodes. Chunks go once to the task of their key, which keeps the first of equal ones; chunks that a batch repeats are dropped before that, so copies of one document by the thousand don't meet in one task. Recipes ride along with a key of their own, then are dealt out by ranges of doc_id.
+
+def open_store(spark: SparkSession, path: str) -> Store:
+    """The store in a folder. Nothing is read or verified yet."""
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}") if path_exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
+    return Store(table("kind=chunks", CHUNKS), table("recipes", RECIPES), table("manifest", MANIFEST))
+
+
+def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]], end: int | None, path: str | None = None) -> Store:
+    """Cut, deduplicate and write to a new folder (by default one that goes when the application ends). encode: from UTF-8 texts to unsigned ids; end: id after each document.
+
+    One pass encodes. A task sends a chunk once, as far as it remembers; chunks go to the task of their key, sorted, so that of equal ones the first stays and none is held. Recipes ride along, then are dealt out by ranges of all that orders them, so many rows of one doc_id are split too.
     """
     spark = docs.sparkSession
-    fields = "recipe boolean, key binary, doc_id long, n long, ids binary, keys array<binary>, rest array<long>"
-
-    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, seen = [], set()
-        streams = encode(text_bytes(batch.column("text")))
-        tail = np.array([] if end is None else [end], streams[0].dtype)
-        joined = np.concatenate([x for s in streams for x in (s, tail)])
-        marks, data, size, to = chunk_marks(joined), joined.tobytes(), joined.itemsize, 0
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), streams, strict=True):
-            keys, rest, at, last = [], [], to, to + len(ids) + len(tail)
-            first = at
-            for to in cut_points(marks, at, last):
-                part = data[at * size : to * size]
-                key = hashlib.sha256(part).digest()
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((False, key, None, to - at, part, None, None))
-                keys.append(key)
-                rest.append(last - to)
-                at = to
-            rows.append((True, hashlib.sha256(b"%d" % (doc_id or 0)).digest(), doc_id, last - first, None, keys, rest))
-        cols = list(zip(*rows, strict=True))
-        kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["recipe", "key", "doc_id", "n", "ids", "keys", "rest"])
+    if path is None:
+        path = shared_dir(spark)
+        remove_at_exit(spark, path)
+    fields = "kind string, key binary, doc_id long, n long, ids binary, keys binary, rest array<long>"
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if len(seen) > REMEMBERED:
+                seen = set()
+            rows = []
+            streams = encode(text_bytes(batch.column("text")))
+            tail = np.array([] if end is None else [end], streams[0].dtype)
+            joined = np.concatenate([x for s in streams for x in (s, tail)])
+            marks, data, size, to = chunk_marks(joined), joined.tobytes(), joined.itemsize, 0
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), streams, strict=True):
+                keys, rest, at, last = [], [], to, to + len(ids) + len(tail)
+                first = at
+                for to in cut_points(marks, at, last):
+                    part = data[at * size : to * size]
+                    key = hashlib.sha256(part).digest()
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append(("chunks", key, None, to - at, part, None, None))
+                    keys.append(key)
+                    rest.append(last - to)
+                    at = to
+                keys = b"".join(keys)
+                rows.append(("drafts", hashlib.sha256(b"%d " % (doc_id or 0) + keys).digest(), doc_id, last - first, None, keys, rest))
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()  # of one task's share of the keys
+        last = None
+        for batch in batches:
+            n, key = batch.num_rows, batch.column("key")
+            if not n:
+                continue
+            fresh = np.ones(n, bool)
+            fresh[1:] = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            fresh[0], last = key[0].as_py() != last, key[n - 1].as_py()
+            yield batch.filter(pc.or_(pa.array(fresh), pc.equal(batch.column("kind"), "drafts")))
+
+    sent = in_arrow(docs.select("doc_id", "text"), cut, fields).repartition(partitions(spark), "key").sortWithinPartitions("key")
+    in_arrow(sent, once, fields).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    drafts = spark.read.schema(fields).parquet(path).where("kind = 'drafts'").select("doc_id", F.col("n").alias("n_tokens"), "keys", "rest", F.monotonically_increasing_id().alias("tie"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, at = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            keep = []
-            for recipe, key in zip(batch.column("recipe").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keep.append(recipe or key not in known)
-                if not recipe:
-                    known.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    dealt = map_arrow(docs.select("doc_id", "text"), cut, fields).repartition(partitions(spark), "key")
-    both = materialize(dealt.mapInArrow(once, fields))
-    chunks = both.where("not recipe").select("key", F.col("n").cast("int").alias("n"), "ids")
-    recipes = both.where("recipe").select("doc_id", F.col("n").alias("n_tokens"), "keys", "rest")
-
-    order = [F.asc_nulls_first("doc_id"), F.asc("n_tokens"), F.asc("keys")]
-    ranged = recipes.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).withColumn("part", F.spark_partition_id())
-    parts = materialize(ranged.sortWithinPartitions(*order), "part")
-    totals = parts.groupBy("part").agg(F.sum("n_tokens").alias("t")).orderBy("part").collect()  # a row per partition
-    before, offsets = 0, []
-    for r in totals:
-        offsets.append((r["part"], before))
-        before += r["t"]
-    shift = spark.createDataFrame(offsets, "part int, before long")
-    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("within", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(F.broadcast(shift), "part")
-    recipes = placed.select("part", "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "keys", "rest")
-    path = shared_dir(spark)
-    recipes.sortWithinPartitions("part", *order).write.partitionBy("part").option("compression", "zstd").parquet(path)
-    recipes = spark.read.schema(recipes.schema).parquet(path)
-    discard(parts)
-    return Store(chunks, recipes, materialize(manifest(recipes).coalesce(1)))
-
-
-def manifest(recipes: DataFrame) -> DataFrame:
-    """Merkle roots: a row per part of the recipes, and the root over them as part -1. Leaves are hashed by the executors; only a digest per part reaches the driver."""
-    leaf = F.sha2(F.concat(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.array_join(F.col("rest").cast("array<string>"), ","), F.lit("")).cast("binary"), F.aggregate("keys", F.lit(b""), lambda a, x: F.concat(a, x))), 256)
-    rows = recipes.select("part", "doc_id", "start", "n_tokens", leaf.alias("leaf")).sortWithinPartitions("part", "start")
+            n = batch.num_rows
+            ends = at + np.cumsum(batch.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column("doc_id"), pa.array(ends - batch.column("n_tokens").to_numpy()), *(batch.column(c) for c in ("n_tokens", "keys", "rest"))], [x.split()[0] for x in RECIPES.split(", ")])
+            row, at = row + n, int(ends[-1]) if n else at
+
+    order = [F.asc_nulls_first("doc_id"), F.asc("n_tokens"), F.asc("keys"), F.asc("tie")]
+    ranged = drafts.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("tie")
+    in_arrow(ranged, placed, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    remove_path(spark, f"{path}/kind=drafts")
+    store = open_store(spark, path)
+    spark.createDataFrame(manifest(store), MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    return open_store(spark, path)
+
+
+def manifest(store: Store) -> list[tuple]:
+    """The rows of the manifest as chunks and recipes give them. Leaves are hashed by the executors; only a digest per part reaches the driver."""
+    leaf = F.sha2(F.concat(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "row", "at", "n_tokens", F.array_join(F.col("rest").cast("array<string>"), ","), F.lit("")).cast("binary"), F.col("keys")), 256)
+    rows = store.recipes.select("part", "row", "n_tokens", F.unhex(leaf).alias("leaf")).repartition(partitions(store.recipes.sparkSession), "part").sortWithinPartitions("part", "row")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, part = [], None
+        done: list[list] = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "n_tokens", "leaf")), strict=True):
-                if r[0] != part:
-                    part = r[0]
-                    done.append([part, r[1], 0, 0, []])
-                done[-1][2] += 1
-                done[-1][3] += r[2]
-                done[-1][4].append(bytes.fromhex(r[3]))
-                if len(done[-1][4]) >= 1 << 16:  # a bounded stack: full subtrees fold to their root
-                    done[-1][4] = [merkle(done[-1][4])]
-        for d in done:
-            yield pa.RecordBatch.from_arrays([pa.array([d[0]], pa.int32()), *(pa.array([x], pa.int64()) for x in d[1:4]), pa.array([merkle(d[4])], pa.binary())], ["part", "first", "n_docs", "n_tokens", "root"])
-
-    schema = "part int, first long, n_docs long, n_tokens long, root binary"
-    found = rows.repartition(partitions(recipes.sparkSession), "part").sortWithinPartitions("part", "start").mapInArrow(roots, schema).orderBy("first").collect()  # a row per partition
-    top = (-1, 0, sum(r["n_docs"] for r in found), sum(r["n_tokens"] for r in found), bytearray(merkle([bytes(r["root"]) for r in found])))
-    return recipes.sparkSession.createDataFrame([top, *map(tuple, found)], schema)
+            for part, n, found in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "leaf")), strict=True):
+                if not done or part != done[-1][0]:
+                    done.append([part, 0, 0, []])
+                done[-1][1] += 1
+                done[-1][2] += n
+                done[-1][3].append(found)
+                if len(done[-1][3]) >= 1 << 16:  # a bounded stack: full subtrees fold to their root
+                    done[-1][3] = [merkle(done[-1][3])]
+        for part, docs, tokens, leaves in done:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle(leaves)], pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+
+    out, before = [], 0
+    for r in sorted(in_arrow(rows, roots, "part int, n_docs long, n_tokens long, root binary").collect()):  # a row per partition
+        out.append((r["part"], before, r["n_docs"], r["n_tokens"], bytes(r["root"])))
+        before += r["n_tokens"]
+    mark = F.xxhash64("key", "n")
+    n, ids, *digest = store.chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first()
+    top = (-1, 0, sum(r[2] for r in out), before, merkle([r[4] for r in out]))
+    return [(-2, 0, n, ids, hashlib.sha256(repr(digest).encode()).digest()), top, *out]
 
 
 def verify(store: Store) -> None:
-    """Compare the recipes with the stored manifest: roots, documents and tokens of each part."""
-    rows = [{r["part"]: (r["first"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in m.collect()} for m in (store.manifest, manifest(store.recipes))]  # a row per partition
-    wrong = sorted(p for p in rows[0].keys() | rows[1].keys() if rows[0].get(p) != rows[1].get(p))
+    """Compare chunks and recipes with the stored manifest: the set of keys, and roots, documents and tokens of each part."""
+    stored = {tuple(r)[0]: (*tuple(r)[1:4], bytes(r["root"])) for r in store.manifest.collect()}  # a row per partition
+    found = {r[0]: r[1:] for r in manifest(store)}
+    wrong = sorted(p for p in stored.keys() | found.keys() if stored.get(p) != found.get(p))
     if wrong:
-        raise ValueError(f"recipes don't match the manifest in parts {wrong[:10]}")
+        raise ValueError(f"the store doesn't match its manifest in parts {wrong[:10]}")
+
+
+def lines(store: Store) -> DataFrame:
+    """(doc_id, start, n_tokens, row, after, key) of each chunk of each document; a document without ids has one row of nulls."""
+    first = F.broadcast(store.manifest.where("part >= 0").select("part", "first"))  # a row per partition
+    placed = store.recipes.join(first, "part").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "row", "keys", F.posexplode_outer("rest").alias("k", "after"))
+    return placed.select("doc_id", "start", "n_tokens", "row", "after", F.expr("substring(keys, k * 32 + 1, 32)").alias("key"))
 
 
 _POLY = np.uint32(0xEDB88320)
@@ -225,24 +259,26 @@ def read_digests(store: Store) -> DataFrame:
 
     def shifted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         crc = crc_shift(batch.column("crc").to_numpy().astype(np.uint32), batch.column("after").to_numpy() * 4)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), batch.column("n"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "crc"])
-
-    crcs = map_arrow(store.chunks, checked, "key binary, n int, crc long")
-    lines = store.recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("keys", "rest")).alias("c")).select("doc_id", "start", "n_tokens", F.col("c.keys").alias("key"), F.col("c.rest").alias("after"))
-    joined = lines.join(crcs, "key", "left").select("doc_id", "start", "n_tokens", F.coalesce("crc", F.raise_error(F.lit("a chunk of a recipe is missing"))).alias("crc"), "n", "after")
-    whole = map_arrow(joined, shifted, "doc_id long, start long, n_tokens long, n int, crc long").groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("crc"), F.sum("n").alias("n"))
+        same = [*by, "n"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(crc.astype(np.int64))], [*same, "crc"])
+
+    by = ["doc_id", "start", "n_tokens", "row"]
+    crcs = map_arrow(store.chunks, checked, "key binary, n long, crc long")
+    missing = F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.raise_error(F.lit("a chunk of a recipe is missing")).cast("long"))
+    joined = lines(store).join(crcs, "key", "left").select(*by, F.coalesce("crc", missing).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("after", F.lit(0)).alias("after"))
+    whole = map_arrow(joined, shifted, "doc_id long, start long, n_tokens long, row long, n long, crc long").groupBy(*by).agg(F.bit_xor("crc").alias("crc"), F.sum("n").alias("n"))
     return whole.select("doc_id", "start", "n_tokens", F.when(F.col("n") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.lit("the chunks of a recipe don't add up to its tokens"))).alias("ids_crc32"))
 
 
 def read_documents(store: Store) -> DataFrame:
     """doc_id, start and ids (binary) of every document, put together again from its chunks."""
     verify(store)
-    lines = store.recipes.select("doc_id", "start", "n_tokens", F.posexplode("keys").alias("at", "key"))
     same = F.unhex(F.sha2("ids", 256)) == F.col("key")
-    found = lines.join(store.chunks, "key", "left").withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk of a recipe is missing or doesn't match its key"))))
-    rows = found.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("c"), F.sum("n").alias("n"))
-    ids = F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return rows.select("doc_id", "start", F.when(F.col("n") == F.col("n_tokens"), ids).otherwise(F.raise_error(F.lit("the chunks of a recipe don't add up to its tokens"))).alias("ids"))
+    ids = F.when(same, F.col("ids")).when(F.col("key").isNull(), F.lit(b"")).otherwise(F.raise_error(F.lit("a chunk of a recipe is missing or doesn't match its key")).cast("binary"))
+    found = lines(store).join(store.chunks, "key", "left").withColumn("ids", ids)
+    rows = found.groupBy("doc_id", "start", "n_tokens", "row").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "ids"))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    whole = F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["ids"])), ""))
+    return rows.select("doc_id", "start", F.when(F.col("n") == F.col("n_tokens"), whole).otherwise(F.raise_error(F.lit("the chunks of a recipe don't add up to its tokens"))).alias("ids"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:

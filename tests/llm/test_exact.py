@@ -59,8 +59,13 @@ def test_media_formats(spark):
     assert r[1]["error"] and r[2]["error"] and r[3]["payload"] == a.tobytes() and r[3]["tile"][:6] == b"\x93NUMPY"
 
 
-def test_store(spark, docs, rows, empty):
-    made = store.write_store(docs, lambda t: encoder(CLIP, True).encode(t), 2)
+clip = lambda texts: encoder(CLIP, True).encode(texts)  # noqa: E731 - workers don't have this module
+
+
+def test_store(spark, docs, rows, empty, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store.write_store(docs, clip, 2, path)
+    made = store.open_store(spark, path)
     got = {r["doc_id"]: r for r in store.read_digests(made).collect()}
     back = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in store.read_documents(made).collect()}
     at = 0
@@ -68,39 +73,68 @@ def test_store(spark, docs, rows, empty):
         ids = [*encoder(CLIP, True).tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), crc(ids)) and back[i] == ids
         at += len(ids)
+    assert sorted(x.name for x in (tmp_path / "store").iterdir() if x.is_dir()) == ["kind=chunks", "manifest", "recipes"]
     assert made.chunks.count() == made.chunks.select("key").distinct().count()
     assert made.manifest.where("part = -1").first()["n_tokens"] == at
-    assert store.read_digests(store.write_store(empty, lambda t: encoder(CLIP, True).encode(t), 2)).count() == 0
-    broken = store.Store(made.chunks.withColumn("ids", made.chunks["key"]), made.recipes, made.manifest)
-    with pytest.raises(Exception, match="match its key"):
-        store.read_digests(broken).collect()
-
-
-def test_store_is_verified_against_its_manifest(spark, docs):
+    assert store.read_digests(store.write_store(empty, clip, 2)).count() == 0
+    assert store.read_documents(store.write_store(empty, clip, 2)).count() == 0
+
+
+def test_store_of_repeated_rows(spark, rows):
+    """Equal and different texts under one id, null ids, empty streams."""
+    made = [(5, "b c"), (5, "a"), (5, "a"), (None, "z"), (None, None), (None, ""), (1, ""), (1, None), *[(3, t) for _, t, *_ in rows[:12]], *[(4, "same words " * 300)] * 9]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    for end in (2, None):
+        kept = store.write_store(docs, clip, end)
+        ids = {t: [*encoder(CLIP, True).tokenizer.encode(t or "", add_special_tokens=False).ids, *[end] * (end is not None)] for _, t in made}
+        got = store.read_digests(kept).collect()
+        assert sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((repr(i), len(ids[t]), crc(ids[t])) for i, t in made)
+        by = sorted(got, key=lambda r: (r["start"], r["n_tokens"]))
+        assert [r["start"] for r in by] == [0, *itertools.accumulate(r["n_tokens"] for r in by)][:-1]
+        assert [r["doc_id"] is not None for r in by if r["n_tokens"]] == sorted(r["doc_id"] is not None for r in by if r["n_tokens"])
+        assert sorted((repr(r["doc_id"]), r["start"], bytes(r["ids"])) for r in store.read_documents(kept).collect()) == sorted((repr(i), s, np.array(x, "<u2").tobytes()) for i, s, x in [(r["doc_id"], r["start"], next(ids[t] for j, t in made if j == r["doc_id"] and len(ids[t]) == r["n_tokens"] and crc(ids[t]) == r["ids_crc32"])) for r in got])
+
+
+def test_store_is_verified(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
-    made = store.write_store(docs, lambda t: encoder(CLIP, True).encode(t), 2)
+    path = f"file://{tmp_path}/store"
+    made = store.write_store(docs, clip, 2, path)
     assert made.manifest.inputFiles() and made.manifest.where("part >= 0").count() == made.recipes.select("part").distinct().count()
-    first = made.recipes.orderBy("start").first()["start"]
-    long = made.recipes.where("size(keys) > 1 and keys != reverse(keys)").orderBy("start").first()["start"]
-    part = made.manifest.where("part >= 0").first()["part"]
-    here = F.col("start") == long
+    first = made.recipes.orderBy("part", "row").first()
+    long = made.recipes.where("length(keys) > 64").orderBy("part", "row").first()
+    here = (F.col("part") == long["part"]) & (F.col("row") == long["row"])
+    swapped = F.concat(F.expr("substring(keys, 33, 32)"), F.expr("substring(keys, 1, 32)"), F.expr("substring(keys, 65)"))
     for bad in (
-        made.recipes.where(F.col("start") != first),  # a dropped recipe
-        made.recipes.where(F.col("part") != part),  # a missing part
-        made.recipes.withColumn("keys", F.when(here, F.reverse("keys")).otherwise(F.col("keys"))),  # a reordered recipe
+        made.recipes.where(f"part <> {first['part']} or row <> 0"),  # a dropped recipe
+        made.recipes.where(F.col("part") != first["part"]),  # a missing part
+        made.recipes.union(made.recipes.limit(1)),  # an extra one
+        made.recipes.withColumn("keys", F.when(here, swapped).otherwise(F.col("keys"))),  # swapped chunks
+        made.recipes.withColumn("doc_id", F.col("doc_id") + 1),
         made.recipes.withColumn("n_tokens", F.when(here, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))),
         made.recipes.withColumn("rest", F.when(here, F.reverse("rest")).otherwise(F.col("rest"))),
     ):
         for read in (store.read_digests, store.read_documents):
             with pytest.raises(ValueError, match="manifest"):
-                read(store.Store(made.chunks, bad, made.manifest)).collect()
+                read(store.Store(made.chunks, bad, made.manifest))
+    key = made.chunks.first()["key"]
+    for bad in (made.chunks.where(F.col("key") != key), made.chunks.union(made.chunks.limit(1)), made.chunks.withColumn("key", F.when(F.col("key") == key, F.lit(b"x")).otherwise(F.col("key")))):  # missing, extra, renamed
+        with pytest.raises(ValueError, match="manifest"):
+            store.read_digests(store.Store(bad, made.recipes, made.manifest))
+    changed = made.chunks.withColumn("ids", F.reverse(F.hex("ids")).cast("binary"))
+    for read in (store.read_digests, store.read_documents):
+        with pytest.raises(Exception, match="match its key"):
+            read(store.Store(changed, made.recipes, made.manifest)).collect()
+    anew = lambda c, r: store.Store(c, r, spark.createDataFrame(store.manifest(store.Store(c, r, None)), store.MANIFEST))
     longer = made.recipes.withColumn("n_tokens", F.when(here, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
-    for read in (store.read_digests, store.read_documents):  # a manifest made anew doesn't hide wrong lengths
+    for read in (store.read_digests, store.read_documents):  # a manifest made anew hides neither wrong lengths nor missing chunks
         with pytest.raises(Exception, match="add up"):
-            read(store.Store(made.chunks, longer, store.manifest(longer))).collect()
-    with pytest.raises(Exception, match="missing"):
-        store.read_documents(store.Store(made.chunks.limit(1), made.recipes, made.manifest)).collect()
+            read(anew(made.chunks, longer)).collect()
+        with pytest.raises(Exception, match="missing"):
+            read(anew(made.chunks.where(F.col("key") != key), made.recipes)).collect()
+    next((tmp_path / "store" / "recipes").glob("*.parquet")).unlink()  # a lost file
+    with pytest.raises(ValueError, match="manifest"):
+        store.read_digests(store.open_store(spark, path))
 
 
 def test_chunks_and_merkle():
