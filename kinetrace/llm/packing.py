@@ -1,8 +1,8 @@
 """Pattern packing by non-negative least squares.
 
-Lengths are counted in units of 8 tokens, rounded up. Every pattern of one to three lengths that fills a sequence exactly is a column; non-negative least squares (active set method) fits repeat counts to the histogram of lengths; counts are rounded to what the histogram can give; what is left over is packed best-fit, longest first, a run of equal lengths at a time. All this sees the histogram alone, whose size doesn't depend on the number of documents. Pieces are then dealt to the places of their length by rank, which is counted in salted parts, so a length that half of all documents have is no hot spot.
+Patterns are made over lengths in units of 8 tokens, rounded up: every multiset of one to three that fills a sequence exactly is a column, and non-negative least squares (active set method) fits repeat counts to the histogram of lengths; counts are rounded to what the histogram can give. Only lengths over 128 tokens take part; shorter pieces are better kept to fill what is left. Then the true lengths come in: each slot of a pattern takes lengths of its unit, longest first, and what is left over is packed best-fit, longest first, into the true spaces of the patterns' sequences and of new ones, a run of equal lengths at a time. All this sees the histogram alone, whose size doesn't depend on the number of documents. Pieces are then dealt to the places of their length by rank, which is counted in salted parts, so a length that half of all documents have is no hot spot.
 
-Null texts count as empty (a document of the end id alone). Repeated doc_ids are placed once per row. An empty table gives an empty result. Extra columns are not read.
+Null texts count as empty (a document of the end id alone). Rows that repeat a doc_id are placed each, also equal ones. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, materialize, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
-CAPACITY, UNIT = 2048, 8
+CAPACITY, UNIT, SHORT = 2048, 8, 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -29,7 +29,8 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]], end: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with_ids adds the ids themselves (binary, little-endian unsigned 32-bit)."""
+    """One row per piece, with a salt; with_ids adds the ids themselves (binary, little-endian unsigned 32-bit)."""
+    salts = partitions(docs.sparkSession)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -37,14 +38,14 @@ def pieces(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]], e
             ids, at = np.append(ids, np.array(end, ids.dtype)).astype("<u4"), 0
             for k, n in enumerate(cut_lengths(len(ids), capacity)):
                 part = ids[at : at + n].tobytes()
-                rows.append((doc_id, k, at, n, zlib.crc32(part), *[part] * with_ids))
+                rows.append((doc_id, k, at, n, zlib.crc32(part), len(rows) % salts, *[part] * with_ids))
                 at += n
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
 
-    return map_arrow(docs.select("doc_id", "text"), one, PIECES + ", ids binary" * with_ids)
+    return map_arrow(docs.select("doc_id", "text"), one, PIECES + ", salt int" + ", ids binary" * with_ids)
 
 
 def full_patterns(bins: int) -> np.ndarray:
@@ -95,38 +96,51 @@ def nnls(parts: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(chosen, np.int64), x
 
 
-def best_fit(counts: np.ndarray, bins: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats): best-fit decreasing over a histogram, equal lengths at a time."""
-    spaces: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for b in range(bins, 0, -1):
+Group = tuple[tuple[int, ...], int]
+
+
+def fill(groups: list[Group], counts: np.ndarray, capacity: int) -> list[Group]:
+    """(lengths, repeats): best-fit decreasing of a histogram of lengths into the space that groups of equal sequences leave and into new ones, equal lengths at a time."""
+    spaces: list[list[Group]] = [[] for _ in range(capacity + 1)]
+    many_at = np.zeros(capacity + 1, np.int64)
+
+    def put(lengths: tuple[int, ...], many: int) -> None:
+        space = capacity - sum(lengths)
+        spaces[space].append((lengths, many))
+        many_at[space] += 1
+
+    for g in groups:
+        put(*g)
+    for b in range(capacity, 0, -1):
         left = int(counts[b])
         while left:
-            s = min((s for s in spaces if s >= b and spaces[s]), default=None)
-            if s is None:
-                each = bins // b
+            at = np.flatnonzero(many_at[b:])
+            if not len(at):
+                each = capacity // b
                 for k, many in ((each, left // each), (left % each, 1)):
                     if k and many:
-                        spaces.setdefault(bins - b * k, []).append(((b,) * k, many))
+                        put((b,) * k, many)
                 break
+            s = b + int(at[0])
             have, many = spaces[s].pop()
+            many_at[s] -= 1
             fit = s // b
             full = min(many, left // fit)
             if full:
-                spaces.setdefault(s - fit * b, []).append((have + (b,) * fit, full))
+                put(have + (b,) * fit, full)
                 left -= full * fit
                 many -= full
             elif left:
-                spaces.setdefault(s - left * b, []).append((have + (b,) * left, 1))
+                put(have + (b,) * left, 1)
                 left, many = 0, many - 1
             if many:
-                spaces.setdefault(s, []).append((have, many))
-    return [x for group in spaces.values() for x in group]
+                put(have, many)
+    return [x for group in spaces for x in group]
 
 
-def plan(histogram: np.ndarray, bins: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use every counted length exactly once. histogram[b]: pieces of b units."""
-    left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
+def fitted(units: np.ndarray, bins: int) -> list[Group]:
+    """(units, repeats) of the patterns: least squares on the histogram, rounded so that no unit is used more often than it is there."""
+    left = units.astype(np.int64).copy()
     parts = full_patterns(bins)
     chosen, x = nnls(parts, left.astype(float)) if left.sum() else (np.zeros(0, np.int64), np.zeros(0))
     many = np.floor(x + 1e-9).astype(np.int64)
@@ -142,48 +156,70 @@ def plan(histogram: np.ndarray, bins: int) -> list[tuple[tuple[int, ...], int]]:
         while many[k] and (left < 0).any() and (need[left < 0] > 0).any():
             many[k] -= 1
             left += need
-    out += [(tuple(int(b) for b in parts[j] if b), int(m)) for j, m in zip(chosen, many, strict=True) if m]
-    return out + best_fit(left, bins)
-
-
-def place(found: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
+    return [(tuple(int(b) for b in parts[j] if b), int(m)) for j, m in zip(chosen, many, strict=True) if m]
+
+
+def plan(histogram: np.ndarray, unit: int = UNIT, short: int = SHORT) -> list[Group]:
+    """(lengths, repeats) of sequences that use every counted length exactly once. histogram[n]: pieces of n tokens, up to the capacity."""
+    capacity = len(histogram) - 1
+    bins, left = capacity // unit, histogram.astype(np.int64).copy()
+    units = np.zeros(bins + 1, np.int64)
+    sizes = np.arange(min(short, capacity) + 1, capacity + 1)
+    np.add.at(units, np.minimum(-(-sizes // unit), bins), np.where(-(-sizes // unit) <= bins, left[sizes], 0))
+    groups: list[Group] = []
+    for pattern, many in fitted(units, bins):
+        while many:
+            slots = []
+            for b in pattern:  # the longest length of the unit that is left, as often as the pattern has the unit
+                top = b * unit
+                while not left[top] - slots.count(top):
+                    top -= 1
+                slots.append(top)
+            run = min(many, *(int(left[n]) // slots.count(n) for n in slots))
+            for n in slots:
+                left[n] -= run
+            groups.append((tuple(slots), run))
+            many -= run
+    return fill(groups, left, capacity)
+
+
+def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (a written table, as it is read three times)."""
-    bins, salts = capacity // unit, partitions(found.sparkSession)
-    sized = found.withColumn("bin", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", F.pmod(F.hash("doc_id", "piece"), F.lit(salts)))
-    counts = sized.groupBy("bin", "salt").count()
-    histogram = np.zeros(bins + 1, np.int64)
-    for b, n in counts.groupBy("bin").agg(F.sum("count")).collect():  # a row per length: 256 at most
-        histogram[b] = n
-    places: dict[int, list[tuple[int, int, int]]] = {b: [] for b in range(bins + 1)}  # bin: first rank, first sequence, slot
-    base, used = 0, np.zeros(bins + 1, np.int64)
-    for lengths, many in plan(histogram, bins):
-        for slot, b in enumerate(lengths):
-            places[b].append((int(used[b]), base, slot))
-            used[b] += many
+    counts = found.groupBy("length", "salt").count()
+    histogram = np.zeros(capacity + 1, np.int64)
+    for n, many in counts.groupBy("length").agg(F.sum("count")).collect():  # a row per length: 2048 at most
+        histogram[n] = many
+    places: dict[int, list[tuple[int, int, int]]] = {}  # length: first rank, first sequence, offset
+    base, used = 0, np.zeros(capacity + 1, np.int64)
+    for lengths, many in plan(histogram):
+        at = 0
+        for n in lengths:
+            places.setdefault(n, []).append((int(used[n]), base, at))
+            used[n] += many
+            at += n
         base += many
-    table = {b: np.array(v, np.int64).reshape(-1, 3) for b, v in places.items()}
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("bin").orderBy("salt")) - F.col("count")).drop("count")
-    ranked = sized.withColumn("rn", F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "piece"))).join(before, ["bin", "salt"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
+    table = {n: np.array(v, np.int64) for n, v in places.items()}
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = found.withColumn("rn", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
 
     def seats(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bin_of, rank = batch.column("bin").to_numpy(), batch.column("rank").to_numpy()
-        seq, slot = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-        for b in np.unique(bin_of):
-            mine = bin_of == b
-            row = table[b][np.searchsorted(table[b][:, 0], rank[mine], side="right") - 1]
-            seq[mine], slot[mine] = row[:, 1] + rank[mine] - row[:, 0], row[:, 2]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(slot)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "slot"])
+        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        seq, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for n in np.unique(length):
+            mine = length == n
+            row = table[n][np.searchsorted(table[n][:, 0], rank[mine], side="right") - 1]
+            seq[mine], at[mine] = row[:, 1] + rank[mine] - row[:, 0], row[:, 2]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(at)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    seated = map_arrow(ranked.select("bin", "rank", "doc_id", "piece", "start", "length", "ids_crc32"), seats, PIECES + ", sequence_id long, slot long")
-    earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("slot")
+    return map_arrow(ranked.select("length", "rank", "doc_id", "piece", "start", "ids_crc32"), seats, PIECES + ", sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]], end: int, placed: DataFrame) -> DataFrame:
-    """sequence_id and ids (binary) of the packed sequences. doc_ids must be unique."""
+    """sequence_id and ids (binary) of the packed sequences. doc_ids must be unique and not null."""
     rows = pieces(docs, encode, end, with_ids=True).join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
     rows = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("c"))
-    return rows.select("sequence_id", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return rows.select("sequence_id", F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["ids"])), "")).alias("ids"))
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -174,18 +174,41 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_repeated_rows(spark):
+    made = [(1, "a b")] * 7 + [(1, "c d e")] * 3 + [(None, "x")] * 5 + [(None, None), (2, ""), (2, ""), (3, "word " * 5000), (3, "word " * 5000)]
+    got = packing.pack(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    ids = {t: [*encoder(BYTE, False).tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in made}
+    want = []
+    for i, t in made:
+        at = 0
+        for k, n in enumerate(packing.cut_lengths(len(ids[t]))):
+            want.append((repr(i), k, at, n, crc(ids[t][at : at + n])))
+            at += n
+    assert sorted((repr(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    seats = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    at, now = 0, None
+    for s, o, n in seats:
+        at, now = (0 if s != now else at), s
+        assert o == at and o + n <= 2048
+        at += n
+
+
 def test_patterns():
     assert len(packing.full_patterns(12)) == sum(1 for a in range(1, 13) for b in range(a + 1) for c in range(b + 1) if a + b + c == 12)
     rng = np.random.default_rng(0)
-    for n in (0, 1, 30, 3000):
-        h = np.bincount(np.minimum(rng.geometric(0.02, n), 256), minlength=257)
-        h[0] = 0
-        plan, used = packing.plan(h, 256), np.zeros(257, int)
-        for lengths, many in plan:
-            assert sum(lengths) <= 256 and many > 0
+    least = lambda h: -(-int((h * np.arange(len(h))).sum()) // (len(h) - 1))
+    for n, mean in ((0, 50), (1, 50), (30, 50), (3000, 50), (3000, 400), (20000, 900), (20000, 15)):
+        h = np.bincount(np.minimum(rng.geometric(1 / mean, n), 2048), minlength=2049)
+        packed, used = packing.plan(h), np.zeros(2049, int)
+        for lengths, many in packed:
+            assert sum(lengths) <= 2048 and many > 0
             np.add.at(used, list(lengths), many)
         assert (used == h).all()
-        assert sum(m for _, m in plan) <= 1.1 * -(-int((h * np.arange(257)).sum()) // 256) + 1
+        assert sum(m for _, m in packed) <= 1.02 * least(h) + 1
+    for n in (1, 9, 17, 128, 129, 700, 1024, 2048):  # as few as there can be
+        h = np.zeros(2049, np.int64)
+        h[n] = 10_000
+        assert sum(m for _, m in packing.plan(h)) == -(-10_000 // (2048 // n))
     parts = packing.full_patterns(6)
     j, x = packing.nnls(parts, np.array([0, 2.0, 1.0, 0, 1.0, 1.0, 3.0]))
     fit = np.zeros(7)
