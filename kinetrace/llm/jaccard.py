@@ -1,15 +1,13 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Two documents link when 100 * intersection >= 75 * union. Under any one order of all shingles, linked sets share one of their first n - ceil(0.75 n) + 1; this holds under several orders at once. All orders go by what a sketch of all shingles' counts says of a shingle, rare ones first, so lists stay short; inside a class each order ranks by a hash of its own.
+A document is the set of its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Two documents link when 100 * intersection >= 75 * union. Under any one order of all shingles, linked sets share one of their first n - ceil(0.75 n) + 1; this holds under several orders at once. The three orders: by count, rare ones first, as a sketch of all shingles' counts has it; by a hash; by length in bytes, long ones first.
 
-1. One pass hashes the texts: set size, set digest, and the sketch (of fixed size).
-2. The first order's prefixes go to the tasks of their shingles, in packed blocks; lists of one document end there. Of documents with equal sets only the first stays listed.
-3. Each listed document is compared with the best first document of its lists, and components are formed of the links found.
-4. All pairs of one list that are in different components, not yet compared, and not ruled out by their signatures (counts of shingles in buckets) are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed.
+1. One pass hashes the texts: set size, set digest, the sketch (of fixed size), a signature, and the prefixes under the second and third order as short fingerprints.
+2. The first order's prefixes go to the tasks of their shingles, in packed blocks by shard; as many shards as the prefixes ask for. A shingle that very many documents have is dealt by document too. Lists of one document end there. Of documents with equal sets only the first stays listed.
+3. Candidates are pairs of a list that the position filter, the signatures (counts of shingles in buckets) and both other orders' prefixes let pass: a pair must share a prefix shingle under every order before a text moves. Each listed document's best candidate among the first documents of its lists is compared, and components are formed of the links found.
+4. All candidates in different components, not yet compared, are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed. A list is read by set size, so a document meets only those whose size allows a link; a long list is dealt in blocks.
 
-Where two texts meet, the prefixes under the other orders must intersect too, before the sets themselves are intersected.
-
-Nulls: a null text has no words, and is linked with nothing; a row with a null doc_id has a null component. Rows that repeat a doc_id are one document that links where one of its texts does. Extra columns are not read.
+Nulls: a null text has no words, and is linked with nothing; a row with a null doc_id has a null component and links nothing. Rows that repeat a doc_id are one document that links where one of its texts does; each has its own n_shingles. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,31 +21,62 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free_shuffles, gram_hashes, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
+from .common import discard, documents, free_shuffles, gram_hashes, in_arrow, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
 CELL_BITS, BLOCK_BITS = 24, 20
+#: Prefix shingles of a shard, documents to a block of a long list, texts to a part of a hub, and the class (4096 documents) from which a shingle is dealt by document.
+PER_SHARD, BLOCK, HUB, HOT_CLASS = 500_000, 4096, 256, 167
 _SEEDS = [np.uint64(0x9AE16A3B2F90404F * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes."""
-    words = word_hashes(text, lower=True)[0]
+def measured(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the shingles, and the bytes that the words of each have."""
+    words, start, end = word_hashes(text, lower=True)
     if not len(words):
-        return words
-    return np.unique(gram_hashes(words, min(WORDS, len(words))))
+        return words, start
+    n = min(WORDS, len(words))
+    total = np.append(0, np.cumsum(end - start))
+    found, at = np.unique(gram_hashes(words, n), return_index=True)
+    return found, (total[n:] - total[:-n])[at]
+
+
+def shingles(text: bytes) -> np.ndarray:
+    return measured(text)[0]
 
 
 def cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def prefix(found: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """The shingles of a set that come first under an order: enough that linked sets must share one."""
+def prefix_size(n: int) -> int:
+    """How many of a set's first shingles suffice that linked sets must share one of them."""
+    return n - -(-PERCENT * n // 100) + 1 if n else 0
+
+
+def prefix(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first by count."""
+    return found[np.lexsort((mix64(found ^ _SEEDS[0]), classes[cells(found)]))[: prefix_size(len(found))]]
+
+
+def prefix_marks(found: np.ndarray, size: np.ndarray, order: int) -> bytes:
+    """Fingerprints of the shingles that come first under order 1 (by hash) or 2 (long ones first): two bytes each, or four in large sets."""
     n = len(found)
-    k = n - -(-PERCENT * n // 100) + 1 if n else 0
-    return found[np.lexsort((mix64(found ^ _SEEDS[order]), classes[cells(found)]))[:k]]
+    key = mix64(found ^ _SEEDS[order])
+    if order == 2:
+        key = (key >> np.uint64(16)) | (np.uint64(65535) - np.minimum(size, 65535).astype(np.uint64)) << np.uint64(48)
+    k = prefix_size(n)
+    first = found[key <= np.partition(key, k - 1)[k - 1]]
+    return np.unique(first.astype("<u4" if n > 1024 else "<u2")).tobytes()
+
+
+def share(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether two prefixes of sets of n and m shingles may share one."""
+    x, y = np.frombuffer(a, "<u4" if n > 1024 else "<u2"), np.frombuffer(b, "<u4" if m > 1024 else "<u2")
+    if x.dtype != y.dtype:
+        x, y = np.unique(x.astype("<u2")), np.unique(y.astype("<u2"))
+    return len(np.intersect1d(x, y, assume_unique=True)) > 0
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,16 +101,16 @@ def signature_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x.reshape(-1, size).sum(0) - y.reshape(-1, size).sum(0)).sum())
 
 
-def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose signatures don't rule a link out: sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets."""
-    known = sets.where("sig is not null").select("doc_id", "n", "sig")
-    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+def near_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose prefixes meet under the second and third order too, and whose signatures don't rule a link out: sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets."""
+    side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "second", "third")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     names = pairs.columns
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        apart = np.array([signature_distance(a, b) for a, b in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)], np.int64)
-        keep = apart * (100 + PERCENT) <= (100 - PERCENT) * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
-        yield batch.select(names).filter(pa.array(keep))
+        rows = zip(*(batch.column(f"{c}_{x}").to_pylist() for c in ("n", "sig", "second", "third") for x in "ab"), strict=True)
+        keep = [(100 + PERCENT) * signature_distance(p, q) <= (100 - PERCENT) * (n + m) and share(s, n, t, m) and share(u, n, v, m) for n, m, p, q, s, t, u, v in rows]
+        yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both, run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct()
 
@@ -101,27 +130,27 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, fp) of every document, fp null for an empty set, and rows (block, counts) of each task's part of the sketch."""
-    schema = "sketch boolean, doc_id long, n long, fp binary, sig binary, block int, counts binary"
+    """Rows (doc_id, n, fp, ...) of every document, fp null for an empty set, and rows (block, counts) of each task's part of the sketch."""
+    schema = "sketch boolean, doc_id long, n long, fp binary, sig binary, second binary, third binary, block int, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            ns, fps, sigs = [], [], []
+            rows = []
             for text in text_bytes(batch.column("text")):
-                s = shingles(text)
-                ns.append(len(s))
-                fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
+                s, size = measured(text)
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s), prefix_marks(s, size, 1), prefix_marks(s, size, 2)) if len(s) else (0, None, None, None, None))
                 np.add.at(counts, cells(s), 1)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            if n:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column("doc_id"), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([True]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([True]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 4, pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def classes_of(parts: DataFrame) -> np.ndarray:
@@ -137,27 +166,29 @@ def classes_of(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros(1 << CELL_BITS, np.uint8)
-    for k, data in parts.repartition(1 << (CELL_BITS - BLOCK_BITS), "block").mapInArrow(add, "block int, counts binary").collect():
+    for k, data in in_arrow(parts.repartition(1 << (CELL_BITS - BLOCK_BITS), "block"), add, "block int, counts binary").collect():
         out[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(data, np.uint8)
     return out
 
 
-def postings(docs: DataFrame, classes) -> DataFrame:
-    """(token, doc_id, n, rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it. Of equal sets in a batch only the one of the least doc_id is listed."""
-    spark, shards = docs.sparkSession, 4 * partitions(docs.sparkSession)
+def postings(docs: DataFrame, classes, total: int) -> DataFrame:
+    """(token, doc_id, n, rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it. total: about how many prefix shingles there are. Of equal sets in a batch only the one of the least doc_id is listed. A list of a very frequent shingle is not one task's: it is dealt by document, and kept whole."""
+    spark = docs.sparkSession
+    shards, hot = max(4 * partitions(spark), -(-total // PER_SHARD)), HOT_CLASS
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         distinct: dict[bytes, int] = {}
         for doc_id, text in sorted(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True), key=lambda r: r[0]):
             distinct.setdefault(shingles(text).tobytes(), doc_id)
         sets = [np.frombuffer(k, np.uint64) for k in distinct]
-        firsts = [prefix(s, classes.value, 0) for s in sets]
+        firsts = [prefix(s, classes.value) for s in sets]
         token = np.concatenate(firsts)
         size = [len(f) for f in firsts]
         ids = np.repeat(np.array(list(distinct.values()), np.int64), size)
         ns = np.repeat(np.array([len(s) for s in sets], np.int64), size)
         rest = np.concatenate([len(s) - np.arange(k) for s, k in zip(sets, size, strict=True)])
-        shard = (token % np.uint64(shards)).astype(np.int64)
+        by = np.where(classes.value[cells(token)] >= hot, mix64(ids.view(np.uint64)) ^ token, token)
+        shard = (by % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         token, ids, ns, rest, shard = token[order], ids[order], ns[order], rest[order], shard[order]
         at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
@@ -165,24 +196,35 @@ def postings(docs: DataFrame, classes) -> DataFrame:
         cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(at, to, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), cut(token, "<u8"), cut(ids, "<i8"), cut(ns, "<i4"), cut(rest, "<i4")], ["shard", "token", "ids", "ns", "rest"])
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for b in batches for p in zip(*(b.column(c).to_pylist() for c in ("token", "ids", "ns", "rest")), strict=True)]
-        token = np.frombuffer(b"".join(p[0] for p in parts), "<u8")
+    def lists_of(parts: list[tuple]) -> pa.RecordBatch:
+        token = np.frombuffer(b"".join(p[1] for p in parts), "<u8")
         order = np.argsort(token, kind="stable")
         token = token[order]
         same = token[1:] == token[:-1]
-        keep = np.append(same, False) | np.append(False, same) if len(token) else np.zeros(0, bool)
+        keep = np.append(same, False) | np.append(False, same) | (classes.value[cells(token)] >= hot)
         order = order[keep]
-        ids, ns, rest = (np.frombuffer(b"".join(p[k] for p in parts), kind)[order].astype(np.int64) for k, kind in ((1, "<i8"), (2, "<i4"), (3, "<i4")))
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids), pa.array(ns), pa.array(rest)], ["token", "doc_id", "n", "rest"])
-
-    packed = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
-    return packed.repartition(partitions(spark), "shard").mapInArrow(lists, "token long, doc_id long, n long, rest long")
-
+        ids, ns, rest = (np.frombuffer(b"".join(p[k] for p in parts), kind)[order].astype(np.int64) for k, kind in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids), pa.array(ns), pa.array(rest)], ["token", "doc_id", "n", "rest"])
 
-def compare(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
-    """The linked ones of the pairs (a, b). Texts of b go to their a, in as many parts as b's ids are dealt to; a task holds the texts of one a at a time."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for b in batches:
+            for p in zip(*(b.column(c).to_pylist() for c in ("shard", "token", "ids", "ns", "rest")), strict=True):
+                if parts and parts[0][0] != p[0]:
+                    yield lists_of(parts)
+                    parts = []
+                parts.append(p)
+        if parts:
+            yield lists_of(parts)
+
+    blocks = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
+    return in_arrow(blocks.repartition(max(partitions(spark), shards // 8), "shard").sortWithinPartitions("shard"), lists, "token long, doc_id long, n long, rest long")
+
+
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (a, b), a written table. Texts of b go to their a, in parts of about HUB; a task holds the texts of one a at a time."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
+    salted = pairs.select("a", "b").join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     members = salted.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
     leaders = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -196,90 +238,106 @@ def compare(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
                 if (a, salt) != now:
                     now, held = (a, salt), []
                 s = shingles((text or "").encode())
-                rest = [prefix(s, classes.value, k) for k in range(1, ORDERS)]
                 if b is None:
-                    held.append((s, rest))
-                elif any(may_link(len(s), len(t)) and all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(rest, others, strict=True)) and linked(s, t) for t, others in held):
+                    if not any(np.array_equal(s, t) for t in held):
+                        held.append(s)
+                elif any(may_link(len(s), len(t)) and linked(s, t) for t in held):
                     out.append((a, b))
             if out:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return materialize(met.mapInArrow(run, "a long, b long").distinct())
-
-
-def cross_pairs(listed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list whose components differ, from rows (token, component, doc_id, n, rest) of lists with two components or more. A list is read in order of components; only pairs across them are made, and only where what stands behind the shingle in either set suffices for a link: the first shingle that linked sets share always does."""
-    rows = listed.repartition(partitions(listed.sparkSession), "token").sortWithinPartitions("token", "component", "doc_id")
-
-    def emit(comp: np.ndarray, ids: np.ndarray, ns: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
-        out = [np.zeros((0, 2), np.int64)]
-        for i, j in zip(at[1:], np.append(at[2:], len(comp)), strict=True):
-            x, y = np.repeat(np.arange(i), j - i), np.tile(np.arange(i, j), i)
-            ok = (100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (ns[x] + ns[y])
-            x, y = x[ok], y[ok]
-            out.append(np.stack([ids[x], ids[y]], 1))
-        pairs = np.concatenate(out)
-        return np.sort(pairs, axis=1)
+    return materialize(in_arrow(met, run, "a long, b long").distinct())
+
+
+def meetings(component: np.ndarray, side: np.ndarray, ids: np.ndarray, ns: np.ndarray, rest: np.ndarray, old: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Sorted pairs of ids that may link, of the rows from `old` on with all before them, a bounded number of meetings at a time. Rows are of one list, by n."""
+    n = len(ids)
+    low = np.searchsorted(ns, -(-PERCENT * ns[old:] // 100))  # the smallest set that may link with each
+    k = old
+    while k < n:
+        first = int(low[k - old])
+        many = max(1, min(n - k, block // max(1, n - first)))
+        x, y = np.meshgrid(np.arange(first, k + many), np.arange(k, k + many))
+        x, y = x.ravel(), y.ravel()
+        ok = (x < y) & (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y])) & ((100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (ns[x] + ns[y]))
+        yield np.sort(np.stack([ids[x[ok]], ids[y[ok]]], 1), axis=1)
+        k += many
+
+
+def cross_pairs(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one list whose components differ, from rows (token, component, doc_id, n, rest). A list is read by n and meets what is held of it; only pairs across components are made, only where the sizes allow a link, and only where what stands behind the shingle in either set suffices: the first shingle that linked sets share always does. A list of over BLOCK documents is cut into groups, and each two groups meet in a task of theirs."""
+    spark = named.sparkSession
+    mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups")).where("x <> y").select("token", "groups")
+    rows = named.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = rows.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "component", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).cast("int").alias("side"), "doc_id", "n", "rest")
+    dealt = dealt.repartition(partitions(spark), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc_id")
+    names = ("component", "side", "doc_id", "n", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64)] * 5
-        for batch in [*batches, None]:
-            if batch is not None:
-                left = [np.concatenate([p, batch.column(c).to_numpy()]) for p, c in zip(left, ("token", "component", "doc_id", "n", "rest"), strict=True)]
-            token = left[0]
-            ends = np.flatnonzero(token[1:] != token[:-1]) + 1
-            ends = np.append(ends, len(token)) if batch is None and len(token) else ends
-            i, found = 0, [np.zeros((0, 2), np.int64)]
-            for j in ends:
-                found.append(emit(*(p[i:j] for p in left[1:])))
-                i = j
-            left = [p[i:] for p in left]
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        now, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "lo", "hi")], 1)
+            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            cols = [batch.column(c).to_numpy() for c in names]
+            for i, j in zip(at, np.append(at[1:], len(key)), strict=True):
+                new, old = [c[i:j] for c in cols], 0
+                if now is not None and (key[i] == now).all():
+                    live = int(np.searchsorted(held[3], -(-PERCENT * int(new[3][0]) // 100)))
+                    old = len(held[0]) - live
+                    new = [np.concatenate([h[live:], c]) for h, c in zip(held, new, strict=True)]
+                now, held = key[i], new
+                if len(new[0]) < 2:
+                    continue
+                for pairs in meetings(*new, old):
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document."""
     spark = docs.sparkSession
     first = materialize(set_digests(docs), "sketch")
-    sets = first.where("not sketch").select("doc_id", "n", "fp", "sig")
+    sets = first.where("not sketch").select("doc_id", "n", "fp", "sig", "second", "third")
     classes = spark.sparkContext.broadcast(classes_of(first.where("sketch").select("block", "counts")))
+    total = sets.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reps = equal.select(F.col("rep").alias("doc_id")).distinct()
-    listed = materialize(postings(docs, classes).join(reps, "doc_id", "left_semi"))
+    listed = materialize(postings(docs, classes, int(total)).join(reps, "doc_id", "left_semi"))
+    classes.destroy()
     free_shuffles(spark)
-    texts = materialize(docs.select("doc_id", "text").join(listed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    ids = listed.select("doc_id").distinct()
+    texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    known = materialize(sets.where("fp is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "fp"]))
     free_shuffles(spark)
 
     heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n", "rest")).alias("head"))
     stars = listed.join(heads, "token").where(f"doc_id <> head.doc_id and {100 + PERCENT} * least(rest, head.rest) >= {PERCENT} * (n + head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
-    best = near_enough(stars, sets).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
+    best = near_enough(stars, known).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
     best = materialize(best.select((-F.col("m.col2")).alias("a"), "b"))
-    links = compare(best, texts, classes)
+    links = compare(best, texts)
     free_shuffles(spark)
 
     groups = components(links)
-    found = [links, listed, texts, best]
+    found = [links, listed, texts, known, best]
     named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n", "rest"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cross_pairs(named.join(mixed, "token", "left_semi")).join(tested, ["a", "b"], "left_anti")
-    rest = materialize(near_enough(rest, sets))
+    rest = materialize(near_enough(cross_pairs(named).join(tested, ["a", "b"], "left_anti"), known))
     free_shuffles(spark)
-    more = compare(rest, texts, classes)
-    links = links.unionByName(more)
+    more = compare(rest, texts)
     free_shuffles(spark)
 
-    # equal sets hold together; a document with several texts has several sets
-    groups = components(links)
+    # equal sets hold together, and a document of several texts holds theirs together
+    several = sets.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    bridges = sets.join(several, "doc_id", "left_semi").join(equal, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    groups = components(links.unionByName(more).unionByName(bridges))
     discard(*found, named, rest, more)
-    classes.destroy()
-    ids = sets.join(equal, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return ids.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    rows = sets.join(equal, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    return rows.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

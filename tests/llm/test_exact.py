@@ -312,21 +312,26 @@ def shingle_sets(rows):
     return out
 
 
-def test_jaccard(spark, docs, rows, empty):
-    sets = shingle_sets(rows)
-    root = {i: i for i in sets}
+def near_components(sets):
+    """doc_id: least doc_id reachable. sets: (doc_id, set) in any number."""
+    root = {i: i for i, _ in sets}
 
     def find(a):
         while root[a] != a:
             a = root[a]
         return a
 
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if a != b and x and y and 100 * len(x & y) >= 75 * len(x | y):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
-    want = {i: (len(s), find(i)) for i, s in sets.items()}
+    return {i: find(i) for i in root}
+
+
+def test_jaccard(spark, docs, rows, empty):
+    sets = shingle_sets(rows)
+    comps = near_components(list(sets.items()))
+    want = {i: (len(s), comps[i]) for i, s in sets.items()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs).collect()} == want
     assert len({c for _, c in want.values()}) < len(want)
     kept = jaccard.keep_one(docs)
@@ -334,16 +339,64 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_with_repeated_rows(spark, rows, small, monkeypatch):
+    if small:  # lists in blocks, hubs in parts, shards and hot shingles from the start
+        for name, value in (("BLOCK", 3), ("HUB", 2), ("PER_SHARD", 10), ("HOT_CLASS", 4)):
+            monkeypatch.setattr(jaccard, name, value)
+    import random
+
+    rng = random.Random(5)
+    prose = lambda k: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 9)) for _ in range(k))
+    one, two, three, line = prose(60), prose(60), prose(80), prose(9)
+    near = lambda t: " ".join("changed" if k == 20 else w for k, w in enumerate(t.split()))
+    made = [(i, t) for i, t, *_ in rows] + [(i, t) for i, t, *_ in rows[:7]]
+    made += [(901, one), (902, near(one)), (902, two), (903, near(two)), (903, ""), (904, two), (905, three), (905, three), (906, near(three)), (906, near(three))]
+    made += [(None, one), (None, one), (None, None), (907, None), (908, "")]
+    made += [(1000 + k, f"{line} {prose(12)}") for k in range(25)] + [(1100 + k, f"{line} few more {k % 3}") for k in range(9)]  # one shingle in many prefixes
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    sets = [(i, shingle_sets([(0, t)])[0]) for i, t in made]
+    comps = near_components([x for x in sets if x[0] is not None])
+    want = [(repr(i), len(s), comps.get(i)) for i, s in sets]
+    assert comps[903] == comps[902] == comps[901] == 901 and comps[904] == 901
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs).collect()) == sorted(want, key=lambda r: (r[0], r[1]))
+    kept = jaccard.keep_one(docs)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, (r for r in docs.collect() if r["doc_id"] is None or comps[r["doc_id"]] == r["doc_id"])))
+
+
+def test_meetings():
+    rng = np.random.default_rng(0)
+    for n in (2, 30, 200):
+        ns = np.sort(rng.integers(1, 60, n))
+        comp, ids, rest, side = rng.integers(0, 9, n), rng.permutation(n), rng.integers(1, 60, n), rng.integers(0, 2, n)
+        for sides in (side, np.full(n, -1)):
+            for old in (0, n // 2):
+                got = np.concatenate(list(jaccard.meetings(comp, sides, ids, ns, rest, old, 64)))
+                want = {tuple(sorted((ids[x], ids[y]))) for y in range(old, n) for x in range(y) if comp[x] != comp[y] and (sides[x] < 0 or sides[x] != sides[y]) and 100 * ns[x] >= 75 * ns[y] and 175 * min(rest[x], rest[y]) >= 75 * (ns[x] + ns[y])}
+                assert len(got) == len(set(map(tuple, got))) and want <= set(map(tuple, got))
+                assert all(175 * min(rest[ids == p][0], rest[ids == q][0]) >= 75 * (ns[ids == p][0] + ns[ids == q][0]) for p, q in got)
+
+
 def test_orders_and_signatures():
     rng = np.random.default_rng(0)
     classes = rng.integers(0, 3, 1 << jaccard.CELL_BITS).astype(np.uint8)
+    apart = 0
     for _ in range(200):
-        n = int(rng.integers(1, 120))
+        n = int(rng.integers(1, 1500 if _ % 10 == 0 else 120))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, int(n * 0.1), dtype=np.uint64)]))
         assert jaccard.signature_distance(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
+        size = lambda x: (x % np.uint64(40)).astype(np.int64)
+        marks = lambda x, k: jaccard.prefix_marks(x, size(x), k)
         if len(b) and jaccard.linked(a, b):
-            assert all(len(np.intersect1d(jaccard.prefix(a, classes, k), jaccard.prefix(b, classes, k))) for k in range(jaccard.ORDERS))
+            assert len(np.intersect1d(jaccard.prefix(a, classes), jaccard.prefix(b, classes)))
+            assert all(jaccard.share(marks(a, k), len(a), marks(b, k), len(b)) for k in (1, 2))
+        c = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        apart += not all(jaccard.share(marks(a, k), len(a), marks(c, k), len(c)) for k in (1, 2))
+    assert apart > 100
+    words = b"Some words and SOME words and some more words"
+    found, size = jaccard.measured(words)
+    assert len(found) == 5 and sorted(size.tolist()) == sorted(len(b"".join(g)) for g in {tuple(words.lower().split()[k : k + 5]) for k in range(5)})
 
 
 def test_components(spark):
