@@ -450,10 +450,88 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.calibrated(empty).count() == 0
 
 
+def brute_targets(tokens, power, budget):
+    """By value: budget of all tokens by share ** power, values that fall short give all."""
+    names, t = list(tokens), np.array(list(tokens.values()), float)
+    p, full = t**power, np.zeros(len(t), bool)
+    while True:
+        want = np.where(full, t, p * ((budget * t.sum() - t[full].sum()) / p[~full].sum() if (~full).any() else 0))
+        if not (over := (want > t) & ~full).any():
+            return dict(zip(names, want, strict=True))
+        full |= over
+
+
+def brute_rake(cells, wants, rounds, budget):
+    """cells: {(source, lang, topic): tokens}."""
+    t = np.array(list(cells.values()), float)
+    w = t * budget
+    for _ in range(rounds):
+        for k, m in enumerate(mixing.MARGINS):
+            for value, want in wants[m].items():
+                mine = np.array([c[k] == value for c in cells])
+                has, full = w[mine].sum(), mine & (w >= t)
+                if want <= has:
+                    w[mine] *= want / has
+                elif (mine & ~full).any():
+                    w[mine & ~full] *= (want - w[full].sum()) / (has - w[full].sum())
+                w = np.minimum(w, t)
+    return dict(zip(cells, w / t, strict=True))
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [[f"w{k}x{j}" for j in range(40)] for k in range(4)]
+    rows = [(i, " ".join(rng.choice(vocabulary[int(rng.choice(4, p=[0.6, 0.2, 0.15, 0.05]))], 60)), str(rng.choice(["en", "de", "fr"], p=[0.7, 0.25, 0.05])), str(rng.choice(["a", "b", "c", "d"], p=[0.7, 0.2, 0.08, 0.02]))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.calibrated(docs).collect()
+    cells = {}
+    for r in got:
+        key = (r["source"], r["lang"], r["topic"])
+        cells[key] = cells.get(key, 0) + r["tokens"]
+    wants = {}
+    for k, m in enumerate(mixing.MARGINS):
+        sums = {}
+        for c, t in cells.items():
+            sums[c[k]] = sums.get(c[k], 0) + t
+        wants[m] = brute_targets(sums, mixing.POWERS[m], mixing.BUDGET)
+    chance = brute_rake(cells, wants, mixing.ROUNDS, mixing.BUDGET)
+    for r in got:
+        p = chance[r["source"], r["lang"], r["topic"]]
+        assert r["probability"] == pytest.approx(p, abs=1e-9)
+        assert r["kept"] == (int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) / 2**32 < r["probability"])
+    assert any(r["probability"] == 1 for r in got)
+    for r in mixing.reached(spark.createDataFrame(got)).collect():
+        assert r["expected"] == pytest.approx(r["target"], rel=0.01) and r["target"] == pytest.approx(wants[r["margin"]][r["value"]])
+
+
+def test_topics_are_learned(spark):
+    """Texts of two languages on three subjects: clusters follow the subject, not the language."""
+    rng = np.random.default_rng(4)
+    common = {"en": [f"the{k}" for k in range(20)], "de": [f"der{k}" for k in range(20)]}
+    subject = [[f"s{k}word{j}" for j in range(15)] for k in range(3)]
+    rows, of = [], {}
+    for i in range(300):
+        lang, of[i] = ("en", "de")[i % 2], int(rng.integers(0, 3))
+        rows.append((i, " ".join([*rng.choice(common[lang], 40), *rng.choice(subject[of[i]], 40)]), lang, "a"))
+    rows += [(900, None, "en", "a"), (901, " ", None, None)]
+    got = {r["doc_id"]: r["topic"] for r in mixing.cells_of(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[900] == got[901] == "none"
+    pure = sum(max(sum(got[i] == t and of[i] == s for i in of) for s in range(3)) for t in set(got.values()))
+    assert pure > 0.95 * len(of) and len({got[i] for i in of}) >= 3
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_mixing_reaches_its_marginals(spark):
+    rows = mixing.materialize(mixing.calibrated(mixing.documents(spark, "/root/testdata/sf0.01")))
+    found = mixing.reached(rows).collect()
+    assert all(r["expected"] == pytest.approx(r["target"], rel=0.01) for r in found) and len(found) > 25
+    assert sum(r["expected"] for r in found if r["margin"] == "lang") == pytest.approx(mixing.BUDGET * rows.agg({"tokens": "sum"}).first()[0], rel=0.01)
+
+
 def test_raking_reaches_its_targets(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 10), ("b", "y", 40)], "source string, lang string, tokens long")
     want = {"source": spark.createDataFrame([("a", 100.0), ("b", 100.0)], "source string, want_source double"), "lang": spark.createDataFrame([("x", 120.0), ("y", 80.0)], "lang string, want_lang double")}
-    r = mixing.rake(cells, want, 30).collect()
+    r = mixing.rake(cells, want, 30, bounded=False).collect()
     assert sum(x["w"] for x in r if x["source"] == "a") == pytest.approx(100, abs=1e-6) and sum(x["w"] for x in r if x["lang"] == "x") == pytest.approx(120, abs=1e-6)
     odds = {(x["source"], x["lang"]): x["w"] for x in r}
     assert odds["a", "x"] * odds["b", "y"] / odds["a", "y"] / odds["b", "x"] == pytest.approx(100 * 40 / 50 / 10)
