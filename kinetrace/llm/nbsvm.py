@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's n-grams are indicators, hashed: runs of three bytes (lower-cased), words, pairs of words, and n-grams of its repeats (how large a share of its lines, words and five-word windows occurred before in it, in steps of a factor of two). Each is scaled by the log-count ratio of the two classes, then a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve through margins of documents left out of the fit turns margins into scores.
+A text's n-grams are indicators, hashed: runs of three bytes (lower-cased), words and pairs of words. Four indicators that are no n-grams stand beside them: how large a share of its lines, words and five-word windows occurred before in it (in steps of a factor of two), and how many words it has, up to 40 (in fours). Each is scaled by the log-count ratio of the two classes, then a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve through margins of documents left out of the fit turns margins into scores.
 
 Empty and null texts have the indicators of an empty text. Without labelled documents of both classes every score is the share of good ones (1 without any). Repeated doc_ids get a row each; extra columns are not read.
 """

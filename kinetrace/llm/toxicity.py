@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is a run of letters and digits, lower-cased; its vector is the mean of the vectors of its character n-grams (3 to 5, with marks for its ends), so a misspelling that was never seen shares most of them. A passage of 24 words is the mean of its words' vectors (a shorter one counts as filled up with zero vectors); a linear softmax gives its classes; a document is as toxic as its most toxic passage, wherever that starts, so a long clean document isn't mistaken for the insults' dilution and no cut parts two insults that stand close together. Embeddings and softmax are fitted together by Adam on the passages that decide. n-grams keep a zero vector unless three training documents hold them, toxic ones three times as often and four standard deviations more often than others: with far more n-grams than documents, a free fit would learn the documents instead.
+A word is a run of letters and digits, lower-cased; its vector is the mean of the vectors of its character n-grams (3 to 5, with marks for its ends), so a misspelling that was never seen shares most of them. A passage of 32 words is the mean of its words' vectors (a shorter one counts as filled up with zero vectors); a linear softmax gives its classes; a document is as toxic as its most toxic passage, wherever that starts, so a long clean document isn't mistaken for the insults' dilution and no cut parts two insults that stand close together. Embeddings and softmax are fitted together by Adam on the passages that decide. n-grams keep a zero vector unless three training documents hold them, toxic ones twice as often and three standard deviations more often than others: with far more n-grams than documents, a free fit would learn the documents instead.
 
 Empty and null texts have the score of an empty passage. Without labelled documents of both classes every score is the share of toxic ones (0 without any). Repeated doc_ids get a row each; extra columns are not read.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, fold_of, free_shuffles, map_arrow, mix64, spread
 from .learn import SCORES, labelled_sample, labels_of, scored
 
-BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 8, 24, (3, 4, 5)
+BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 8, 32, (3, 4, 5)
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")
 
@@ -47,7 +47,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(lengths: np.ndarray, stride: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """Where each passage starts among all words, and its document; every document has one at least. A stride of 1 gives every run of 24 words."""
+    """Where each passage starts among all words, and its document; every document has one at least. A stride of 1 gives every run of 32 words."""
     per = np.maximum(-(-(lengths - SEGMENT) // stride), 0) + 1
     doc = np.repeat(np.arange(len(lengths)), per)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
@@ -67,7 +67,7 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def changing(hot: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all runs of 24 words, those that open a document or hold other hot words than the run a word before, as segments() gives them. hot: sorted places among all words."""
+    """Of all runs of 32 words, those that open a document or hold other hot words than the run a word before, as segments() gives them. hot: sorted places among all words."""
     end = np.cumsum(lengths)
     begin = end - lengths
     of = np.searchsorted(end, hot, side="right")
@@ -104,7 +104,24 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0.05, positive: float = 2.0, decay: float = 2e-6, min_docs: int = 3, ratio: float = 3.0, surprise: float = 4.0, seed: int = 7) -> Toxicity:
+def gradients(params: tuple[np.ndarray, ...], gram: np.ndarray, part: np.ndarray, passage: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted cross-entropy of the deciding passages, and its gradients by embeddings, softmax and bias. gram, part, passage: each n-gram of a passage and its share of the passage's mean."""
+    e, w, b = params
+    n = len(labels)
+    bag = np.stack([np.bincount(passage, part * e[gram, k], n) for k in range(e.shape[1])], 1)
+    z = bag @ w + b
+    z -= z.max(1, keepdims=True)
+    prob = np.exp(z)
+    prob /= prob.sum(1, keepdims=True)
+    loss = -float((weight * np.log(prob[np.arange(n), labels] + 1e-300)).sum())
+    prob[np.arange(n), labels] -= 1
+    g = prob * weight[:, None]
+    back = g @ w.T
+    ge = np.stack([np.bincount(gram, part * back[passage, k], len(e)) for k in range(e.shape[1])], 1)
+    return loss, ge, bag.T @ g, g.sum(0)
+
+
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0.05, positive: float = 6.0, decay: float = 2e-6, min_docs: int = 3, ratio: float = 2.0, surprise: float = 3.0, seed: int = 7) -> Toxicity:
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Toxicity(np.zeros(BUCKETS), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -156,16 +173,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
         words = word_at[at]
         pick, m_ = runs(first[words], first[words + 1])
         g_, p_, r_ = buckets[pick], np.repeat(part[words], m_), np.repeat(np.repeat(np.arange(len(lead)), n), m_)
-        bag = np.stack([np.bincount(r_, p_ * e[g_, k], len(lead)) for k in range(DIM)], 1)
-        z = bag @ w + b
-        z -= z.max(1, keepdims=True)
-        prob = np.exp(z)
-        prob /= prob.sum(1, keepdims=True)
-        prob[np.arange(len(lead)), labels] -= 1
-        g = prob * weight[:, None]
-        back = g @ w.T
-        ge = np.stack([np.bincount(g_, p_ * back[r_, k], len(used)) for k in range(DIM)], 1)
-        for k, (value, grad) in enumerate(((e, ge), (w, bag.T @ g + 1e-4 * w), (b, g.sum(0)))):
+        _, ge, gw, gb = gradients((e, w, b), g_, p_, r_, labels, weight)
+        for k, (value, grad) in enumerate(((e, ge), (w, gw + 1e-4 * w), (b, gb))):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad**2
             value -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7) + decay * value
@@ -212,4 +221,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             local.append(Toxicity(*shared.value))
         yield batch.filter(pa.array(local[0].score([x or "" for x in batch.column("text").to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(lambda it: (x for b in it if b.num_rows for x in one(b)), docs.schema)
+    return map_arrow(docs, one, docs.schema)
