@@ -1,6 +1,6 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text's UTF-8 bytes are cut into windows of 48 (the last filled with zeros, which don't count). In each window a gated recurrent unit runs forward and another backward; a softmax over both states labels every byte; a document's probabilities are the mean over its bytes. A text that is null or has no letter is `und` with score 0. Without a labelled document every text is `und`. Repeated doc_ids get a row each; extra columns are not read.
+A text's UTF-8 bytes are cut into windows of 48 (the last filled with zeros, which don't count). In each window a gated recurrent unit runs forward and another backward; a softmax over both states labels every byte; a document's probabilities are the mean over its bytes. A text that is null or has no letter (Unicode category L) is `und` with score 0. Without a labelled document every text is `und`. Repeated doc_ids get a row each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, documents, fold_of, map_arrow, spread, text_bytes
+from .learn import bounded
 
 WIDTH, HIDDEN, FOLDS, HELD_OUT, SAMPLE = 48, 8, 4, 2, 2000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 Params = dict[str, np.ndarray]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; numbers such as ² or ½ are signs of words, but no letters."""
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(WIDTH, n) bytes, how many of each window count, and its text."""
     per = np.array([-(-len(t) // WIDTH) for t in texts], np.int64)
@@ -166,11 +172,10 @@ def predict(names: list[str], p: Params, texts: list[bytes], block: int = 4096)
 
 
 def trained(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], Params]:
-    """Fitted on at most `bound` documents outside the held-out fold whose language is known, in the order of a hash of their id."""
+    """Fitted on at most `bound` documents (and learn.SAMPLE_BYTES) outside the held-out fold whose language is known, in the order of a hash of their id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(FOLDS)) != HELD_OUT))
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text is not null").toPandas()  # bounded by the sample
-    sample = sample.sort_values(["doc_id", "lang", "text"])
+    chosen = known.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(bound)
+    sample = bounded(known.where("text is not null"), chosen, "lang")
     return fit([t.encode() for t in sample["text"]], sample["lang"].tolist())
 
 
@@ -181,7 +186,7 @@ def language_scores(docs: DataFrame, names: list[str], p: Params) -> DataFrame:
         names, p = shared.value
         texts = text_bytes(batch.column("text"))
         found: dict[bytes, tuple[str, float]] = {t: ("und", 0.0) for t in texts}
-        lettered = [t for t in found if _LETTER.search(t.decode())]
+        lettered = [t for t in found if has_letter(t.decode())]
         if names and lettered:
             prob = predict(names, p, lettered)
             for t, row in zip(lettered, prob, strict=True):
