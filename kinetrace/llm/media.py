@@ -1,6 +1,6 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, written as NPY tiles with difference hashes.
 
-Decoders: Netpbm P1 to P6 (comments, any maxval up to 65535) and uncompressed BMP of 1, 4, 8, 24 or 32 bits. Bytes that are no such image give null features and the reason in `error`. Null media counts as empty bytes; a repeated row gives the same values again; extra columns are not read.
+Decoders: Netpbm P1 to P6 (comments, any maxval up to 65535) and uncompressed BMP of 1, 4, 8, 24 or 32 bits. Bytes that are no such image give null features and the reason in `error`. Null media counts as empty bytes, null texts as empty ones; texts of any length are stored whole; a repeated row (or doc_id) gets a row each, equal texts equal values. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_arrow, spread, text_bytes
+from .common import discard, documents, map_arrow, materialize, spread, text_bytes
 
 WIDTH = 64
 TILE = 16
@@ -167,22 +167,43 @@ def text_media(df: DataFrame) -> DataFrame:
     return map_arrow(df.select("doc_id", "text"), one, "doc_id long, n_bytes long, media binary")
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """Stored form and payload read back from it, as sizes and checksums."""
+def media_tiles(df: DataFrame) -> DataFrame:
+    """From doc_id, n_bytes and stored media: sizes and checksums of the stored form and of the payload decoded from it, difference hash, and the NPY tile."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for data in text_bytes(batch.column("media")):
             image = decode(data)
-            payload, tile = np.ascontiguousarray(image).tobytes(), npy_tile(image)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest()))
+            payload = np.ascontiguousarray(image).tobytes()
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy_tile(image)))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
-    return map_arrow(df, one, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    return map_arrow(df, one, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+
+
+def with_tile_digest(df: DataFrame) -> DataFrame:
+    """Replaces the column tile by tile_mean and tile_sha256 of the NPY file in it, as numpy loads it."""
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        means, shas = [], []
+        for data in batch.column("tile").to_pylist():
+            means.append(float(np.load(io.BytesIO(data), allow_pickle=False).mean()))
+            shas.append(hashlib.sha256(data).hexdigest())
+        rest = batch.drop_columns(["tile"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(means), pa.array(shas)], [*rest.schema.names, "tile_mean", "tile_sha256"])
+
+    return map_arrow(df, one, ", ".join(f"{c} {t}" for c, t in df.drop("tile").dtypes) + ", tile_mean double, tile_sha256 string")
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """Texts written as media, read again for their features and tiles, which are written and read in turn. No shuffle; a batch in memory at a time."""
+    media = materialize(text_media(docs))
+    tiles = materialize(media_tiles(media))
+    discard(media)
+    return with_tile_digest(tiles)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an image and back: no shuffle, a batch in memory at a time."""
-    return digests(text_media(spread(documents(spark, sf_dir, "doc_id", "text"))))
+    return stored(spread(documents(spark, sf_dir, "doc_id", "text")))
