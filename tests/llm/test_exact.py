@@ -34,14 +34,41 @@ def test_encoder_equals_the_library(path, drops):
     assert all(list(g) == w.ids for g, w in zip(got, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
+def area_mean(image, height, width):
+    """Mean over each cell of a grid, pixel by pixel, with exact fractions."""
+    from fractions import Fraction as Q
+
+    h, w = image.shape
+    part = lambda n, m, i, k: max(Q(0), min(Q(k + 1), Q((i + 1) * n, m)) - max(Q(k), Q(i * n, m)))  # noqa: E731 - of pixel k in cell i
+    rows = [[part(h, height, i, k) for k in range(h)] for i in range(height)]
+    cols = [[part(w, width, i, k) for k in range(w)] for i in range(width)]
+    size = Q(h, height) * Q(w, width)
+    return [[sum(r * c * int(image[y, x]) for y, r in enumerate(ry) if r for x, c in enumerate(cx) if c) / size for cx in cols] for ry in rows]
+
+
 def test_media(spark, docs, rows, empty):
-    got = {r["doc_id"]: r for r in media.digests(media.text_media(docs)).collect()}
+    got = media.stored(docs).collect()
     assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
     for i, t, *_ in rows:
-        raw = (t or "").encode()
+        raw, r = (t or "").encode(), by[i]
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert media.digests(media.text_media(empty)).count() == 0
+        data = (media.encode_bmp if zlib.crc32(payload) & 1 else media.encode_pgm)(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        if len(payload) > 6400:
+            continue
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        dark = area_mean(image, 8, 9)
+        bits = "".join("1" if a < b else "0" for row in dark for a, b in itertools.pairwise(row))
+        assert r["feature"] == f"{int(bits, 2):016x}"
+        tile = np.array([[float(x) for x in row] for row in area_mean(image, 16, 16)])
+        assert abs(r["tile_mean"] - np.rint(tile).mean()) < 0.1
+        file = np.lib.format.MAGIC_PREFIX + media.npy_tile(image)[6:]
+        assert hashlib.sha256(file).hexdigest() == r["tile_sha256"] and np.abs(np.load(__import__("io").BytesIO(file)) - tile).max() <= 0.5 + 1e-6
+    assert media.stored(empty).count() == 0
+    again = media.stored(spark.createDataFrame([(1, "x" * 70), (1, "x" * 70), (None, "x" * 70), (2, None), (3, "")], "doc_id long, text string")).drop("doc_id").distinct().collect()
+    assert len(again) == 2
 
 
 def test_media_formats(spark):
@@ -437,6 +464,14 @@ def test_outliers_are_rejected(spark):
     rows = [(i, text(80), "en", "a") for i in range(300)] + [(1000 + i, text(80).replace(" ", "### "), "en", "a") for i in range(30)]
     r = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(r[i] for i in range(300)) >= 299 and not any(r[i] for i in range(1000, 1030))
+    # a tight cluster of a fifth of the group draws all moments towards itself; one start isn't misled
+    far = [(2000 + i, text(80).replace(" ", "## ", 40 + i % 3), "de", "a") for i in range(70)] + [(3000 + i, text(80), "de", "a") for i in range(280)]
+    r = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(far, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(r[3000 + i]["kept"] for i in range(280)) >= 278 and not any(r[2000 + i]["kept"] for i in range(70))
+    assert min(r[2000 + i]["mahalanobis2"] for i in range(70)) > quality.CUTOFF
+    odd = [(1, None, None, None), (1, None, None, None), (None, "a b c", None, "a"), (2, "", "en", None), (3, "word " * 100_000, "en", "a"), (4, " \n", "en", "a")]
+    r = quality.quality_rules(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")).collect()
+    assert len(r) == 6 and all(x["base_failed"] and not x["kept"] for x in r) and max(x["n_words"] for x in r) == max(x["n_repeat_words"] for x in r) == 100_000
     plan = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
