@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bits and parts of a filter of ids, of fixed size: 16 MB.
+FILTER_BITS, FILTER_PARTS = 27, 16
+
+
+class IdFilter:
+    """A broadcast bitmap of hashed ids, so that most rows a semi-join would drop are dropped before its shuffle. It lets strangers pass where bits are shared, so the exact join must follow."""
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id") -> None:
+        size = 1 << FILTER_BITS - 3
+
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = _bit_of(b.column(0))
+                for k in np.unique(at >> FILTER_BITS - 4):
+                    here = at[at >> FILTER_BITS - 4 == k] - (k << FILTER_BITS - 4)
+                    np.bitwise_or.at(parts.setdefault(int(k), np.zeros(size // FILTER_PARTS, np.uint8)), here >> 3, np.uint8(1) << (here & 7).astype(np.uint8))
+            for k, part in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)])], ["part", "bits"])
+
+        def part_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((_bit_of(batch.column(0)) >> FILTER_BITS - 4).astype(np.int32))], ["id", "part"])
+
+        dealt = map_arrow(ids.select(column).where(F.col(column).isNotNull()), part_of, "id long, part int").repartition(FILTER_PARTS, "part")
+        all_bits = np.zeros(size, np.uint8)
+        for k, part in in_arrow(dealt.select("id"), bits, "part int, bits binary").collect():  # 16 parts of fixed size
+            all_bits[k * (size // FILTER_PARTS) : (k + 1) * (size // FILTER_PARTS)] = np.frombuffer(zstandard.decompress(part), np.uint8)
+        self.column, self.shared = column, ids.sparkSession.sparkContext.broadcast(all_bits)
+
+    def passed(self, df: DataFrame) -> DataFrame:
+        """The rows whose id may be among the ids; null ids are not."""
+        column, shared = self.column, self.shared
+
+        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = batch.column(batch.schema.get_field_index(column))
+            at = _bit_of(ids.fill_null(0))
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(keep))
+
+        return map_arrow(df, one, df.schema)
+
+    def destroy(self) -> None:
+        self.shared.destroy()
+
+
+def _bit_of(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -4,7 +4,7 @@ A document is the set of its distinct five-word shingles (A-Z lower-cased; a sho
 
 1. One pass hashes the texts: set size, set digest, the sketch (of fixed size), a signature, and the prefixes under the second and third order as short fingerprints.
 2. The first order's prefixes go to the tasks of their shingles, in packed blocks by shard; as many shards as the prefixes ask for. A shingle that very many documents have is dealt by document too. Lists of one document end there. Of documents with equal sets only the first stays listed.
-3. Candidates are pairs of a list that the position filter, the signatures (counts of shingles in buckets) and both other orders' prefixes let pass: a pair must share a prefix shingle under every order before a text moves. Each listed document's best candidate among the first documents of its lists is compared, and components are formed of the links found.
+3. Candidates are pairs of a list that the position filter, the signatures (counts of shingles in buckets) and both other orders' prefixes let pass: a pair must share a prefix shingle under every order before a text moves. Each listed document's best candidate among the heads of its lists is compared, and components are formed of the links found.
 4. All candidates in different components, not yet compared, are compared. So groups of near copies cost a comparison per document, not per pair, yet no link between components is missed. A list is read by set size, so a document meets only those whose size allows a link; a long list is dealt in blocks.
 
 Nulls: a null text has no words, and is linked with nothing; a row with a null doc_id has a null component and links nothing. Rows that repeat a doc_id are one document that links where one of its texts does; each has its own n_shingles. An empty table gives an empty result. Extra columns are not read.
@@ -21,13 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free_shuffles, gram_hashes, in_arrow, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
+from .common import IdFilter, discard, documents, free_shuffles, gram_hashes, in_arrow, map_arrow, materialize, mix64, partitions, spread, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT, ORDERS = 5, 75, 3
 CELL_BITS, BLOCK_BITS = 24, 20
 #: Prefix shingles of a shard, documents to a block of a long list, texts to a part of a hub, and the class (4096 documents) from which a shingle is dealt by document.
-PER_SHARD, BLOCK, HUB, HOT_CLASS = 500_000, 4096, 256, 167
+PER_SHARD, BLOCK, HUB, HOT_CLASS = 500_000, 1024, 256, 167
+POSTED = ["token", "doc_id", "n", "rest", "head", "head_n", "head_rest"]
 _SEEDS = [np.uint64(0x9AE16A3B2F90404F * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 
 
@@ -101,18 +102,30 @@ def signature_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x.reshape(-1, size).sum(0) - y.reshape(-1, size).sum(0)).sum())
 
 
-def near_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose prefixes meet under the second and third order too, and whose signatures don't rule a link out: sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets."""
-    side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "second", "third")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b, ...) that may link, a written table: signatures first (sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets), then, of what they let pass, the prefixes under the second and third order, which must meet."""
     names = pairs.columns
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = zip(*(batch.column(f"{c}_{x}").to_pylist() for c in ("n", "sig", "second", "third") for x in "ab"), strict=True)
-        keep = [(100 + PERCENT) * signature_distance(p, q) <= (100 - PERCENT) * (n + m) and share(s, n, t, m) and share(u, n, v, m) for n, m, p, q, s, t, u, v in rows]
-        yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+    def checked(rows: DataFrame, fields: tuple[str, ...], test) -> DataFrame:
+        ids = materialize(rows.select(F.col("a").alias("doc_id")).unionByName(rows.select(F.col("b").alias("doc_id"))).distinct())
+        near = IdFilter(ids)
+        known = near.passed(sets.where("fp is not null").select("doc_id", "fp", "n", *fields)).dropDuplicates(["doc_id", "fp"])
+        side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *fields)])
 
-    return map_arrow(both, run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct()
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = zip(*(batch.column(f"{c}_{x}").to_pylist() for c in ("n", *fields) for x in "ab"), strict=True)
+            yield batch.select(names).filter(pa.array([test(*r) for r in found], pa.bool_()))
+
+        out = materialize(map_arrow(rows.join(side("a"), "a").join(side("b"), "b"), run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct())
+        near.destroy()
+        discard(ids)
+        return out
+
+    pairs = materialize(pairs)
+    signed = checked(pairs, ("sig",), lambda n, m, p, q: (100 + PERCENT) * signature_distance(p, q) <= (100 - PERCENT) * (n + m))
+    met = checked(signed, ("second", "third"), lambda n, m, p, q, r, s: share(p, n, q, m) and share(r, n, s, m))
+    discard(pairs, signed)
+    return met
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -172,7 +185,7 @@ def classes_of(parts: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, classes, total: int) -> DataFrame:
-    """(token, doc_id, n, rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it. total: about how many prefix shingles there are. Of equal sets in a batch only the one of the least doc_id is listed. A list of a very frequent shingle is not one task's: it is dealt by document, and kept whole."""
+    """(token, doc_id, n, rest, head, head_n, head_rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it; head is the list's first document. total: about how many prefix shingles there are. Of equal sets in a batch only the one of the least doc_id is listed. A list of a very frequent shingle is not one task's: it is dealt by document, and kept whole."""
     spark = docs.sparkSession
     shards, hot = max(4 * partitions(spark), -(-total // PER_SHARD)), HOT_CLASS
 
@@ -198,13 +211,16 @@ def postings(docs: DataFrame, classes, total: int) -> DataFrame:
 
     def lists_of(parts: list[tuple]) -> pa.RecordBatch:
         token = np.frombuffer(b"".join(p[1] for p in parts), "<u8")
-        order = np.argsort(token, kind="stable")
+        ids, ns, rest = (np.frombuffer(b"".join(p[k] for p in parts), kind).astype(np.int64) for k, kind in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
+        order = np.lexsort((ids, token))
         token = token[order]
         same = token[1:] == token[:-1]
         keep = np.append(same, False) | np.append(False, same) | (classes.value[cells(token)] >= hot)
-        order = order[keep]
-        ids, ns, rest = (np.frombuffer(b"".join(p[k] for p in parts), kind)[order].astype(np.int64) for k, kind in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
-        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ids), pa.array(ns), pa.array(rest)], ["token", "doc_id", "n", "rest"])
+        token, order = token[keep], order[keep]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))[: len(token)]
+        head = np.repeat(first, np.diff(np.append(first, len(token))))
+        cols = [x[order] for x in (ids, ns, rest)]
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, cols), *(pa.array(x[head]) for x in cols)], POSTED)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -218,14 +234,16 @@ def postings(docs: DataFrame, classes, total: int) -> DataFrame:
             yield lists_of(parts)
 
     blocks = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
-    return in_arrow(blocks.repartition(max(partitions(spark), shards // 8), "shard").sortWithinPartitions("shard"), lists, "token long, doc_id long, n long, rest long")
+    return in_arrow(blocks.repartition(max(partitions(spark), shards // 8), "shard").sortWithinPartitions("shard"), lists, ", ".join(f"{c} long" for c in POSTED))
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of the pairs (a, b), a written table. Texts of b go to their a, in parts of about HUB; a task holds the texts of one a at a time."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
     salted = pairs.select("a", "b").join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    near = IdFilter(ids)
+    texts = near.passed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "id")
     members = salted.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
     leaders = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     met = leaders.unionByName(members).repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -247,7 +265,10 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return materialize(in_arrow(met, run, "a long, b long").distinct())
+    out = materialize(in_arrow(met, run, "a long, b long").distinct())
+    near.destroy()
+    discard(ids)
+    return out
 
 
 def meetings(component: np.ndarray, side: np.ndarray, ids: np.ndarray, ns: np.ndarray, rest: np.ndarray, old: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -306,36 +327,36 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = spark.sparkContext.broadcast(classes_of(first.where("sketch").select("block", "counts")))
     total = sets.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = equal.select(F.col("rep").alias("doc_id")).distinct()
-    listed = materialize(postings(docs, classes, int(total)).join(reps, "doc_id", "left_semi"))
+    firsts = IdFilter(equal.select(F.col("rep").alias("doc_id")))  # a copy that it lets pass costs work, no more
+    listed = materialize(postings(firsts.passed(docs.select("doc_id", "text")), classes, int(total)))
     classes.destroy()
-    free_shuffles(spark)
-    ids = listed.select("doc_id").distinct()
-    texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    known = materialize(sets.where("fp is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "fp"]))
+    firsts.destroy()
     free_shuffles(spark)
 
-    heads = listed.groupBy("token").agg(F.min(F.struct("doc_id", "n", "rest")).alias("head"))
-    stars = listed.join(heads, "token").where(f"doc_id <> head.doc_id and {100 + PERCENT} * least(rest, head.rest) >= {PERCENT} * (n + head.n)").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
-    best = near_enough(stars, known).groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
-    best = materialize(best.select((-F.col("m.col2")).alias("a"), "b"))
-    links = compare(best, texts)
+    # a document meets the head of each of its lists, in pairs that combine before the shuffle
+    stars = listed.where(f"doc_id <> head and {100 + PERCENT} * least(rest, head_rest) >= {PERCENT} * (n + head_n)").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b")).count()
+    stars = near_enough(stars, sets)
+    best = materialize(stars.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b"))
+    discard(stars)
+    free_shuffles(spark)
+    links = compare(best, docs)
     free_shuffles(spark)
 
     groups = components(links)
-    found = [links, listed, texts, known, best]
     named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n", "rest"))
+    discard(listed)
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(near_enough(cross_pairs(named).join(tested, ["a", "b"], "left_anti"), known))
+    rest = near_enough(cross_pairs(named).join(tested, ["a", "b"], "left_anti"), sets)
     free_shuffles(spark)
-    more = compare(rest, texts)
+    more = compare(rest, docs)
+    discard(named, rest, best)
     free_shuffles(spark)
 
     # equal sets hold together, and a document of several texts holds theirs together
     several = sets.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     bridges = sets.join(several, "doc_id", "left_semi").join(equal, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     groups = components(links.unionByName(more).unionByName(bridges))
-    discard(*found, named, rest, more)
+    discard(links, more)
     rows = sets.join(equal, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return rows.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
