@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.select import selection as selected
 from .neighbors import neighbor_edges, neighbor_lists
+from .series import later
 
 
 def spine_of(positions: DataFrame, centers=None) -> DataFrame:
@@ -21,12 +22,11 @@ def coordination_number(positions: DataFrame, r_cut: float | None = None, edges:
 
 
 def lens(positions: DataFrame, r_cut: float, delay: int = 1, centers=None, **options) -> DataFrame:
-    """(particle_id, frame, value): (#A + #B - 2 #(A and B)) / (#A + #B) for the neighbours A in a frame and B `delay` frames on; 0 if both are empty. The last `delay` frames have no row. Each list is made once. Without a box, the frame's extent times 1.01 serves."""
+    """(particle_id, frame, value): (#A + #B - 2 #(A and B)) / (#A + #B) for the neighbours A in a frame and B `delay` frames on; 0 if both are empty. A frame without one `delay` on has no row. Each list is made once. Without a box, the frame's extent times 1.01 serves."""
     if delay < 1:
         raise ValueError("delay must be 1 at least")
     edges = neighbor_edges(positions, r_cut, centers=centers, **({"box_scale": 1.01} | options))
-    w = Window.partitionBy("particle_id").orderBy("frame")
-    pairs = neighbor_lists(edges, spine_of(positions, centers)).withColumn("later", F.lead("nbrs", delay).over(w)).where("later is not null")
+    pairs = later(neighbor_lists(edges, spine_of(positions, centers)), "nbrs", delay)
     total = F.size("nbrs") + F.size("later")
     value = F.when(total == 0, F.lit(0.0)).otherwise((total - 2 * F.size(F.array_intersect("nbrs", "later"))) / total)
     return pairs.select("particle_id", "frame", value.alias("value"))

@@ -7,31 +7,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.select import selection as selected
 from ..session import ship
 from .neighbors import neighbor_edges
+from .ranks import numbered
 
 
 def centred(series: DataFrame) -> DataFrame:
-    """(particle_id, d): the values of each particle in order of frames, less their mean. A particle's series is one row, so lags need no join."""
-    rows = series.groupBy("particle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda s: s["value"]).alias("v"), F.avg("value").alias("m"))
-    return rows.select("particle_id", F.transform(F.array("m"), lambda m: F.transform("v", lambda x: x - m))[0].alias("d"))
+    """(particle_id, f, d): the frames of each particle and its values there, less their mean. A particle's series is one row, so lags need no join; lengths may differ and frames may be missing."""
+    rows = series.groupBy("particle_id").agg(F.array_sort(F.collect_list(F.struct("frame", F.col("value").cast("double").alias("value")))).alias("s"), F.avg("value").alias("m"))
+    return rows.select("particle_id", F.transform("s", lambda x: x["frame"].cast("long")).alias("f"), F.transform(F.array("m"), lambda m: F.transform("s", lambda x: x["value"] - m))[0].alias("d"))
 
 
-def _lagged(a, b, lag):
-    n = F.size(a) - lag
-    return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, lag + 1, n), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def autocorrelation(d: np.ndarray) -> np.ndarray:
+    """Sum of d(t) d(t + lag) by lag, by a Fourier transform."""
+    n = 1 << (2 * len(d) - 1).bit_length()
+    return np.fft.irfft(np.abs(np.fft.rfft(d, n)) ** 2, n)[: len(d)]
 
 
 def self_time_correlation(series: DataFrame, max_delay: int | None = None) -> DataFrame:
-    """(lag, value, error) for lags 0 to max_delay - 1 (by default, all frames): mean over particles of the lagged product sums, per pair of frames, and its standard error; both over the value at lag 0."""
-    rows = centred(series).withColumn("t", F.size("d"))
-    lags = F.sequence(F.lit(0), (F.least(F.col("t"), F.lit(max_delay)) if max_delay else F.col("t")) - 1)
-    sums = rows.select("t", "d", F.explode(lags).alias("lag")).select("t", "lag", _lagged(F.col("d"), F.col("d"), F.col("lag")).alias("s"))
-    by = sums.groupBy("lag").agg((F.avg("s") / F.max(F.col("t") - F.col("lag"))).alias("c"), (F.stddev_pop("s") / (F.max(F.col("t") - F.col("lag")) * F.sqrt(F.count("s")))).alias("e"))
+    """(lag, value, error) for lags 0 to max_delay - 1 (by default, all): mean over particles of their mean product of values `lag` frames apart, and its standard error; both over the value at lag 0. A particle counts at the lags that two of its frames have."""
+    ship(series.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for frames, values in zip(b.column("f"), b.column("d"), strict=True):
+                at = frames.values.to_numpy() - frames.values[0].as_py()
+                d, there = np.zeros(int(at[-1]) + 1), np.zeros(int(at[-1]) + 1)
+                d[at], there[at] = values.values.to_numpy(), 1.0
+                pairs = np.rint(autocorrelation(there))[:max_delay]
+                lag = np.flatnonzero(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(lag.astype(np.int32)), pa.array(autocorrelation(d)[lag] / pairs[lag])], ["lag", "s"])
+
+    means = centred(series).select("f", "d").mapInArrow(run, "lag int, s double")
+    by = means.groupBy("lag").agg(F.avg("s").alias("c"), (F.stddev_pop("s") / F.sqrt(F.count("s"))).alias("e"))
     zero = by.where("lag = 0").select(F.col("c").alias("zero"))
     return by.crossJoin(F.broadcast(zero)).select("lag", (F.col("c") / F.col("zero")).alias("value"), (F.col("e") / F.col("zero")).alias("error"))
 
@@ -69,59 +82,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def cross_time_correlation(series: DataFrame, max_delay: int | None = None) -> DataFrame:
-    """(lag, value, error): mean over ordered pairs of different particles, not scaled by lag 0.
+def cross_time_correlation(series: DataFrame, max_delay: int | None = None, errors: bool = True) -> DataFrame:
+    """(lag, value[, error]) over ordered pairs of different particles, not scaled by lag 0: the sum of all products of one's value and the other's `lag` frames later, over the number of such products; and the standard error of this ratio over pairs (of a mean, where all particles have the same frames).
 
-    No pair of particles is formed: with G[t, u] the sum over particles of d(t) d(u), the sum over pairs follows from the sum of all d, and the sum of squares is that of G times itself shifted along its diagonal, each less the particles' own terms. So the work is particles times frames squared.
+    No pair of particles is formed. The sum follows from that of all particles by frame; the sums of squares from three frames-by-frames matrices (of values d and marks m of frames that are there: d d, d m, m m, each summed over particles) times themselves shifted along their diagonals; the particles' own terms are taken off. So the work is particles times frames squared, and with errors=False particles times frames.
     """
     rows = centred(series)
-    n, frames = rows.agg(F.count(F.lit(1)), F.max(F.size("d"))).first()
+    n, first, last = rows.agg(F.count(F.lit(1)), F.min(F.element_at("f", 1)), F.max(F.element_at("f", -1))).first()
+    schema = "lag int, value double" + ", error double" * errors
     if not n:
-        return series.sparkSession.createDataFrame([], "lag int, value double, error double")
+        return series.sparkSession.createDataFrame([], schema)
+    frames = last - first + 1
     top = min(frames, max_delay or frames)
+    square = 3 * frames if errors else 0
 
     def partial(b: pa.RecordBatch) -> np.ndarray:
-        d = _matrix(b.column("d"))
-        own = np.zeros((3, frames))
-        own[2] = d.sum(0)
-        for lag in range(top):
-            s = (d[:, : frames - lag] * d[:, lag:]).sum(1)
-            own[0, lag], own[1, lag] = s.sum(), (s * s).sum()
-        return np.concatenate([d.T @ d, own])
-
-    g = _summed(rows, ["d"], partial, frames + 3, frames)
-    own, g = g[frames:], g[:frames]
-    pairs, out = n * (n - 1), []
+        f, of = b.column("f"), np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("f")).to_numpy())
+        d, m = np.zeros((2, b.num_rows, frames))
+        at = f.flatten().to_numpy() - first
+        d[of, at], m[of, at] = b.column("d").flatten().to_numpy(), 1.0
+        own = np.zeros((7, frames))
+        own[0], own[1] = d.sum(0), m.sum(0)
+        for x, y in zip(d, m, strict=True):
+            s, k = autocorrelation(x), np.rint(autocorrelation(y))
+            own[2:] += [s, k, s * s, s * k, k * k]
+        return np.concatenate([d.T @ d, d.T @ m, m.T @ m, own]) if errors else own
+
+    found = _summed(rows, ["f", "d"], partial, square + 7, frames)
+    s, k, *own = found[square:]
+    out = []
     for lag in range(top):
-        total = float((own[2, : frames - lag] * own[2, lag:]).sum())
-        square = float((g[: frames - lag, : frames - lag] * g[lag:, lag:]).sum())
-        mean = (total - own[0, lag]) / pairs
-        var = max(0.0, (square - own[1, lag]) / pairs - mean**2)
-        out.append((lag, float(mean / (frames - lag)), float(math.sqrt(var) / ((frames - lag) * math.sqrt(pairs)))))
-    return series.sparkSession.createDataFrame(out, "lag int, value double, error double")
+        rest = slice(0, frames - lag), slice(lag, frames)
+        total, count = (float((x[rest[0]] * x[rest[1]]).sum()) - o[lag] for x, o in ((s, own[0]), (k, own[1])))
+        value = total / count if count > 0.5 else math.nan
+        row = [lag, value]
+        if errors:
+            a, b, c = (float((g[rest[0], rest[0]] * g[rest[1], rest[1]]).sum()) - o[lag] for g, o in zip(found[:square].reshape(3, frames, frames), own[2:], strict=True))
+            row.append(math.sqrt(max(0.0, a - 2 * value * b + value * value * c)) / count if count > 0.5 else math.nan)
+        out.append([lag, *map(float, row[1:])])
+    return series.sparkSession.createDataFrame(out, schema)
+
+
+def later(rows: DataFrame, column: str, lag: int) -> DataFrame:
+    """Adds `later`, the column of the same particle `lag` frames on, and keeps the rows that have it: by the frame's number, so a missing frame pairs no others."""
+    w = Window.partitionBy("particle_id").orderBy("frame").rangeBetween(lag, lag)
+    return rows.withColumn("later", F.first(column).over(w)).where("later is not null")
 
 
 def lagged_covariances(vectors: DataFrame, lag: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symmetrised covariances at lag 0 and `lag`, and the number of pairs of frames; lags stay inside a particle."""
-    rows = vectors.groupBy("particle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "vec"))), lambda s: s["vec"]).alias("v"))
+    """Symmetrised covariances at lag 0 and `lag`, and the number of pairs of frames; lags stay inside a particle. Tasks add up outer products of what a batch holds."""
     first = vectors.select(F.size("vec")).first()
     if first is None or first[0] < 1:
         raise ValueError("vectors are needed")
     d = first[0]
 
     def partial(b: pa.RecordBatch) -> np.ndarray:
+        a, c = _matrix(b.column("vec")), _matrix(b.column("later"))
         out = np.zeros((2 * d + 2, d))
-        for v in b.column("v").to_pylist():
-            x = np.array(v, float)
-            a, c = x[:-lag], x[lag:]
-            if len(a):
-                out[:d] += a.T @ a + c.T @ c
-                out[d : 2 * d] += a.T @ c + c.T @ a
-                out[2 * d] += a.sum(0) + c.sum(0)
-                out[2 * d + 1, 0] += len(a)
+        out[:d], out[d : 2 * d], out[2 * d] = a.T @ a + c.T @ c, a.T @ c + c.T @ a, a.sum(0) + c.sum(0)
+        out[2 * d + 1, 0] = len(a)
         return out
 
-    found = _summed(rows, ["v"], partial, 2 * d + 2, d)
+    found = _summed(later(vectors, "vec", lag), ["vec", "later"], partial, 2 * d + 2, d)
     n = int(found[2 * d + 1, 0])
     if not n:
         raise ValueError("the series is no longer than the lag")
@@ -173,8 +195,7 @@ def rdf(positions: DataFrame, r_range: tuple[float, float], box, s1=None, s2=Non
     if block not in (None, (1, 1)):
 
         def ranks(sel, name: str, size: int) -> DataFrame:
-            order = sorted(r[0] for r in positions.where(selected(sel)).select("particle_id").distinct().collect())
-            return positions.sparkSession.createDataFrame([(p, k // size) for k, p in enumerate(order)], f"{name} long, b_{name} long")
+            return numbered(positions.where(selected(sel)), "particle_id").select(F.col("particle_id").alias(name), F.floor(F.col("number") / size).alias(f"b_{name}"))
 
         edges = edges.join(ranks(s1, "center_id", block[0]), "center_id").join(ranks(s2, "neigh_id", block[1]), "neigh_id").where("b_center_id <> b_neigh_id")
     d = F.sqrt("d2")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import DISTANCES, normalized, soap_distance
+from .series import later
 
 #: References, at most: they are broadcast.
 MOST_REFERENCES = 10_000
@@ -20,12 +21,10 @@ def n_frames(series: DataFrame) -> int:
 
 
 def timesoap(vectors: DataFrame, delay: int = 1, check: bool = False) -> DataFrame:
-    """(particle_id, frame, value): distance of a particle's spectra `delay` frames apart; the last `delay` frames have no row. check: also that the series is longer than the delay, which counts its frames."""
+    """(particle_id, frame, value): distance of a particle's spectra `delay` frames apart; a frame without one `delay` on has no row. check: also that the series is longer than the delay, which counts its frames."""
     if delay < 1 or (check and delay >= n_frames(vectors)):
         raise ValueError("delay must be 1 at least and less than the number of frames")
-    w = Window.partitionBy("particle_id").orderBy("frame")
-    rows = vectors.withColumn("later", F.lead("vec", delay).over(w)).where("later is not null")
-    return rows.select("particle_id", "frame", soap_distance(F.col("vec"), F.col("later")).alias("value"))
+    return later(vectors, "vec", delay).select("particle_id", "frame", soap_distance(F.col("vec"), F.col("later")).alias("value"))
 
 
 def triangle(n_max: int) -> list[tuple[int, int]]:

@@ -145,10 +145,9 @@ def spatial_average_scalar(spark, d):
     return rounded(descriptors.spatial_average(p.select("particle_id", "frame", F.col("x").alias("value")), p, R_CUT, box=v.BOX), "value")
 
 
-@query(f"WITH {v.P}, {v.V}, {v.edges(R_CUT, inclusive=True, own=True)}, u AS (SELECT particle_id, frame, unnest(vec[1:4]) AS c, unnest(range(4)) AS k FROM v) SELECT i AS particle_id, e.frame, k::INT AS k, round(avg(c), 6) + 0.0 AS value FROM e JOIN u ON u.frame = e.frame AND u.particle_id = j GROUP BY i, e.frame, k")
+@query(f"WITH {v.P}, {v.V}, {v.edges(R_CUT, inclusive=True, own=True)}, u AS (SELECT particle_id, frame, unnest(vec) AS c, unnest(range(64)) AS k FROM v) SELECT i AS particle_id, e.frame, k::INT AS k, round(avg(c), 6) + 0.0 AS value FROM e JOIN u ON u.frame = e.frame AND u.particle_id = j GROUP BY i, e.frame, k")
 def spatial_average_vector(spark, d):
-    few = v.vectors(spark, d).select("particle_id", "frame", F.slice("vec", 1, 4).alias("vec"))
-    out = descriptors.spatial_average(few, v.positions(spark, d), R_CUT, box=v.BOX)
+    out = descriptors.spatial_average(v.vectors(spark, d).drop("label"), v.positions(spark, d), R_CUT, box=v.BOX)
     return out.select("particle_id", "frame", F.posexplode("vec").alias("k", "value")).withColumn("value", r6("value"))
 
 
@@ -256,19 +255,20 @@ def soap_kernel(spark, d):
 # series
 
 
-@query(f"""WITH {v.S}, c AS (SELECT particle_id, frame, value - avg(value) OVER (PARTITION BY particle_id) AS d FROM s), g AS (SELECT range AS lag FROM range(10)),
-q AS (SELECT lag, a.particle_id, sum(a.d * b.d) AS s FROM c a JOIN g ON true JOIN c b ON a.particle_id = b.particle_id AND b.frame = a.frame + lag GROUP BY lag, a.particle_id),
-w AS (SELECT lag, avg(s) / ({v.FRAMES} - lag) AS c, stddev_pop(s) / (({v.FRAMES} - lag) * sqrt(count(*))) AS e FROM q GROUP BY lag)
+@query(f"""WITH {v.S}, c AS (SELECT particle_id, frame, value - avg(value) OVER (PARTITION BY particle_id) AS d FROM s),
+q AS (SELECT b.frame - a.frame AS lag, a.particle_id, avg(a.d * b.d) AS s FROM c a JOIN c b ON a.particle_id = b.particle_id AND b.frame >= a.frame GROUP BY ALL),
+w AS (SELECT lag, avg(s) AS c, stddev_pop(s) / sqrt(count(*)) AS e FROM q GROUP BY lag)
 SELECT lag::INT AS lag, round(c / z, 6) + 0.0 AS value, round(e / z, 6) + 0.0 AS error FROM w, (SELECT c AS z FROM w WHERE lag = 0)""")
 def self_tcf(spark, d):
-    return rounded(series.self_time_correlation(v.series(spark, d), 10), "value", "error")
+    return rounded(series.self_time_correlation(v.series(spark, d)), "value", "error")
 
 
-@query(f"""WITH {v.S}, c AS (SELECT particle_id, frame, value - avg(value) OVER (PARTITION BY particle_id) AS d FROM s), g AS (SELECT range AS lag FROM range(3)),
-q AS (SELECT lag, a.particle_id AS i, b.particle_id AS j, sum(a.d * b.d) AS s FROM c a JOIN g ON true JOIN c b ON b.frame = a.frame + lag AND a.particle_id <> b.particle_id GROUP BY ALL)
-SELECT lag::INT AS lag, round(avg(s) / ({v.FRAMES} - lag), 6) + 0.0 AS value, round(stddev_pop(s) / (({v.FRAMES} - lag) * sqrt(count(*))), 6) + 0.0 AS error FROM q GROUP BY lag""")
+@query(f"""WITH {v.S}, c AS (SELECT particle_id, frame, value - avg(value) OVER (PARTITION BY particle_id) AS d FROM s),
+q AS (SELECT b.frame - a.frame AS lag, a.particle_id AS i, b.particle_id AS j, sum(a.d * b.d) AS s, count(*) AS n FROM c a JOIN c b ON b.frame >= a.frame AND a.particle_id <> b.particle_id GROUP BY ALL),
+t AS (SELECT lag, sum(s) / sum(n) AS v, sum(n) AS n FROM q GROUP BY lag)
+SELECT lag::INT AS lag, round(first(v), 6) + 0.0 AS value, round(sqrt(sum((s - v * q.n) * (s - v * q.n))) / first(t.n), 6) + 0.0 AS error FROM q JOIN t USING (lag) GROUP BY lag""")
 def cross_tcf(spark, d):
-    return rounded(series.cross_time_correlation(v.series(spark, d), 3), "value", "error")
+    return rounded(series.cross_time_correlation(v.series(spark, d)), "value", "error")
 
 
 @query(f"""WITH {v.V}, q AS (SELECT a.frame, a.particle_id, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.frame, a.particle_id ORDER BY list_distance(a.vec, b.vec)) AS rn FROM v a JOIN v b ON a.frame = b.frame AND a.particle_id <> b.particle_id),
@@ -397,13 +397,13 @@ def onion_runs(spark, d):
     return onion.assign_runs(v.series(spark, d), _inside(), 3)
 
 
-@query(f"WITH {v.S} SELECT particle_id, frame // 4 AS window FROM s WHERE frame < 44 GROUP BY ALL HAVING bool_and(value >= 1 AND value <= 25)".replace("AS window", 'AS "window"'))
+@query(f"WITH {v.S} SELECT particle_id, frame // 4 AS window FROM s GROUP BY ALL HAVING count(*) = 4 AND bool_and(value >= 1 AND value <= 25)".replace("AS window", 'AS "window"'))
 def onion_windows(spark, d):
     rows = onion.windows(v.series(spark, d), 4)
     return onion.assign_windows(rows, _inside()).select("particle_id", F.col("window").cast("int").alias("window"))
 
 
-@query(f"WITH {v.S}, w AS (SELECT particle_id, frame // 4 AS w, bool_and(value >= 1 AND value <= 25) AS i FROM s WHERE frame < 44 GROUP BY ALL) SELECT CASE WHEN i THEN 0 ELSE -1 END AS label, (frame % 4)::INT AS k, round(avg(value), 6) AS value FROM s JOIN w ON s.particle_id = w.particle_id AND frame // 4 = w GROUP BY ALL")
+@query(f"WITH {v.S}, w AS (SELECT particle_id, frame // 4 AS w, bool_and(value >= 1 AND value <= 25) AS i FROM s GROUP BY ALL HAVING count(*) = 4) SELECT CASE WHEN i THEN 0 ELSE -1 END AS label, (frame % 4)::INT AS k, round(avg(value), 6) AS value FROM s JOIN w ON s.particle_id = w.particle_id AND frame // 4 = w GROUP BY ALL")
 def medoids(spark, d):
     rows = onion.windows(v.series(spark, d), 4)
     marks = rows.groupBy("particle_id", "window").agg(F.when(F.bool_and(_inside()), 0).otherwise(-1).alias("label"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = (10.0, 10.0, 10.0)
-FRAMES = 45
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,10 +24,10 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    """The first 45 events of each user."""
+    """Every user's events in order of time: series of unequal lengths."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return e.withColumn("frame", (F.row_number().over(w) - 1).cast("int")).where(F.col("frame") < FRAMES).select(F.col("user_id").alias("particle_id"), "frame", "value")
+    return e.select(F.col("user_id").alias("particle_id"), (F.row_number().over(w) - 1).cast("int").alias("frame"), "value")
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +49,7 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
 
 V = "v AS (SELECT vec_id % 50 AS particle_id, (vec_id // 50)::INT AS frame, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 P = "p AS (SELECT (vec_id // 50)::INT AS frame, vec_id % 50 AS particle_id, 'C' || (vec_id % 50 % 5) AS name, CASE WHEN vec_id % 50 % 2 = 0 THEN 'A' ELSE 'B' END AS type, embedding[1]::DOUBLE * 10 + 5 AS x, embedding[2]::DOUBLE * 10 + 5 AS y, embedding[3]::DOUBLE * 10 + 5 AS z FROM embeddings)"
-S = f"s AS (SELECT user_id AS particle_id, f::INT AS frame, value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events) WHERE f < {FRAMES})"
+S = "s AS (SELECT user_id AS particle_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, value FROM events)"
 Y = "y AS (SELECT event_id, event_type, value, (props::JSON->>'$.k')::INT AS k FROM events)"
 D = "d AS (SELECT 'img_' || lpad((event_id % 40)::VARCHAR, 3, '0') || '.png' AS image_path, event_id AS det_id, (k % 5)::INT AS cls, (event_id * 37 % 1000) / 1000.0::DOUBLE AS conf, k::DOUBLE AS x1, (event_id % 50)::DOUBLE AS y1, k::DOUBLE + 10 + event_id % 7 AS x2, (event_id % 50)::DOUBLE + 12 AS y2 FROM y)"
 
