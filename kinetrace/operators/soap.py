@@ -67,29 +67,47 @@ def radial_basis(r_cut: float, n_max: int, l_max: int) -> tuple[np.ndarray, np.n
     return alpha, beta
 
 
-def legendre(x: np.ndarray, l_max: int) -> Iterator[np.ndarray]:
-    before, now = np.zeros_like(x), np.ones_like(x)
-    for l in range(l_max + 1):
-        yield now
-        before, now = now, ((2 * l + 1) * x * now - l * before) / (l + 1)
+def harmonics(unit: np.ndarray, l_max: int) -> list[np.ndarray]:
+    """Real spherical harmonics of unit vectors (m, 3): by l, an array (2 l + 1, m). Their products summed over the orders are (2 l + 1) / 4 pi times the Legendre polynomial of the angle between two vectors."""
+    x, y, z = unit.T
+    across = [(np.ones_like(x), np.zeros_like(x))]  # real and imaginary part of (x + i y)^m
+    for _ in range(l_max):
+        a, b = across[-1]
+        across.append((a * x - b * y, a * y + b * x))
+    out = [np.empty((2 * l + 1, len(x))) for l in range(l_max + 1)]
+    edge = math.sqrt(1 / (4 * math.pi))
+    for m, (a, b) in enumerate(across):
+        edge *= math.sqrt((2 * m + 1) / (2 * m)) if m else 1.0
+        before, now = np.zeros_like(z), np.full_like(z, edge)
+        for l in range(m, l_max + 1):
+            if l > m:
+                scale = math.sqrt((4 * l * l - 1) / (l * l - m * m))
+                less = math.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1)) if l - 1 > m else 0.0
+                before, now = now, scale * (z * now - less * before)
+            if m:
+                out[l][2 * m - 1], out[l][2 * m] = math.sqrt(2) * now * a, math.sqrt(2) * now * b
+            else:
+                out[l][0] = now
+    return out
 
 
 def spectrum(delta: np.ndarray, kind: np.ndarray, kinds: int, r_cut: float, n_max: int, l_max: int) -> np.ndarray:
-    """Power spectrum of one environment: delta (m, 3) from the centre to every density in reach, itself included; kind: species numbers. Order: pairs of species, l, then n <= n' (all n, n' for two species)."""
+    """Power spectrum of one environment: delta (m, 3) from the centre to every density in reach, itself included; kind: species numbers. Order: pairs of species, l, then n <= n' (all n, n' for two species). The density's coefficients are sums over neighbours, so the work grows in proportion to these."""
     alpha, beta = radial_basis(r_cut, n_max, l_max)
     a = 1 / (2 * SIGMA**2)
     r = np.sqrt((delta**2).sum(1))
     safe = np.where(r > 0, r, 1.0)
     unit = np.where(r[:, None] > 0, delta / safe[:, None], 0.0)
-    angle = np.clip(unit @ unit.T, -1, 1)
     upper = tuple(np.array(triangle(n_max)).T)
+    member = np.eye(kinds)[kind]
     blocks: dict[tuple[int, int], list[np.ndarray]] = {(i, j): [] for i in range(kinds) for j in range(i, kinds)}
-    for l, p in enumerate(legendre(angle, l_max)):
+    for l, angular in enumerate(harmonics(unit, l_max)):
         g = alpha[l]
         f = math.pi**1.5 * (a * r[:, None]) ** l * (a + g) ** -(l + 1.5) * np.exp(-a * g * r[:, None] ** 2 / (a + g)) @ beta[l].T
-        scale = math.pi * math.sqrt(8 / (2 * l + 1)) * (2 * l + 1) / (4 * math.pi)
+        c = [(f * member[:, i : i + 1]).T @ angular.T for i in range(kinds)]  # (n, 2 l + 1) of each species
+        scale = math.pi * math.sqrt(8 / (2 * l + 1))
         for (i, j), out in blocks.items():
-            full = scale * f[kind == i].T @ p[np.ix_(kind == i, kind == j)] @ f[kind == j]
+            full = scale * c[i] @ c[j].T
             out.append(full[upper] if i == j else full.ravel())
     return np.concatenate([x for out in blocks.values() for x in out])
 
