@@ -50,8 +50,4 @@ def unit_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot(a, b)))
 
 
-def is_zero(a: Column) -> Column:
-    return ~F.exists(a, lambda x: x != 0)
-
-
 DISTANCES = {"soap": soap_distance, "simple": kernel_distance, "normalized": unit_distance}

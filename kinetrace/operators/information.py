@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, log_unit_ball
-from ..session import ship
+from ..session import discard, ship, written
 
 BITS = {"bit": math.log(2), "nat": 1.0}
 
@@ -46,11 +46,11 @@ def histogram_entropy(data: DataFrame, ranges: dict[str, tuple[float, float]], n
 
 def info_gain(data: DataFrame, columns: Sequence[str], label: str, base: float = 2.0) -> DataFrame:
     """(gain, relative, h0, hc): entropy of all rows less the mean of the labels', by one pass of grouping sets. relative is NaN where h0 is 0."""
-    counts = data.groupBy(label, *columns).agg(F.count(F.lit(1)).alias("c"))
-    cols = ", ".join(columns)
-    counts.createOrReplaceTempView("kinetrace_counts")
-    sets = data.sparkSession.sql(f"SELECT {label} AS label, grouping({label}) AS whole, {cols}, sum(c) AS c FROM kinetrace_counts GROUP BY GROUPING SETS (({label}, {cols}), ({cols}))")
-    each = entropy_of_counts(sets, ["whole", "label"], base)
+    symbols = [f"s{k}" for k in range(len(columns))]
+    named = data.select(data[f"`{label}`"].alias("l"), *[data[f"`{c}`"].alias(s) for c, s in zip(columns, symbols, strict=True)])
+    counts = named.groupBy("l", *symbols).agg(F.count(F.lit(1)).alias("k"))
+    sets = counts.groupingSets([["l", *symbols], symbols], "l", *symbols).agg(F.grouping("l").alias("whole"), F.sum("k").alias("c"))
+    each = entropy_of_counts(sets, ["whole", "l"], base)
     out = each.agg(F.sum(F.when(F.col("whole") == 1, F.col("h"))).alias("h0"), (F.sum(F.when(F.col("whole") == 0, F.col("h") * F.col("n"))) / F.sum(F.when(F.col("whole") == 0, F.col("n")))).alias("hc"))
     gain = F.col("h0") - F.col("hc")
     return out.select(gain.alias("gain"), F.when(F.col("h0") == 0, F.lit(float("nan"))).otherwise(gain / F.col("h0")).alias("relative"), "h0", "hc")
@@ -58,10 +58,12 @@ def info_gain(data: DataFrame, columns: Sequence[str], label: str, base: float =
 
 def entropy_gain(data: DataFrame, columns: Sequence[str], label: str, n_bins: int = 20) -> DataFrame:
     """Information gain of histograms over each column's own range, as fractions of the log of the number of bins."""
-    span = data.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
-    rows = data.crossJoin(F.broadcast(span))  # one row
-    binned = rows.select(label, *[bin_of(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), n_bins).alias(f"b_{c}") for c in columns])
-    return info_gain(binned, [f"b_{c}" for c in columns], label, float(n_bins ** len(columns)))
+    named = data.select(data[f"`{label}`"].alias("l"), *[data[f"`{c}`"].alias(f"x{k}") for k, c in enumerate(columns)])
+    at = range(len(columns))
+    span = named.agg(*[f(f"x{k}").alias(f"{n}{k}") for k in at for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = named.crossJoin(F.broadcast(span))  # one row
+    binned = rows.select("l", *[bin_of(F.col(f"x{k}"), F.col(f"lo{k}"), F.col(f"hi{k}"), n_bins).alias(f"b{k}") for k in at])
+    return info_gain(binned, [f"b{k}" for k in at], "l", float(n_bins ** len(columns)))
 
 
 def spacing_entropy(data: DataFrame, column: str, k: int = 1, units: str = "nat") -> float:
@@ -99,29 +101,38 @@ def spacing_entropy(data: DataFrame, column: str, k: int = 1, units: str = "nat"
 def knn_distance(points: DataFrame, columns: Sequence[str], k: int, norm: str = "euclid") -> DataFrame:
     """(id, d): distance to the k-th nearest other point, for rows (id, columns...).
 
-    Points are put into cells; a point looks into the cells around its own, and is settled if it finds k within a cell's width, as no nearer one can lie elsewhere. The rest go on with cells of four times the width. Exact; meant for three dimensions at most.
+    Equal points are one place with a count. Places are put into cells; a place looks into the cells around its own, and is settled if it finds k points within a cell's width, as no nearer one can lie elsewhere. The rest go on with cells of four times the width. The first width follows from the range of the inner 90 % of the points in each column, so far-off ones don't put all others into one cell. Exact; meant for three dimensions at most.
     """
-    n, *span = points.agg(F.count(F.lit(1)), *[f(c) for c in columns for f in (F.min, F.max)]).first()
-    if n <= k:
+    names = [f"x{i}" for i in range(len(columns))]
+    named = points.select("id", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True)])
+    places = written(named.groupBy(*names).agg(F.count(F.lit(1)).alias("many")).withColumn("place", F.monotonically_increasing_id()))
+    n, m = places.agg(F.sum("many"), F.count(F.lit(1))).first()
+    if (n or 0) <= k:
         return points.select("id", F.lit(None).cast("double").alias("d")).limit(0)
-    sides = [max(b - a, 1e-12) for a, b in zip(span[::2], span[1::2], strict=True)]
-    width = (math.prod(sides) * 4 * (k + 1) / n) ** (1 / len(columns))
-    left, done = points.select("id", *columns), None
+    inner = places.approxQuantile(names, [0.05, 0.95], 0.01)
+    whole = places.agg(*[F.max(x) - F.min(x) for x in names]).first()
+    sides = [max(b - a if b > a else w, 1e-12) for (a, b), w in zip(inner, whole, strict=True)]
+    width = (math.prod(sides) * 4 * (k + 1) / m) ** (1 / len(names))
+    left, done = places, None
     while True:
-        cell = lambda df, w: df.withColumns({f"g_{c}": F.floor(F.col(c) / w) for c in columns})
-        every = cell(points.select(F.col("id").alias("other"), *columns), width).withColumnsRenamed({c: f"o_{c}" for c in columns})
+        cell = lambda df, w: df.withColumns({f"g_{x}": F.floor(F.col(x) / w) for x in names})
+        every = cell(places.select(F.col("place").alias("other"), F.col("many").alias("others"), *names), width).withColumnsRenamed({x: f"o_{x}" for x in names})
         around = cell(left, width)
-        for c in columns:
-            around = around.withColumn(f"g_{c}", F.explode(F.array(*[F.col(f"g_{c}") + F.lit(s) for s in (-1, 0, 1)])))
-        gaps = [F.abs(F.col(c) - F.col(f"o_{c}")) for c in columns]
+        for x in names:
+            around = around.withColumn(f"g_{x}", F.explode(F.array(*[F.col(f"g_{x}") + F.lit(s) for s in (-1, 0, 1)])))
+        gaps = [F.abs(F.col(x) - F.col(f"o_{x}")) for x in names]
         d = F.greatest(*gaps) if norm == "chebyshev" and len(gaps) > 1 else gaps[0] if len(gaps) == 1 else F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
-        near = around.join(every, [f"g_{c}" for c in columns]).where((F.col("id") != F.col("other")) & (d <= width)).select("id", d.alias("d"))
-        found = near.groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("ds")).where(F.size("ds") >= k).select("id", F.col("ds")[k - 1].alias("d")).cache()
-        done = found if done is None else done.unionByName(found)
-        rest = left.join(found, "id", "left_anti").cache()
+        found = around.join(every, [f"g_{x}" for x in names]).select("place", "many", "other", "others", d.alias("d")).where(F.col("d") <= width)
+        rank = F.sum(F.col("others") - F.when(F.col("place") == F.col("other"), 1).otherwise(0)).over(Window.partitionBy("place").orderBy("d", "other"))
+        settled = written(found.withColumn("rank", rank).where(F.col("rank") >= k).groupBy("place").agg(F.min("d").alias("d")))
+        done = settled if done is None else done.unionByName(settled)
+        rest = written(left.join(settled, "place", "left_anti"))
+        if left is not places:
+            discard(left)
         if rest.isEmpty():
-            return done
+            break
         left, width = rest, width * 4
+    return named.join(places.join(done, "place").select(*names, "d"), names).select("id", "d")
 
 
 def kozachenko_leonenko(points: DataFrame, columns: Sequence[str], k: int = 4, base: float = 2.0, norm: str = "chebyshev") -> float:
@@ -145,15 +156,26 @@ def info_gain_kl(points: DataFrame, columns: Sequence[str], label: str, k: int =
     return points.sparkSession.createDataFrame([(gain, gain / h0 if h0 else math.nan, h0, hc)], "gain double, relative double, h0 double, hc double")
 
 
+def gaussian_sample(spark: SparkSession, n: int, seed: int, block: int = 1 << 20) -> DataFrame:
+    """(id, x): n seeded normal numbers, made block by block on the executors; the first block is the seed's own stream, others have streams of the seed and their number."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                at = np.arange(k * block, min(n, (k + 1) * block))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.random.default_rng([seed, k] if k else seed).normal(size=len(at)))], ["id", "x"])
+
+    return spark.range(-(-n // block)).mapInArrow(run, "id long, x double")
+
+
 def negentropy(data: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 1234, units: str = "bit") -> float:
     """Entropy of a seeded Gaussian sample of the same size less that of the standardised values, all columns taken as one series."""
     values = data.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("x"))
     n, mean, sd = values.agg(F.count("x"), F.avg("x"), F.stddev_samp("x")).first()
-    own = values.select(F.monotonically_increasing_id().alias("id"), ((F.col("x") - mean) / sd).alias("x")).cache()
-    gauss = np.random.default_rng(seed).normal(size=n)
-    reference = data.sparkSession.createDataFrame(list(enumerate(gauss.tolist())), "id long, x double")
+    own = values.select(F.monotonically_increasing_id().alias("id"), ((F.col("x") - mean) / sd).alias("x"))
     base = math.exp(BITS[units])
-    return kozachenko_leonenko(reference, ["x"], k, base) - kozachenko_leonenko(own, ["x"], k, base)
+    return kozachenko_leonenko(gaussian_sample(data.sparkSession, n, seed), ["x"], k, base) - kozachenko_leonenko(own, ["x"], k, base)
 
 
 def sample_entropy_of(x: np.ndarray, r: float, m: int = 2) -> float:

@@ -14,15 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_STATES = 50
+from ..session import discard, written
 
 
 @dataclass
 class State:
-    """One dimension: numbers; more: lists (th_inf and th_sup then hold the ellipsoid's half axes around mean)."""
+    """One dimension: numbers; more: lists (sigma is the covariance; th_inf and th_sup hold how far the ellipsoid reaches along each component)."""
 
     mean: float | list[float]
-    sigma: float | list[float]
+    sigma: float | list[list[float]]
     area: float
     r_2: float
     perc: float = 0.0
@@ -35,10 +35,10 @@ class State:
 
 
 def windows(series: DataFrame, delta_t: int) -> DataFrame:
-    """Adds window, the number of each run of delta_t frames; an incomplete run at the end is dropped."""
-    last = F.max("frame").over(Window.partitionBy("particle_id"))
-    rows = series.withColumns({"window": F.floor(F.col("frame") / delta_t).cast("int"), "last": last})
-    return rows.where((F.col("window") + 1) * delta_t <= F.col("last") + 1).drop("last")
+    """Adds window, the number of each run of delta_t frames; a run that lacks a frame (as at the end) is dropped."""
+    rows = series.withColumn("window", F.floor(F.col("frame") / delta_t).cast("int"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("particle_id", "window"))
+    return rows.withColumn("size", size).where(F.col("size") == delta_t).drop("size")
 
 
 def assign_windows(rows: DataFrame, inside, group: str = "window") -> DataFrame:
@@ -55,7 +55,7 @@ def assign_runs(series: DataFrame, inside, delta_t: int) -> DataFrame:
 
 
 def histogram(rows: DataFrame, column: str, bins: int | str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(edges, counts, n); 'auto' takes the wider of the Sturges and Freedman-Diaconis bins, the quartiles from a fine histogram."""
+    """(edges, counts, n), counts exact; 'auto' takes the wider of the Sturges and Freedman-Diaconis bins (512 at most), the quartiles from a fine histogram."""
     n, lo, hi = rows.agg(F.count(column), F.min(column), F.max(column)).first()
     if not n or lo == hi:
         return np.array([lo or 0.0, (hi or 0.0) + 1e-12]), np.array([n or 0]), n or 0
@@ -67,20 +67,18 @@ def histogram(rows: DataFrame, column: str, bins: int | str) -> tuple[np.ndarray
             out[b] = c
         return out
 
-    fine = counts(4096)
     if bins == "auto":
-        cum = np.cumsum(fine) / n
+        cum = np.cumsum(counts(4096)) / n
         iqr = (np.searchsorted(cum, 0.75) - np.searchsorted(cum, 0.25)) * (hi - lo) / 4096
         width = max(2 * iqr / n ** (1 / 3), (hi - lo) / 512)
         bins = int(max(math.ceil(math.log2(n) + 1), min(512, math.ceil((hi - lo) / width))))
-    edges = np.linspace(lo, hi, bins + 1)
-    place = np.minimum((np.arange(4096) + 0.5) / 4096 * bins, bins - 1).astype(int)
-    return edges, np.bincount(place, fine, bins).astype(np.int64) if bins < 1024 else counts(bins), n
+    return np.linspace(lo, hi, bins + 1), counts(bins), n
 
 
-def smoothed(counts: np.ndarray) -> np.ndarray:
+def smoothed(counts: np.ndarray, least_bins: int = 21) -> np.ndarray:
+    """Means over three bins, of histograms with least_bins or more: fewer would lose their peaks."""
     c = np.pad(counts.astype(float), 1, mode="edge")
-    return (c[:-2] + c[1:-1] + c[2:]) / 3 if len(counts) > 20 else counts.astype(float)
+    return (c[:-2] + c[1:-1] + c[2:]) / 3 if len(counts) >= least_bins else counts.astype(float)
 
 
 def fit_peak(x: np.ndarray, y: np.ndarray) -> State | None:
@@ -143,11 +141,11 @@ def settle(states: list[State], lo: float, hi: float, max_area_overlap: float =
     return kept
 
 
-def onion(series: DataFrame, delta_t: int, bins: int | str = "auto", sigmas: float = 2.0, smooth: bool = False, max_area_overlap: float = 0.8) -> tuple[list[State], DataFrame]:
-    """(states, labels). series(particle_id, frame, value) or, with several components, (.., vec). Labels are (particle_id, window, label) of windows of delta_t frames, or with smooth (particle_id, frame, label)."""
+def onion(series: DataFrame, delta_t: int, bins: int | str = "auto", sigmas: float = 2.0, smooth: bool = False, max_area_overlap: float = 0.8, max_states: int | None = None, least_bins: int = 21) -> tuple[list[State], DataFrame]:
+    """(states, labels). series(particle_id, frame, value) or, with several components, (.., vec). Labels are (particle_id, window, label) of windows of delta_t frames, or with smooth (particle_id, frame, label). max_states: peaks to fit at most; by default the search goes on until a peak assigns nothing. least_bins: bins from which histograms are smoothed."""
     if "vec" in series.columns:
-        return _onion_vectors(series, delta_t, bins, sigmas, smooth)
-    rows = (series if smooth else windows(series, delta_t)).cache()
+        return _onion_vectors(series, delta_t, bins, sigmas, smooth, max_states, max_area_overlap)
+    rows = written(series if smooth else windows(series, delta_t))
     key = "frame" if smooth else "window"
     total = rows.count()
     if not total:
@@ -162,21 +160,25 @@ def onion(series: DataFrame, delta_t: int, bins: int | str = "auto", sigmas: flo
     def assigned(df: DataFrame, a: float, b: float) -> DataFrame:
         return assign_runs(df, inside(a, b), delta_t) if smooth else assign_windows(df, inside(a, b))
 
-    while len(states) < MOST_STATES:
+    while max_states is None or len(states) < max_states:
         edges, counts, n = histogram(left, "value", bins)
         if n < 2 or len(counts) < 3:
             break
-        density = smoothed(counts) / (n * (edges[1] - edges[0]))
+        density = smoothed(counts, least_bins) / (n * (edges[1] - edges[0]))
         state = fit_peak((edges[:-1] + edges[1:]) / 2, density)
         if state is None:
             break
         found = assigned(left, state.mean - sigmas * state.sigma, state.mean + sigmas * state.sigma)
-        taken = left.join(found, ["particle_id", key], "left_semi").count()
-        if not taken:
+        rest = written(left.join(found, ["particle_id", key], "left_anti"))
+        if left is not rows:
+            discard(left)
+        left = rest
+        if rest.count() == n:
             break
         state.area *= n / total
         states.append(state)
-        left = left.join(found, ["particle_id", key], "left_anti").cache()
+    if left is not rows:
+        discard(left)
     states = settle(states, lo, hi, max_area_overlap)
     parts = None
     for k, s in enumerate(states):
@@ -195,45 +197,82 @@ def onion(series: DataFrame, delta_t: int, bins: int | str = "auto", sigmas: flo
     return states, labels
 
 
-def _onion_vectors(series: DataFrame, delta_t: int, bins: int | str, sigmas: float, smooth: bool) -> tuple[list[State], DataFrame]:
-    """Several components: the peak is the fullest cell of a grid, the Gaussian is that of each component around it, and inside is the ellipsoid of `sigmas` half axes."""
+def ellipsoid_overlap(a: State, b: State) -> float:
+    """Share of two Gaussians' mass in common, from the distance of their means and their covariances (Bhattacharyya's coefficient)."""
+    p, q = np.array(a.sigma), np.array(b.sigma)
+    both = (p + q) / 2
+    gap = np.array(a.mean) - np.array(b.mean)
+    d = gap @ np.linalg.solve(both, gap) / 8 + 0.5 * math.log(np.linalg.det(both) / math.sqrt(np.linalg.det(p) * np.linalg.det(q)))
+    return math.exp(-d)
+
+
+def _onion_vectors(series: DataFrame, delta_t: int, bins: int | str, sigmas: float, smooth: bool, max_states: int | None, max_overlap: float) -> tuple[list[State], DataFrame]:
+    """Several components: the peak is the fullest cell of a grid, the Gaussian has the mean and covariance of the points around it (made wider, as a cut-out understates them), and inside is the ellipsoid within `sigmas` Mahalanobis distances. A state that shares more than max_overlap with an earlier one is part of it. State.sigma holds the covariance."""
     dims = series.select(F.size("vec")).first()[0]
     split = series.select("particle_id", "frame", *[F.col("vec")[k].alias(f"v{k}") for k in range(dims)])
-    rows = (split if smooth else windows(split, delta_t)).cache()
+    rows = written(split if smooth else windows(split, delta_t))
     key = "frame" if smooth else "window"
     names = [f"v{k}" for k in range(dims)]
     span = rows.agg(*[f(c) for c in names for f in (F.min, F.max)]).first()
     total = rows.count()
+    if not total:
+        raise ValueError("the series is shorter than delta_t")
     side = 20 if bins == "auto" else int(bins)
     width = [max(b - a, 1e-12) / side for a, b in zip(span[::2], span[1::2], strict=True)]
+
+    def moments(df: DataFrame, where) -> tuple[float, np.ndarray, np.ndarray]:
+        m = df.where(where).agg(F.count(F.lit(1)), *[F.avg(c) for c in names], *[F.covar_pop(a, b) for a in names for b in names]).first()
+        return m[0], np.array(m[1 : dims + 1], float), np.array(m[dims + 1 :], float).reshape(dims, dims)
+
+    def within(mean: np.ndarray, cov: np.ndarray, reach: float):
+        inverse = np.linalg.inv(cov)
+        gaps = [F.col(c) - float(a) for c, a in zip(names, mean, strict=True)]
+        return sum((gaps[i] * gaps[j] * float(inverse[i, j]) for i in range(dims) for j in range(dims)), F.lit(0.0)) <= reach * reach
+
+    floor = np.diag([(w / 4) ** 2 for w in width])
     states, left, parts = [], rows, None
-    while len(states) < MOST_STATES:
+    while True:
         cell = [F.least(F.floor((F.col(c) - a) / w), F.lit(side - 1)).cast("int").alias(f"g{k}") for k, (c, a, w) in enumerate(zip(names, span[::2], width, strict=True))]
         top = left.groupBy(*cell).count().orderBy(F.desc("count"), *[f"g{k}" for k in range(dims)]).first()
         if top is None:
             break
-        near = [(F.abs((F.col(c) - a) / w - (top[k] + 0.5)) <= 2.5) for k, (c, a, w) in enumerate(zip(names, span[::2], width, strict=True))]
-        close = near[0]
-        for x in near[1:]:
-            close = close & x
-        m = left.where(close).agg(*[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
-        mean, sigma = list(m[::2]), [max(s or 0.0, w / 4) for s, w in zip(m[1::2], width, strict=True)]
-        reach = sum(((F.col(c) - a) / (sigmas * s) * ((F.col(c) - a) / (sigmas * s)) for c, a, s in zip(names, mean, sigma, strict=True)), F.lit(0.0)) <= 1
-        found = assign_runs(left, reach, delta_t) if smooth else assign_windows(left, reach)
+        near = F.lit(True)
+        for k, (c, a, w) in enumerate(zip(names, span[::2], width, strict=True)):
+            near = near & (F.abs((F.col(c) - a) / w - (top[k] + 0.5)) <= 2.5)
+        _, mean, cov = moments(left, near)
+        cov = cov + floor
+        for _ in range(3):  # from the box to the ellipsoid that the points themselves make
+            n, m, c = moments(left, within(mean, cov, 2.0))
+            if n < 2 * dims:
+                break
+            mean, cov = m, c * 1.3 + floor
+        inside = within(mean, cov, sigmas)
+        found = written(assign_runs(left, inside, delta_t) if smooth else assign_windows(left, inside))
         taken = left.join(found, ["particle_id", key], "left_semi").count()
         if not taken:
             break
-        within = [k for k, s in enumerate(states) if sum(((a - b) / t) ** 2 for a, b, t in zip(mean, s.mean, s.th_sup, strict=True)) <= 1]
-        if not within:  # else these are the rim of a state that was found before
-            states.append(State(mean, sigma, taken / total, 1.0, taken / total, float(top["count"]), [sigmas * s for s in sigma], [sigmas * s for s in sigma]))
-        part = found.withColumn("label", F.lit(within[0] if within else len(states) - 1))
+        axes = [sigmas * math.sqrt(x) for x in np.diag(cov)]
+        state = State(mean.tolist(), cov.tolist(), taken / total, 1.0, taken / total, float(top["count"]), axes, axes)
+        same = [k for k, s in enumerate(states) if ellipsoid_overlap(s, state) > max_overlap]
+        if not same:
+            if max_states is not None and len(states) >= max_states:
+                break
+            states.append(state)
+        part = found.withColumn("label", F.lit(same[0] if same else len(states) - 1))
         parts = part if parts is None else parts.unionByName(part)
-        left = left.join(found, ["particle_id", key], "left_anti").cache()
+        rest = written(left.join(found, ["particle_id", key], "left_anti"))
+        if left is not rows:
+            discard(left)
+        left = rest
     every = rows.select("particle_id", key).distinct()
     if parts is None:
         return [], every.withColumn("label", F.lit(-1))
     best = parts.groupBy("particle_id", key).agg(F.min("label").alias("label"))
-    return states, every.join(best, ["particle_id", key], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    labels = every.join(best, ["particle_id", key], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    for k, s in enumerate(states):
+        s.perc = shares.get(k, 0) / sum(shares.values())
+    return states, labels
 
 
 def delays(n_frames: int, least: int = 1, most: int | None = None, num: int = 20) -> list[int]:

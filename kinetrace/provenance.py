@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import zipfile
 from datetime import UTC, datetime
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from .session import shared_dir
@@ -55,7 +53,7 @@ class Log:
         return True
 
     def extract(self, spark: SparkSession, path: str) -> list[str]:
-        """A local ZIP of the recorded datasets, a Parquet file each, named by their meta's values; a name that is taken gets _1, _2, and so on. One dataset at a time passes through the driver."""
+        """A local ZIP of the recorded datasets, a folder of Parquet files each, named by their meta's values; a name that is taken gets _1, _2, and so on. One file at a time passes through the driver."""
         names: list[str] = []
         with zipfile.ZipFile(path, "w") as z:
             for meta, folder in self.recorded:
@@ -65,9 +63,9 @@ class Log:
                     k += 1
                     name = f"{base}_{k}"
                 names.append(name)
-                out = io.BytesIO()
-                pq.write_table(spark.read.parquet(folder).toArrow(), out)
-                z.writestr(f"{name}/data.parquet", out.getvalue())
+                files = spark.read.format("binaryFile").load(f"{folder}/*.parquet").orderBy("path").select("content")
+                for k, r in enumerate(files.toLocalIterator()):
+                    z.writestr(f"{name}/data/{k:05d}.parquet", bytes(r["content"]))
                 z.writestr(f"{name}/meta.json", json.dumps(meta))
         return names
 

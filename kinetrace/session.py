@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -59,6 +59,22 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, read back: cuts the lineage in a way that survives lost executors. What nobody discards goes when the application ends."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_to)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, in whatever store the path names."""
     fs, where = _store(spark, path)
