@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import discard, path_exists, written
+from .ranks import numbered
 
 DETECTIONS = "image_path string, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
-#: Training parameters that are known; their values are checked by whoever trains.
-HYPERPARAMETERS = ("lr0", "lrf", "momentum", "weight_decay", "warmup_epochs", "warmup_momentum", "warmup_bias_lr", "box", "cls", "dfl", "hsv_h", "hsv_s", "hsv_v", "degrees", "translate", "scale", "shear", "perspective", "flipud", "fliplr", "mosaic", "mixup", "copy_paste", "close_mosaic")
-
-
-def check_hyperparameters(given: dict) -> None:
+#: Training parameters and their defaults (fixed values).
+HYPERPARAMETERS = {
+    "lr0": 0.01,
+    "lrf": 0.01,
+    "momentum": 0.937,
+    "weight_decay": 0.0005,
+    "warmup_epochs": 3.0,
+    "warmup_momentum": 0.8,
+    "box": 7.5,
+    "cls": 0.5,
+    "dfl": 1.5,
+    "hsv_h": 0.015,
+    "hsv_s": 0.7,
+    "hsv_v": 0.4,
+    "degrees": 0.0,
+    "translate": 0.1,
+    "scale": 0.5,
+    "shear": 0.0,
+    "perspective": 0.0,
+    "flipud": 0.0,
+    "fliplr": 0.5,
+    "bgr": 0.0,
+    "mosaic": 1,
+    "mixup": 0.0,
+    "cutmix": 0.0,
+    "copy_paste": 0.0,
+}
+
+
+def check_hyperparameters(given: dict) -> dict:
+    """The defaults with what is given; ValueError names keys that aren't known."""
     unknown = sorted(set(given) - set(HYPERPARAMETERS))
     if unknown:
         raise ValueError(f"unknown hyperparameters: {', '.join(unknown)}")
+    return HYPERPARAMETERS | given
 
 
 def filter_detections(rows: DataFrame, confidence: float = 0.25, classes: Iterable[int] | None = None, max_det: int = 500) -> DataFrame:
@@ -62,17 +93,8 @@ def centres(rows: DataFrame, classes: Iterable[int] | None = None) -> DataFrame:
 
 
 def frame_numbers(rows: DataFrame) -> DataFrame:
-    """(image_path, frame): places of the paths in their order. Paths are dealt out by ranges and written; each range counts its own from where the ranges before it end."""
-    spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
-    rows.select("image_path").distinct().repartitionByRange("image_path").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    paths = spark.read.schema("image_path string, part int").parquet(path)
-    before, offsets = 0, []
-    for r in paths.groupBy("part").count().orderBy("part").collect():  # a row per partition
-        offsets.append((r["part"], before))
-        before += r["count"]
-    w = Window.partitionBy("part").orderBy("image_path")
-    placed = paths.join(F.broadcast(spark.createDataFrame(offsets, "part int, before int")), "part")
-    return placed.select("image_path", (F.col("before") + F.row_number().over(w) - 1).alias("frame"))
+    """(image_path, frame): places of the paths in their order."""
+    return numbered(rows, "image_path").select("image_path", F.col("number").cast("int").alias("frame"))
 
 
 def train_split(rows: DataFrame, share: float = 0.8) -> DataFrame:
@@ -107,8 +129,96 @@ def predict(images: DataFrame, detector: Callable[[bytes], Iterable[tuple[int, f
     return filter_detections(suppress(found.where(F.col("conf") >= confidence), iou, agnostic), confidence, classes, max_det)
 
 
-def write_dataset(rows: DataFrame, path: str, width: float, height: float, names: dict[int, str], share: float = 0.8) -> None:
-    """A training set's tables: labels/part=train|val (image_path, lines), and dataset.yaml (as a text folder) with its classes."""
-    yolo_lines(rows, width, height).join(train_split(rows, share), "image_path").write.partitionBy("part").parquet(f"{path}/labels")
-    listed = "".join(f"\n  {k}: {v}" for k, v in sorted(names.items()))
-    rows.sparkSession.createDataFrame([(f"path: {path}\ntrain: labels/part=train\nval: labels/part=val\nnames:{listed}",)], "value string").coalesce(1).write.text(f"{path}/dataset.yaml")
+def write_dataset(rows: DataFrame, path: str, width: float, height: float, names: dict[int, str], share: float = 0.8, images: DataFrame | None = None) -> None:
+    """A training set as tables: labels/part=train|val (image_path, lines), images/part=train|val (image_path, content) of images (path, content) if these are given, and dataset.yaml (as a text folder) with its classes. Images without a box stay, with no lines."""
+    every = rows.select("image_path") if images is None else images.select(F.col("path").alias("image_path"))
+    parts = written(train_split(every, share))
+    lines = parts.join(yolo_lines(rows, width, height), "image_path", "left").select("image_path", "part", F.coalesce("lines", F.lit("")).alias("lines"))
+    lines.write.partitionBy("part").parquet(f"{path}/labels")
+    if images is not None:
+        images.select(F.col("path").alias("image_path"), "content").join(parts, "image_path").write.partitionBy("part").parquet(f"{path}/images")
+    discard(parts)
+    listed = "".join(f"\n- {names[k]}" for k in sorted(names))
+    rows.sparkSession.createDataFrame([(f"path: {path}\ntrain: images/train\nval: images/val\nnc: {len(names)}\nnames:{listed}",)], "value string").coalesce(1).write.text(f"{path}/dataset.yaml")
+
+
+def export_dataset(spark: SparkSession, path: str, target: str) -> None:
+    """A dataset's tables as files in a local folder: images/train|val, labels/train|val (a text per image, by its name without suffix) and dataset.yaml. Rows come to the driver one partition at a time."""
+    out = Path(target)
+    for kind in ("images", "labels"):
+        if not path_exists(spark, f"{path}/{kind}"):
+            continue
+        for r in spark.read.parquet(f"{path}/{kind}").toLocalIterator():
+            name = r["image_path"].rsplit("/", 1)[-1]
+            folder = out / kind / r["part"]
+            folder.mkdir(parents=True, exist_ok=True)
+            if kind == "images":
+                (folder / name).write_bytes(bytes(r["content"]))
+            else:
+                (folder / f"{Path(name).stem}.txt").write_text(r["lines"] + "\n" * bool(r["lines"]))
+    text = "\n".join(r[0] for r in spark.read.text(f"{path}/dataset.yaml").collect())
+    (out / "dataset.yaml").write_text(text.replace(f"path: {path}", f"path: {out.resolve()}") + "\n")
+
+
+Detector = Callable[[bytes], Iterable[tuple[int, float, float, float, float, float]]]
+
+
+@dataclass(frozen=True)
+class Vision:
+    """A detector over images (path, content), its datasets and its training. trainer: a function of (dataset's path, hyperparameters, epochs, batch size, patience, image size) to a detector and how good it is, the higher the better."""
+
+    images: DataFrame
+    detector: Detector | None = None
+    trainer: Callable[..., tuple[Detector, float]] | None = None
+    found: DataFrame | None = None
+    dataset: str | None = None
+    fitness: float | None = None
+
+    def predict(self, confidence: float = 0.25, iou: float = 0.7, max_det: int = 500, classes: Iterable[int] | None = None, agnostic: bool = False) -> Vision:
+        if self.detector is None:
+            raise ValueError("a detector is needed: give one, or train it")
+        return replace(self, found=predict(self.images, self.detector, confidence, iou, max_det, classes, agnostic))
+
+    def create_dataset(self, path: str, width: float, height: float, names: dict[int, str], share: float = 0.8, load: bool = True) -> Vision:
+        """Writes the predictions as a dataset, and takes it for training unless load is false."""
+        if self.found is None:
+            raise ValueError("No prediction results available.")
+        write_dataset(self.found, path, width, height, names, share, self.images)
+        return replace(self, dataset=path) if load else self
+
+    def set_training_dataset(self, path: str) -> Vision:
+        if not path_exists(self.images.sparkSession, f"{path}/dataset.yaml"):
+            raise FileNotFoundError(path)
+        return replace(self, dataset=path)
+
+    def train(self, hyperparams: dict | None = None, epochs: int = 100, batch_size: int = 16, patience: int = 20, imgsz: int | tuple[int, int] = 640) -> Vision:
+        if self.dataset is None or self.trainer is None:
+            raise ValueError("Training dataset has not been set." if self.dataset is None else "a trainer is needed")
+        detector, fitness = self.trainer(self.dataset, check_hyperparameters(hyperparams or {}), epochs, batch_size, patience, imgsz)
+        return replace(self, detector=detector, fitness=fitness)
+
+    def tune_hyperparams(self, iterations: int = 15, epochs: int = 50, imgsz: int | tuple[int, int] = 640, batch_size: int = 16, seed: int = 0) -> dict[str, float]:
+        """Best of the defaults and of `iterations` mutants, each of the best so far: a third or so of the values, at least one, are scaled by a factor around 1; values that are 0 may become positive."""
+        if self.dataset is None or self.trainer is None:
+            raise ValueError("Training dataset has not been set." if self.dataset is None else "a trainer is needed")
+        rng = np.random.default_rng(seed)
+        best, top = dict(HYPERPARAMETERS), -math.inf
+        for k in range(iterations + 1):
+            given = dict(best)
+            if k:
+                change = rng.random(len(given)) < 0.3
+                change[rng.integers(len(given))] = True
+                for name, moved in zip(given, change, strict=True):
+                    if moved:
+                        given[name] = float(max(0.0, (given[name] or 0.01) * rng.normal(1.0, 0.2)))
+            fitness = self.trainer(self.dataset, given, epochs, batch_size, 20, imgsz)[1]
+            if fitness > top:
+                best, top = given, fitness
+        return best
+
+    def export_prediction_to_xyz(self, path: str, classes: Iterable[int] | None = None) -> None:
+        if self.found is None:
+            raise ValueError("No prediction results available.")
+        from ..sources import xyz
+
+        xyz.write_text(xyz.centre_blocks(centres(self.found, classes)), path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -101,29 +101,42 @@ def save_text(blocks: DataFrame, path: str, files: int | None = None) -> None:
     ranged.sortWithinPartitions("frame").select("value").write.text(path)
 
 
-def _lattice(box) -> str | None:
-    return None if box is None else " ".join(f"{v}" for v in box)
+def _with_lattice(rows: DataFrame, box) -> DataFrame:
+    """Adds `lattice`: lengths and angles as six numbers of five decimals, null without a box. box: three lengths, six numbers, or a table (frame, lx, ly, lz[, alpha, beta, gamma])."""
+    if box is None:
+        return rows.withColumn("lattice", F.lit(None).cast("string"))
+    if not isinstance(box, DataFrame):
+        numbers = [*map(float, box), *[90.0] * (6 - len(box))]
+        return rows.withColumn("lattice", F.lit(" ".join(f"{x:.5f}" for x in numbers)))
+    angles = [F.col(a) if a in box.columns else F.lit(90.0) for a in ("alpha", "beta", "gamma")]
+    return rows.join(box.select("frame", F.format_string(" ".join(["%.5f"] * 6), "lx", "ly", "lz", *angles).alias("lattice")), "frame", "left")
 
 
-def colored_blocks(positions: DataFrame, labels: DataFrame, box: Sequence[float] | None = None, comment: str | None = None) -> DataFrame:
+def _matched(positions: DataFrame, values: DataFrame, column: str, name: str, what: str) -> DataFrame:
+    """Positions with a value each, under a name; ValueError unless every position has one, and the other way round."""
+    rows = positions.join(values.select("frame", "particle_id", F.col(column).alias(name)), ["frame", "particle_id"], "left")
+    if not rows.where(F.col(name).isNull()).isEmpty() or positions.count() != values.count():
+        raise ValueError(f"{what} don't match the trajectory")
+    return rows
+
+
+def colored_blocks(positions: DataFrame, labels: DataFrame, box=None, comment: str | None = None) -> DataFrame:
     """Frames with `name x y z label + 2`. The lattice stands unquoted; zeros without a box. comment: 'frame' for `Frame i` instead. ValueError unless every position has its label."""
-    rows = positions.join(labels.select("frame", "particle_id", "label"), ["frame", "particle_id"], "left")
-    if not rows.where("label is null").isEmpty() or positions.count() != labels.count():
-        raise ValueError("labels don't match the trajectory")
+    rows = _with_lattice(_matched(positions, labels, "label", "label", "labels"), box)
     line = F.format_string("%s %.5f %.5f %.5f %s", "name", "x", "y", "z", (F.col("label") + 2).cast("string"))
-    head = F.concat(F.lit("Frame "), F.col("frame").cast("string")) if comment == "frame" else F.lit(f"Lattice={_lattice(box) or '0.0 0.0 0.0 0.0 0.0 0.0'} Properties=species:S:1:pos:R:3:type:I:1")
+    lattice = F.concat(F.lit("Lattice="), F.coalesce("lattice", F.lit("0.0 0.0 0.0 0.0 0.0 0.0")), F.lit(" Properties=species:S:1:pos:R:3:type:I:1"))
+    head = F.concat(F.lit("Frame "), F.col("frame").cast("string")) if comment == "frame" else lattice
     return frames_text(rows.withColumn("line", line), head)
 
 
-def insight_blocks(positions: DataFrame, insights: Sequence[DataFrame], box: Sequence[float] | None = None) -> DataFrame:
-    """Frames with `name x y z` and a column for each of the insights (particle_id, frame, value); the lattice stands in quotes."""
-    rows, names = positions, []
-    for k, ins in enumerate(insights):
-        names.append(f"i{k}")
-        rows = rows.join(ins.select("frame", "particle_id", F.col("value").alias(f"i{k}")), ["frame", "particle_id"])
+def insight_blocks(positions: DataFrame, insights: Sequence[DataFrame], box=None) -> DataFrame:
+    """Frames with `name x y z` and a column for each of the insights (particle_id, frame, value); the lattice stands in quotes. ValueError unless every position has a value of each."""
+    rows, names = positions, [f"i{k}" for k in range(len(insights))]
+    for name, values in zip(names, insights, strict=True):
+        rows = _matched(rows, values, "value", name, "insights")
     line = F.format_string("%s" + " %.5f" * (3 + len(names)), "name", "x", "y", "z", *names)
-    head = F.concat(F.lit(f'Lattice="{_lattice(box) or "0 0 0 0 0 0"}" Frame='), F.col("frame").cast("string"))
-    return frames_text(rows.withColumn("line", line), head)
+    head = F.concat(F.lit('Lattice="'), F.coalesce("lattice", F.lit("0 0 0 0 0 0")), F.lit('" Frame='), F.col("frame").cast("string"))
+    return frames_text(_with_lattice(rows, box).withColumn("line", line), head)
 
 
 def track_blocks(tracks: DataFrame) -> DataFrame:
@@ -151,13 +164,6 @@ def array_blocks(spark: SparkSession, coords, comment: str = "", name: str = "C"
     return frames_text(df.withColumn("line", F.format_string("%s %.5f %.5f %.5f", F.lit(name), "x", "y", "z")), F.lit(comment))
 
 
-def re_index(positions: DataFrame) -> DataFrame:
-    """Frames numbered anew from 0, by a join with the short table of frames."""
-    frames = positions.select("frame").distinct()
-    order = frames.select("frame", (F.row_number().over(Window.orderBy("frame")) - 1).cast("int").alias("new"))
-    return positions.join(order, "frame").drop("frame").withColumnRenamed("new", "frame")
-
-
 def frame_slice(positions: DataFrame, start: int = 0, stop: int | None = None, step: int = 1, renumber: bool = True) -> DataFrame:
     """Frames start, start + step, ... before stop, as a filter that reaches the scan."""
     if step < 1:

@@ -17,6 +17,10 @@ from .provenance import LOG
 from .sources import gro, tables, xyz
 
 
+#: Older spellings of datasets' names.
+NAMES = {"velocity_alignement": "velocity_alignment"}
+
+
 @dataclass(frozen=True)
 class Insight:
     """A dataset (particle_id, frame, value) or (particle_id, frame, vec) and what it is."""
@@ -34,7 +38,8 @@ class Insight:
     @classmethod
     def load_from_json(cls, spark: SparkSession, path: str) -> Insight:
         fields, found = tables.load(spark, path, "dataset")
-        return cls(found["dataset"], fields.get("meta", {}))
+        meta = fields.get("meta", {})
+        return cls(found["dataset"], meta | {"name": NAMES.get(meta["name"], meta["name"])} if "name" in meta else meta)
 
     def spatial_average(self, trj: Trajectory, r_cut: float, selection="all") -> Insight:
         out = descriptors.spatial_average(self.dataset, trj.positions, r_cut, selection, **trj.options())
@@ -223,25 +228,25 @@ class Trajectory:
 
     def get_velocity_alignment(self, r_cut: float, edges: DataFrame | None = None, respect_pbc: bool = True, reference: str = "first") -> tuple[DataFrame, Insight]:
         edges = self.neighbors(r_cut, "all", "all", respect_pbc) if edges is None else edges
-        return edges, Insight(descriptors.velocity_alignment(self.positions, edges, reference), {"name": "velocity_alignement", "r_cut": r_cut})
+        return edges, Insight(descriptors.velocity_alignment(self.positions, edges, reference), {"name": "velocity_alignment", "r_cut": r_cut})
 
     def get_rdf(self, distances_range: tuple[float, float], s1="all", s2="all", exclusion_block=None, nbins: int = 200, norm: str = "rdf") -> DataFrame:
         return series.rdf(self.positions, distances_range, self.box, s1, s2, exclusion_block, nbins, norm)
 
     def dump_colored_trj(self, labels: DataFrame, path: str) -> None:
-        xyz.write_text(xyz.colored_blocks(self.positions, labels, self.box if not isinstance(self.box, DataFrame) else None), path)
+        xyz.write_text(xyz.colored_blocks(self.positions, labels, self.box), path)
 
     def dump_xyz_with_insight(self, insights: Sequence[Insight], path: str) -> None:
-        xyz.write_text(xyz.insight_blocks(self.positions, [i.dataset for i in insights], self.box if not isinstance(self.box, DataFrame) else None), path)
+        xyz.write_text(xyz.insight_blocks(self.positions, [i.dataset for i in insights], self.box), path)
 
 
-def track_xyz(spark: SparkSession, input_xyz: str, output_xyz: str, search_range: float, memory: int = 1, adaptive_stop: float | None = 0.95, adaptive_step: float | None = 0.5) -> Trajectory:
+def track_xyz(spark: SparkSession, input_xyz: str, output_xyz: str, search_range: float, memory: int = 1, adaptive_stop: float | None = 0.95, adaptive_step: float | None = 0.5, largest_group: int | None = tracking.LARGEST_GROUP) -> Trajectory:
     """Links the detections of an XYZ file, writes the tracks, and reads them back."""
     import os
 
     if not os.path.exists(input_xyz):
         raise FileNotFoundError(input_xyz)
     rows = xyz.read_xyz(spark, input_xyz, "auto").drop("path")
-    out = tracking.track(rows, search_range, memory, adaptive_stop, adaptive_step).drop("row")
+    out = tracking.track(rows, search_range, memory, adaptive_stop, adaptive_step, largest_group=largest_group).drop("row")
     xyz.write_text(xyz.track_blocks(out), output_xyz)
     return Trajectory.from_xyz(spark, output_xyz, 1.0)

@@ -50,6 +50,91 @@ def test_entropies(spark):
     assert info.kozachenko_leonenko(df.limit(2), cols) == 0.0
 
 
+def test_seeded_constants(spark):
+    np.random.seed(1234)
+    flat, _ = frame(spark, np.random.rand(100, 100).reshape(-1, 1))
+    lo, hi = flat.agg(F.min("a"), F.max("a")).first()
+    assert info.histogram_entropy(flat, {"a": (lo, hi)}, 40).first()["h"] == pytest.approx(0.9993954419344714, abs=1e-12)
+    np.random.seed(1234)
+    two, cols = frame(spark, np.random.rand(1000, 2))
+    assert info.histogram_entropy(two, {"a": (0, 1), "b": (0, 1)}, 40).first()["h"] == pytest.approx(0.8837924363474094, abs=1e-12)
+    np.random.seed(1234)
+    x, _ = frame(spark, np.random.rand(10000).reshape(-1, 1))
+    assert info.spacing_entropy(x, "a", 1, "bit") == pytest.approx(0.9891067080934253, abs=1e-10)
+    np.random.seed(1234)
+    plane, _ = frame(spark, np.random.rand(10000, 2))
+    assert info.kozachenko_leonenko(plane, ["a", "b"], 1, 2.0, "euclid") == pytest.approx(0.013521446183128614, abs=1e-10)
+    np.random.seed(1234)
+    a, labels = np.random.rand(100, 100), np.random.randint(-1, 2, size=(100, 100))
+    both, _ = frame(spark, np.column_stack([a.ravel(), labels.ravel()]))
+    assert info.entropy_gain(both, ["a"], "b", 40).first()["relative"] == pytest.approx(0.0010065005804883983, abs=1e-12)
+    np.random.seed(1234)
+    a, labels = np.random.rand(1000, 2), np.random.randint(-1, 2, size=1000)
+    both, _ = frame(spark, np.column_stack([a, labels]))
+    assert info.entropy_gain(both, ["a", "b"], "c", 40).first()["relative"] == pytest.approx(0.13171418273750357, abs=1e-12)
+
+
+def test_gain_takes_any_names(spark):
+    df = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (2, 2, 1)], "c int, label int, `a b` int")
+    for label, columns in (("label", ["c"]), ("c", ["label", "a b"]), ("a b", ["c"])):
+        assert info.info_gain(df, columns, label).first()["h0"] >= 0 and info.entropy_gain(df, columns, label, 2).count() == 1
+
+
+@pytest.mark.parametrize("norm", ["euclid", "chebyshev"])
+def test_nearest_neighbours_with_copies_and_outliers(spark, norm):
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.normal(size=(150, 2)), np.repeat(rng.normal(size=(3, 2)), 9, 0), [[1e6, -1e6], [5e3, 0]]])
+    df, cols = frame(spark, a)
+    gap = np.abs(a[:, None] - a[None])
+    d = gap.max(2) if norm == "chebyshev" else np.sqrt((gap**2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for k in (1, 4):
+        want = np.sort(d, 1)[:, k - 1]
+        got = {r["id"]: r["d"] for r in info.knn_distance(df, cols, k, norm).collect()}
+        assert len(got) == len(a) and all(got[i] == pytest.approx(x, abs=1e-9) for i, x in enumerate(want))
+
+
+def test_gaussian_sample(spark):
+    one = [r["x"] for r in info.gaussian_sample(spark, 50, 3).orderBy("id").collect()]
+    assert one == np.random.default_rng(3).normal(size=50).tolist()
+    parts = info.gaussian_sample(spark, 50, 3, block=20).orderBy("id").collect()
+    assert [r["id"] for r in parts] == list(range(50)) and parts[0]["x"] == one[0] and len({r["x"] for r in parts}) == 50
+
+
+def test_correlations_of_unequal_series(spark):
+    """Lengths differ, frames are missing: every pair of frames a lag apart counts, and no other."""
+    rng = np.random.default_rng(1)
+    rows = [(p, f, float(rng.normal())) for p in range(7) for f in range(3 + 2 * p) if rng.random() > 0.2 or f == 0]
+    df = spark.createDataFrame(rows, "particle_id long, frame int, value double")
+    means = {p: np.mean([v for q, _, v in rows if q == p]) for p in range(7)}
+    d = {(p, f): v - means[p] for p, f, v in rows}
+    own = {r["lag"]: (r["value"], r["error"]) for r in ts.self_time_correlation(df).collect()}
+    cross = {r["lag"]: (r["value"], r["error"]) for r in ts.cross_time_correlation(df).collect()}
+    assert {r["lag"]: r["value"] for r in ts.cross_time_correlation(df, errors=False).collect()} == pytest.approx({k: v for k, (v, _) in cross.items()}, nan_ok=True)
+    zero = None
+    for lag in range(max(f for _, f, _ in rows) + 1):
+        each = [np.mean(x) for p in range(7) if (x := [v * d[p, f + lag] for (q, f), v in d.items() if q == p and (p, f + lag) in d])]
+        zero = np.mean(each) if zero is None else zero
+        assert (lag in own) == bool(each)
+        if each:
+            assert own[lag] == pytest.approx((np.mean(each) / zero, np.std(each) / math.sqrt(len(each)) / zero), abs=1e-9)
+        s = [(sum(x), len(x)) for p in range(7) for q in range(7) if p != q for x in [[v * d[q, f + lag] for (r, f), v in d.items() if r == p and (q, f + lag) in d]]]
+        n = sum(k for _, k in s)
+        if n:
+            value = sum(x for x, _ in s) / n
+            assert cross[lag] == pytest.approx((value, math.sqrt(sum((x - value * k) ** 2 for x, k in s)) / n), abs=1e-9)
+        else:
+            assert math.isnan(cross[lag][0])
+
+
+def test_missing_frames_pair_no_others(spark):
+    from kinetrace.operators import vectors as vs
+
+    df = spark.createDataFrame([(0, f, [float(f), 1.0]) for f in (0, 1, 3, 4, 7)], "particle_id long, frame int, vec array<double>")
+    assert sorted(r["frame"] for r in vs.timesoap(df).collect()) == [0, 3] and sorted(r["frame"] for r in vs.timesoap(df, 3).collect()) == [0, 1, 4]
+    assert ts.lagged_covariances(df, 1)[2] == 2
+
+
 def test_spacing_entropy_matches_one_task(spark):
     x = np.round(np.random.default_rng(3).normal(size=500), 2)
     for k in (1, 3):
@@ -63,6 +148,7 @@ def test_extrema():
     x = np.linspace(-5, 5, 400)
     y = (x + 3) * (x - 2) ** 2 * (x + 1) ** 3
     found = ts.extrema_of(x, y, "min", 0.1)
+    assert ((found[:, 0] + 3) * (found[:, 0] - 2) ** 2 * (found[:, 0] + 1) ** 3) == pytest.approx(found[:, 1])
     assert found[:, 0] == pytest.approx([-2.5, 2.0], abs=0.6)
     assert len(ts.extrema_of(x, np.zeros(400), "max")) == 0
     assert ts.extrema_of(np.arange(5), np.array([0, 1, 1, 1, 0]), "max")[0, 0] == 2

@@ -292,3 +292,99 @@ def test_detections(spark, tmp_path):
     assert detections.predict(images, lambda data: [(len(data), 0.9, 0.0, 0.0, 1.0, 1.0)]).first()["cls"] == 2
     with pytest.raises(ValueError):
         detections.check_hyperparameters({"nonsense": 1})
+    assert detections.check_hyperparameters({"bgr": 0.5, "cutmix": 0.1})["lr0"] == 0.01
+
+
+def test_vision(spark, tmp_path):
+    def trainer(dataset, given, epochs, batch, patience, size):
+        return (lambda data: [(1, 0.9, 0.0, 0.0, 2.0, 2.0)]), -abs(given["lr0"] - 0.02)
+
+    images = spark.createDataFrame([(f"x/{k}.png", bytearray([k] * 4)) for k in range(10)], "path string, content binary")
+    eye = detections.Vision(images, lambda data: [(0, 0.8, 0.0, 0.0, 10.0, 10.0)] if data[0] % 2 else [], trainer)
+    for early in (lambda: eye.create_dataset("p", 1, 1, {}), eye.train, eye.tune_hyperparams, lambda: eye.export_prediction_to_xyz("p")):
+        with pytest.raises(ValueError):
+            early()
+    seen = eye.predict()
+    assert seen.found.count() == 5
+    path = f"file://{tmp_path}/set"
+    ready = seen.create_dataset(path, 100.0, 100.0, {0: "ball"})
+    detections.export_dataset(spark, path, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out/images/train").iterdir()) == [f"{k}.png" for k in range(8)] and (tmp_path / "out/images/val/9.png").read_bytes() == bytes([9] * 4)
+    assert (tmp_path / "out/labels/train/1.txt").read_text() == "0 0.050000 0.050000 0.100000 0.100000\n" and (tmp_path / "out/labels/train/0.txt").read_text() == ""
+    assert (tmp_path / "out/dataset.yaml").read_text().splitlines()[1:] == ["train: images/train", "val: images/val", "nc: 1", "names:", "- ball"]
+    with pytest.raises(ValueError):
+        ready.train({"nonsense": 1})
+    assert ready.train({"lr0": 0.02}).predict().found.select("cls").distinct().first()[0] == 1
+    best = ready.tune_hyperparams(40)
+    assert abs(best["lr0"] - 0.02) < 0.005 and set(best) == set(detections.HYPERPARAMETERS)
+    with pytest.raises(FileNotFoundError):
+        eye.set_training_dataset(f"file://{tmp_path}/none")
+    seen.export_prediction_to_xyz(str(tmp_path / "d.xyz"))
+    assert (tmp_path / "d.xyz").read_text().splitlines()[:3] == ["1", "class x y z", "0 5.000000 5.000000 0.0"]
+
+
+def test_dumps_carry_the_box(spark, tmp_path):
+    from kinetrace.trajectory import Insight, Trajectory
+
+    rows = [(f, p, "C", "C", 1.0 * p, 2.0, 3.0) for f in range(2) for p in range(2)]
+    df = spark.createDataFrame(rows, "frame int, particle_id long, name string, type string, x double, y double, z double")
+    values = Insight(spark.createDataFrame([(p, f, f + 0.5) for f in range(2) for p in range(2)], "particle_id long, frame int, value double"))
+    labels = spark.createDataFrame([(p, f, p - 1) for f in range(2) for p in range(2)], "particle_id long, frame int, label int")
+    table = spark.createDataFrame([(0, 10.0, 11.0, 12.0), (1, 20.0, 21.0, 22.0)], "frame int, lx double, ly double, lz double")
+    six = "10.00000 11.00000 12.00000 90.00000 90.00000 90.00000"
+    for box in ((10.0, 11.0, 12.0), (10.0, 11.0, 12.0, 90.0, 90.0, 90.0), table):
+        trj = Trajectory(df, box)
+        trj.dump_colored_trj(labels, str(tmp_path / "c"))
+        trj.dump_xyz_with_insight([values, values], str(tmp_path / "i"))
+        colored, plain = ((tmp_path / x).read_text().splitlines() for x in "ci")
+        assert colored[:3] == ["2", f"Lattice={six} Properties=species:S:1:pos:R:3:type:I:1", "C 0.00000 2.00000 3.00000 1"]
+        assert plain[:3] == ["2", f'Lattice="{six}" Frame=0', "C 0.00000 2.00000 3.00000 0.50000 0.50000"] and plain[5].endswith("Frame=1")
+        assert (box is not table) or plain[5].startswith('Lattice="20.00000 21.00000')
+    trj = Trajectory(df)
+    trj.dump_xyz_with_insight([values], str(tmp_path / "i"))
+    assert (tmp_path / "i").read_text().splitlines()[1] == 'Lattice="0 0 0 0 0 0" Frame=0'
+    short = Insight(values.dataset.where("frame = 0"))
+    for bad in ([short], [values, short]):
+        with pytest.raises(ValueError):
+            trj.dump_xyz_with_insight(bad, str(tmp_path / "x"))
+    with pytest.raises(ValueError):
+        trj.dump_colored_trj(labels.where("frame = 0"), str(tmp_path / "x"))
+
+
+def test_large_groups_may_be_linked(spark):
+    from kinetrace.operators import tracking
+
+    rng = np.random.default_rng(0)
+    old = rng.uniform(0, 1, (45, 3))
+    order = rng.permutation(45)
+    new = old[order] + 1e-3
+    with pytest.raises(ValueError):
+        tracking.link_step(old, new, 2.0, None, None)
+    linked = tracking.link_step(old, new, 2.0, None, None, largest=None)
+    assert [linked[j] for j in range(45)] == order.tolist()
+
+
+def test_harmonics_add_up():
+    from kinetrace.operators import soap
+
+    u = np.random.default_rng(0).normal(size=(9, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for l, y in enumerate(soap.harmonics(u, 8)):
+        c = np.zeros(l + 1)
+        c[l] = (2 * l + 1) / (4 * np.pi)
+        assert y.T @ y == pytest.approx(np.polynomial.legendre.legval(u @ u.T, c), abs=1e-12)
+
+
+def test_onion_of_vectors_follows_the_covariance(spark):
+    """Two tilted, touching clouds that boxes along the axes can't part."""
+    from kinetrace.operators import onion
+
+    rng = np.random.default_rng(1)
+    tilt = np.array([[1.0, 0.95], [0.95, 1.0]])
+    a = np.stack([rng.multivariate_normal(((0, 0), (2, -2))[p % 2], tilt, 60) for p in range(30)])
+    states, labels = onion.onion(from_array(spark, a), 1, 20, 3.0, smooth=True)
+    got = labels.where("label >= 0").toPandas()
+    assert len(got) > 0.95 * 1800 and np.sign(states[0].sigma[0][1]) == 1 and states[0].sigma[0][1] / states[0].sigma[0][0] > 0.7
+    pure = got.groupby("label")["particle_id"].agg(lambda x: max((x % 2).mean(), 1 - (x % 2).mean()))
+    assert (pure > 0.98).all() and sum(s.perc for s in states) > 0.95
+    assert len(onion.onion(from_array(spark, a), 1, 20, 3.0, smooth=True, max_states=1)[0]) == 1
