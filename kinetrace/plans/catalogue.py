@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import kernel, soap_distance
+from ..functions.arrays import kernel, kernel_distance, soap_distance, unit_distance
 from ..functions.select import selection
 from ..operators import descriptors, detections, information, labels, onion, series, soap, tracking, vectors
 from ..operators.neighbors import neighbor_edges
 from ..provenance import Log
-from ..session import shared_dir
+from ..session import remove_at_exit, shared_dir
 from ..sources import tables, xyz
+from ..trajectory import ClusterInsight, Insight, OnionInsight, OnionSmoothInsight, Trajectory
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,13 @@ def one(spark: SparkSession, **values: float) -> DataFrame:
     return spark.createDataFrame([tuple(float(x) for x in values.values())], ", ".join(f"{k} double" for k in values)).select(*[r6(k).alias(k) for k in values])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A shared folder that goes when the application ends."""
+    path = shared_dir(spark)
+    remove_at_exit(spark, path)
+    return path
+
+
 # scans, slices and selections
 
 
@@ -59,21 +67,19 @@ def atom_selection(spark, d):
 
 @query(f"WITH {v.P} SELECT frame, particle_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM p WHERE type = 'B'")
 def coordinates(spark, d):
-    from ..trajectory import Trajectory
-
     return rounded(Trajectory(v.positions(spark, d), v.BOX).get_coordinates("type B"), "x", "y", "z")
 
 
 @query(f"WITH {v.P} SELECT (frame - 3)::INT AS frame, particle_id, round(x, 6) + 0.0 AS x FROM p WHERE frame >= 3 AND frame < 7")
 def stored_trajectory(spark, d):
-    path = shared_dir(spark)
+    path = scratch(spark)
     tables.write_trajectory(v.positions(spark, d), path, chunk=4)
     return rounded(tables.read_trajectory(spark, path, 3, 7).select("frame", "particle_id", "x"), "x")
 
 
 @query(f"WITH {v.P} SELECT frame, particle_id, name, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z, (particle_id % 3 + 2)::BIGINT AS label FROM p")
 def xyz_roundtrip(spark, d):
-    path = shared_dir(spark)
+    path = scratch(spark)
     p = v.positions(spark, d)
     xyz.save_text(xyz.colored_blocks(p, p.select("frame", "particle_id", (F.col("particle_id") % 3).alias("label")), (10.0, 10.0, 10.0, 90.0, 90.0, 90.0)), path, 1)
     rows = xyz.read_xyz(spark, path, ["name", "x", "y", "z", "ID"])
@@ -120,10 +126,14 @@ def orientational_op(spark, d):
     return rounded(descriptors.orientational_order(v.positions(spark, d), _edges(spark, d)), "value")
 
 
+def _alignment_cosine() -> str:
+    return "(" + " + ".join(f"a.v{c} * b.v{c}" for c in "xyz") + ") / (sqrt(" + " + ".join(f"a.v{c} * a.v{c}" for c in "xyz") + ") * sqrt(" + " + ".join(f"b.v{c} * b.v{c}" for c in "xyz") + "))"
+
+
 def _alignment_sql(reference: str) -> str:
     base = "first(%s) OVER w" if reference == "first" else "lag(%s) OVER w"
     cols = ", ".join(f"{c} - {base % c} AS v{c}" for c in "xyz")
-    cos = "(" + " + ".join(f"a.v{c} * b.v{c}" for c in "xyz") + ") / (sqrt(" + " + ".join(f"a.v{c} * a.v{c}" for c in "xyz") + ") * sqrt(" + " + ".join(f"b.v{c} * b.v{c}" for c in "xyz") + "))"
+    cos = _alignment_cosine()
     return f"""WITH {v.P}, {v.edges(R_CUT)}, m AS (SELECT particle_id, lag(frame) OVER w AS frame, {cols} FROM p WINDOW w AS (PARTITION BY particle_id ORDER BY frame)), u AS (SELECT * FROM m WHERE frame IS NOT NULL),
 g AS (SELECT e.frame, i, avg({cos}) AS c FROM e JOIN u a ON a.frame = e.frame AND a.particle_id = i JOIN u b ON b.frame = e.frame AND b.particle_id = j GROUP BY e.frame, i)
 SELECT u.particle_id, u.frame, round(coalesce(c, 0), 6) + 0.0 AS value FROM u LEFT JOIN g ON u.frame = g.frame AND u.particle_id = i"""
@@ -426,6 +436,189 @@ def onion_full(spark, d):
     return found
 
 
+# datasets, sidecars and dumps
+
+
+@query(f"WITH {v.P} SELECT particle_id, frame, round(x, 6) + 0.0 AS value, 'x_of' AS name FROM p")
+def insight_sidecar(spark, d):
+    path = f"{scratch(spark)}/set.json"
+    Insight(v.positions(spark, d).select("particle_id", "frame", F.col("x").alias("value")), {"name": "x_of"}).dump_to_json(path)
+    back = Insight.load_from_json(spark, path)
+    return rounded(back.dataset, "value").withColumn("name", F.lit(back.meta["name"]))
+
+
+@query(f"WITH {v.V}, {_L} SELECT particle_id, frame, label FROM l")
+def cluster_sidecar(spark, d):
+    path = f"{scratch(spark)}/set.json"
+    ClusterInsight(v.labels(spark, d)).dump_to_json(path)
+    return ClusterInsight.load_from_json(spark, path).labels
+
+
+@query(f"WITH {v.S} SELECT particle_id, (frame // 4)::INT AS \"window\", CASE WHEN bool_and(value >= 1 AND value <= 25) THEN 0 ELSE -1 END AS label, round(sum(value), 6) + 0.0 AS total, 7.5::DOUBLE AS mean FROM s GROUP BY ALL HAVING count(*) = 4")
+def onion_sidecar(spark, d):
+    rows = onion.windows(v.series(spark, d), 4)
+    marks = rows.groupBy("particle_id", "window").agg(F.when(F.bool_and(_inside()), 0).otherwise(-1).alias("label"))
+    path = f"{scratch(spark)}/set.json"
+    OnionInsight(marks, {"delta_t": 4}, [{"mean": 7.5}], rows).dump_to_json(path)
+    back = OnionInsight.load_from_json(spark, path)
+    sums = back.reshaped_data.groupBy("particle_id", "window").agg(r6(F.sum("value")).alias("total"))
+    return back.labels.join(sums, ["particle_id", "window"]).withColumn("mean", F.lit(back.state_list[0]["mean"]))
+
+
+@query(f"WITH {v.S}, r AS ({_RUNS.format(3)}) SELECT s.particle_id, s.frame, CASE WHEN r.frame IS NULL THEN -1 ELSE 0 END AS label, 1 AS n_states FROM s LEFT JOIN r ON s.particle_id = r.particle_id AND s.frame = r.frame")
+def onion_smooth_sidecar(spark, d):
+    rows = v.series(spark, d)
+    hit = onion.assign_runs(rows, _inside(), 3).withColumn("label", F.lit(0))
+    path = f"{scratch(spark)}/set.json"
+    OnionSmoothInsight(rows.join(hit, ["particle_id", "frame"], "left").select("particle_id", "frame", F.coalesce("label", F.lit(-1)).alias("label")), {}, [{"mean": 1.0}]).dump_to_json(path)
+    back = OnionSmoothInsight.load_from_json(spark, path)
+    return back.labels.withColumn("n_states", F.lit(len(back.state_list)))
+
+
+@query(f"WITH {v.V}, {_REFS} SELECT ref_name, 8 AS n_max, round(list_sum(s), 6) + 0.0 AS total FROM r")
+def references_stored(spark, d):
+    path = scratch(spark)
+    vectors.save_references(_references(spark, d), path)
+    return vectors.load_references(spark, path).select("ref_name", "n_max", r6(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"WITH {v.P} SELECT particle_id, frame, round(x * 2, 6) + 0.0 AS value FROM p")
+def stored_or_computed(spark, d):
+    path = f"{scratch(spark)}/set.json"
+    make = lambda: v.positions(spark, d).select("particle_id", "frame", (F.col("x") * 2).alias("value"))
+    tables.load_or_compute(spark, path, make, factor=2)
+    return rounded(tables.load_or_compute(spark, path, lambda: None, factor=2), "value")
+
+
+_SIX = "10.00000 10.00000 10.00000 90.00000 90.00000 90.00000"
+
+
+def _blocks(blocks: DataFrame) -> DataFrame:
+    """(frame, n, header, first) of a dump's blocks."""
+    lines = F.split("value", "\n")
+    return blocks.select("frame", lines[0].cast("int").alias("n"), lines[1].alias("header"), lines[2].alias("first"))
+
+
+@query(f"WITH {v.P} SELECT frame, count(*)::INT AS n, 'Lattice={_SIX} Properties=species:S:1:pos:R:3:type:I:1' AS header, min_by(printf('%s %.5f %.5f %.5f %d', name, x, y, z, particle_id % 3 + 2), particle_id) AS first FROM p GROUP BY frame")
+def colored_dump(spark, d):
+    p = v.positions(spark, d)
+    return _blocks(xyz.colored_blocks(p, p.select("frame", "particle_id", (F.col("particle_id") % 3).alias("label")), v.BOX))
+
+
+@query(f"""WITH {v.P} SELECT frame, count(*)::INT AS n, 'Lattice="' || printf('%.5f %.5f %.5f', 10.0 + frame, 10.0, 10.0) || ' 90.00000 90.00000 90.00000" Frame=' || frame AS header, min_by(printf('%s %.5f %.5f %.5f %.5f %.5f', name, x, y, z, x, y), particle_id) AS first FROM p GROUP BY frame""")
+def insight_dump(spark, d):
+    p = v.positions(spark, d)
+    box = p.select("frame").distinct().select("frame", (F.lit(10.0) + F.col("frame")).alias("lx"), F.lit(10.0).alias("ly"), F.lit(10.0).alias("lz"))
+    return _blocks(xyz.insight_blocks(p, [p.select("frame", "particle_id", F.col(c).alias("value")) for c in "xy"], box))
+
+
+@query(f"WITH {v.P} SELECT frame, particle_id, name, 'C' AS type, round(floor(x * 100 + 0.5::DOUBLE) / 100, 6) + 0.0 AS x, round(floor(y * 100 + 0.5::DOUBLE) / 100, 6) + 0.0 AS y, round(floor(z * 100 + 0.5::DOUBLE) / 100, 6) + 0.0 AS z, 20.0::DOUBLE AS lx FROM p")
+def gro_positions(spark, d):
+    p = v.positions(spark, d)
+    nm = [F.floor(F.col(c) * 100 + 0.5) / 1000 for c in "xyz"]
+    line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.lit(1), F.lit("MOL"), "name", F.col("particle_id") + 1, *nm)
+    blocks = xyz.frames_text(p.withColumn("line", line), F.lit("unused"))
+    text = blocks.select("frame", F.concat(F.lit("a frame\n"), F.regexp_replace("value", "\nunused", ""), F.lit("\n   2.00000   2.00000   2.00000")).alias("value"))
+    path = scratch(spark)
+    xyz.save_text(text, path, 1)
+    trj = Trajectory.from_gro(spark, path)
+    return trj.positions.join(trj.box.select("frame", r6("lx").alias("lx")), "frame").select("frame", "particle_id", "name", "type", *[r6(c).alias(c) for c in "xyz"], "lx")
+
+
+@query(f"WITH {v.P} SELECT ((frame - 1) // 3)::INT AS frame, particle_id, round(y, 6) + 0.0 AS y FROM p WHERE frame >= 1 AND frame < 8 AND (frame - 1) % 3 = 0")
+def slice_kept(spark, d):
+    return rounded(Trajectory(v.positions(spark, d), v.BOX).with_slice(0, 4).get_slice(1, 8, 3).positions.select("frame", "particle_id", "y"), "y")
+
+
+@query(f"WITH {v.P}, q AS (SELECT frame, particle_id, x, y, z FROM p WHERE type = 'A') SELECT frame, particle_id::VARCHAR AS particle_id, round(x, 6) + 0.0 AS x FROM q")
+def track_dump(spark, d):
+    path = scratch(spark)
+    xyz.save_text(xyz.track_blocks(v.positions(spark, d).where("type = 'A'")), path, 1)
+    return xyz.read_xyz(spark, path, ["name", "x", "y", "z", "ID"]).select("frame", F.col("ID").cast("string").alias("particle_id"), r6("x").alias("x"))
+
+
+# more of vectors, neighbours and information
+
+
+@query(f"WITH {v.V}, l AS (SELECT *, lead(vec, 2) OVER (PARTITION BY particle_id ORDER BY frame) AS w FROM v) SELECT particle_id, frame, round({_DIST.format('vec', 'w')}, 6) + 0.0 AS value FROM l WHERE w IS NOT NULL")
+def angular_velocity(spark, d):
+    return rounded(Insight(v.vectors(spark, d).drop("label"), {"name": "velocity"}).get_angular_velocity(2).dataset, "value")
+
+
+@query(f"WITH {v.V} SELECT a.particle_id, a.frame, round(sqrt(greatest(0, 2 - 2 * pow({_COS.format('a.vec', 'b.vec')}, 3))), 6) + 0.0 AS kernel3, round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec))), 6) + 0.0 AS unit FROM v a JOIN v b ON a.particle_id = b.particle_id AND b.frame = 0")
+def vector_distances(spark, d):
+    rows = v.vectors(spark, d)
+    first = rows.where("frame = 0").select("particle_id", F.col("vec").alias("w"))
+    met = rows.join(first, "particle_id")
+    return met.select("particle_id", "frame", r6(kernel_distance(F.col("vec"), F.col("w"), 3)).alias("kernel3"), r6(unit_distance(F.col("vec"), F.col("w"))).alias("unit"))
+
+
+_ALIGN = _alignment_sql("previous").replace(_alignment_cosine(), "(a.vx * b.vx + a.vy * b.vy + a.vz * b.vz)")
+
+
+@query(_ALIGN)
+def alignment_by_metric(spark, d):
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    return rounded(descriptors.mean_alignment(_edges(spark, d), descriptors.displacements(v.positions(spark, d), "previous"), dot), "value")
+
+
+@query(f"""WITH {v.P}, {v.edges(5.0, inclusive=True, own=True)}, ra AS (SELECT particle_id, (dense_rank() OVER (ORDER BY particle_id) - 1) // 5 AS b FROM (SELECT DISTINCT particle_id FROM p WHERE type = 'A')), rb AS (SELECT particle_id, (dense_rank() OVER (ORDER BY particle_id) - 1) // 10 AS b FROM (SELECT DISTINCT particle_id FROM p)),
+h AS (SELECT least(floor(sqrt(d2) / 0.25::DOUBLE), 19) AS bin, count(*) AS c FROM e JOIN ra ON i = ra.particle_id JOIN rb ON j = rb.particle_id WHERE ra.b <> rb.b GROUP BY 1), m AS (SELECT (SELECT count(DISTINCT frame) FROM p) AS f, (SELECT count(*) FROM ra) AS n1, (SELECT count(*) FROM rb) AS n2),
+b AS (SELECT range AS bin, coalesce(c, 0) AS n FROM range(20) LEFT JOIN h ON h.bin = range)
+SELECT bin::INT AS bin, round((bin + 0.5) * 0.25::DOUBLE, 6) AS r, round(n / ((4.0::DOUBLE / 3.0 * pi() * (pow((bin + 1) * 0.25::DOUBLE, 3) - pow(bin * 0.25::DOUBLE, 3))) * f * (n1 * n2 - 50 * (n1 // 5)) / 1000.0::DOUBLE), 6) + 0.0 AS value FROM b, m""")
+def rdf_blocks(spark, d):
+    return rounded(series.rdf(v.positions(spark, d), (0.0, 5.0), v.BOX, "type A", "all", (5, 10), 20), "r", "value")
+
+
+def _entropy_by_neighbours(group: str) -> str:
+    """Entropy of the points of each group: four neighbours, the largest of the coordinates' differences."""
+    same = "true" if group == "0" else "a.label = b.label"
+    return f"""(SELECT g, first(n) AS n, ({{psi}} + 0.57721566490153286060651209::DOUBLE - (1 + 1 / 2::DOUBLE + 1 / 3::DOUBLE) + 2 * ln(2) + 2 * avg(ln(greatest(d, 1e-10::DOUBLE)))) / ln(2) AS h FROM (
+SELECT {group.replace('label', 'a.label')} AS g, count(*) OVER (PARTITION BY a.id) + 1 AS n, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS rn FROM q a JOIN q b ON a.id <> b.id AND {same}) WHERE rn = 4 GROUP BY g)""".format(psi="(-0.57721566490153286060651209::DOUBLE + list_sum(list_transform(range(1, first(n)::BIGINT), lambda i: 1.0::DOUBLE / i)))")
+
+
+@query(f"""WITH {v.V}, q AS (SELECT frame * 50 + particle_id AS id, vec[1] * 10 AS x, vec[2] * 10 AS y, label % 3 AS label FROM v), a AS {_entropy_by_neighbours('0')}, b AS {_entropy_by_neighbours('label')}, c AS (SELECT sum(n * h) / sum(n) AS hc FROM b)
+SELECT round(a.h - hc, 6) + 0.0 AS gain, round((a.h - hc) / a.h, 6) + 0.0 AS relative, round(a.h, 6) + 0.0 AS h0, round(hc, 6) + 0.0 AS hc FROM a, c""")
+def info_gain_neighbours(spark, d):
+    rows = v.vectors(spark, d).select((F.col("frame") * 50 + F.col("particle_id")).alias("id"), (F.col("vec")[0] * 10).alias("x"), (F.col("vec")[1] * 10).alias("y"), (F.col("label") % 3).alias("label"))
+    return rounded(information.info_gain_kl(rows, ["x", "y"], "label"), "gain", "relative", "h0", "hc")
+
+
+@query(f"""WITH {v.S}, q AS (SELECT particle_id, frame, -(value + frame * 0.0001::DOUBLE) AS y FROM s), l AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM q WINDOW w AS (PARTITION BY particle_id ORDER BY frame)), k AS (SELECT * FROM l WHERE y > a AND y > b),
+h AS (SELECT k.particle_id, k.frame, k.y, max(q.frame) FILTER (WHERE q.frame < k.frame AND q.y > k.y) AS lo, min(q.frame) FILTER (WHERE q.frame > k.frame AND q.y > k.y) AS hi FROM k JOIN q ON q.particle_id = k.particle_id GROUP BY ALL),
+m AS (SELECT h.particle_id, h.frame, h.y, min(q.y) FILTER (WHERE q.frame < h.frame) AS lm, min(q.y) FILTER (WHERE q.frame > h.frame) AS rm FROM h JOIN q ON q.particle_id = h.particle_id AND q.frame >= coalesce(lo, -1) AND q.frame <= coalesce(hi, 1000000000) GROUP BY ALL)
+SELECT particle_id AS series, frame::DOUBLE AS x, round(-y, 6) AS y FROM m WHERE y - greatest(lm, rm) >= 20""")
+def find_minima(spark, d):
+    curve = v.series(spark, d).select(F.col("particle_id").alias("series"), F.col("frame").alias("x"), (F.col("value") + F.col("frame") * 0.0001).alias("y"))
+    return rounded(series.find_extrema(curve, "min", 20.0), "y")
+
+
+@query(f"WITH {v.V}, l AS (SELECT label::INT AS label, frame % 3 AS delta_t FROM v) SELECT delta_t, label, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY delta_t))::DOUBLE, 6) AS fraction FROM l GROUP BY delta_t, label")
+def population_fractions(spark, d):
+    return rounded(labels.population_fractions(v.labels(spark, d).withColumn("delta_t", F.col("frame") % 3)), "fraction")
+
+
+# onion clustering, whole
+
+
+@query()
+def onion_windows_full(spark, d):
+    _, found = onion.onion(v.series(spark, d), 3)
+    return found
+
+
+@query()
+def onion_vectors(spark, d):
+    rows = v.vectors(spark, d).select("particle_id", "frame", F.slice("vec", 1, 2).alias("vec"))
+    return onion.onion(rows, 2, 10, 2.0, smooth=True)[1]
+
+
+@query()
+def onion_scan(spark, d):
+    summary, _ = Insight(v.series(spark, d)).get_onion_analysis(2, 8, 3)
+    return rounded(summary, "unclassified")
+
+
 # detections and tracks
 
 
@@ -449,7 +642,11 @@ def yolo_labels(spark, d):
     return detections.yolo_lines(v.detections(spark, d), 200.0, 100.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.Y}, {v.D}, k AS MATERIALIZED (SELECT image_path, det_id, cls, {{'c': cls, 'a': x1, 'b': y1, 'x': x2, 'y': y2}} AS o, row_number() OVER (PARTITION BY image_path ORDER BY conf DESC, det_id) AS rn FROM d WHERE conf >= 0.25),
+s AS (SELECT image_path, rn, [o] AS kept, true AS stays FROM k WHERE rn = 1
+UNION ALL SELECT image_path, rn, CASE WHEN free THEN list_append(kept, o) ELSE kept END, free FROM (SELECT k.image_path, k.rn, kept, o, len(list_filter(kept, lambda p: p.c = o.c AND greatest(0, least(p.x, o.x) - greatest(p.a, o.a)) * greatest(0, least(p.y, o.y) - greatest(p.b, o.b))
+> 0.5::DOUBLE * ((p.x - p.a) * (p.y - p.b) + (o.x - o.a) * (o.y - o.b) - greatest(0, least(p.x, o.x) - greatest(p.a, o.a)) * greatest(0, least(p.y, o.y) - greatest(p.b, o.b))))) = 0 AS free FROM s JOIN k ON k.image_path = s.image_path AND k.rn = s.rn + 1))
+SELECT k.image_path, det_id, cls FROM s JOIN k ON k.image_path = s.image_path AND k.rn = s.rn WHERE stays""")
 def det_suppress(spark, d):
     return detections.suppress(v.detections(spark, d).where("conf >= 0.25"), 0.5).select("image_path", "det_id", "cls")
 
@@ -459,7 +656,7 @@ def track_link(spark, d):
     return tracking.track(v.positions(spark, d).select("frame", "x", "y", "z"), 0.4, 1).select("frame", r6("x").alias("x"), "particle_id")
 
 
-@query()
+@query("""SELECT 'info' AS level, 'read {"table": "embeddings", "rows": ' || count(*) || '}' AS message FROM embeddings""")
 def run_log(spark, d):
     log = Log()
     log.log(f"read {json.dumps({'table': 'embeddings', 'rows': v.vectors(spark, d).count()})}")
