@@ -1,6 +1,7 @@
 """Trained operators: gradients, held-out accuracy, and odd inputs."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -166,19 +167,168 @@ def test_equals_sql(spark, name):
 
 
 @needs_tables
-def test_pipeline(spark):
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on what its predecessor left, against plain Python."""
     import corpus_pipeline as p
+    import hashlib
+
+    from kinetrace.llm import mixing, packing
+    from kinetrace.llm.encode import encoder, vocabulary
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, ids = docs.columns, {r[0] for r in docs.select("doc_id").collect()}
-    for _, stage in p.STAGES[:-1]:
-        docs = p.materialize(stage(spark, docs, d))
-        assert docs.columns == columns
-        left = {r[0] for r in docs.select("doc_id").collect()}
-        assert left <= ids and len(left) > 0.5 * len(ids)
-        ids = left
-    assert {r[0] for r in p.run(spark, d).select("doc_id").collect()} == ids
+    names = [n for n, _ in p.STAGES]
+    assert names == ["toxicity", "near_copies", "repeats", "mixture", "packing"]
+    stages = dict(p.STAGES)
+    rows = lambda df: {r["doc_id"]: r for r in df.collect()}
+    before = rows(docs)
+
+    model = toxicity.trained(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    ids = list(before)
+    scores = dict(zip(ids, naive_toxicity(model, [before[i]["text"] or "" for i in ids]), strict=True))
+    docs = p.materialize(stages["toxicity"](spark, docs, d))
+    after = rows(docs)
+    assert after == {i: r for i, r in before.items() if scores[i] < 0.5} and 0 < len(before) - len(after) < 0.3 * len(before)
+
+    before, low = after, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sets = {}
+    for i, r in before.items():
+        w = word.findall((r["text"] or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = p.materialize(stages["near_copies"](spark, docs, d))
+    after = rows(docs)
+    assert after == {i: r for i, r in before.items() if find(i) == i} and len(after) < len(before)
+
+    before, seen, want = after, set(), {}
+    for i in sorted(before):
+        text = before[i]["text"] or ""
+        w = word.findall(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(tuple(w[k : k + 20]))
+        if not any(gone):
+            want[i] = before[i]["text"]
+        elif not all(gone):
+            want[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    docs = p.materialize(stages["repeats"](spark, docs, d))
+    after = rows(docs)
+    assert {i: r["text"] for i, r in after.items()} == want and all(r["n_chars"] == len(r["text"]) for i, r in after.items() if r["text"] != before[i]["text"])
+
+    before = after
+    chance = {r["doc_id"]: r["probability"] for r in mixing.calibrated(docs).collect()}
+    docs = p.materialize(stages["mixture"](spark, docs, d))
+    after = rows(docs)
+    draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
+    assert after == {i: r for i, r in before.items() if draw(i) < chance[i]} and len(after) > 0.6 * len(before)
+
+    got = stages["packing"](spark, docs, d).collect()
+    bpe = encoder(vocabulary("byte_bpe_50k.json"), False).tokenizer
+    want = []
+    for i, r in after.items():
+        ids, at = [*bpe.encode(r["text"] or "", add_special_tokens=False).ids, 0], 0
+        for k, n in enumerate(packing.cut_lengths(len(ids))):
+            want.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
+            at += n
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    at, now = 0, None
+    for s, o, n in sorted((r["sequence_id"], r["offset"], r["length"]) for r in got):
+        at, now = (0 if s != now else at), s
+        assert o == at and o + n <= 2048
+        at += n
+    assert len({r["sequence_id"] for r in got}) <= 1.02 * sum(n for *_, n, _ in want) / 2048 + 1
+    columns = [x.name for x in spark.read.parquet(f"{d}/documents.parquet").schema]
+    assert docs.columns == columns
+    run = p.run(spark, d).collect()
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in run) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got)
+
+
+def naive_toxicity(model, texts):
+    """Score by plain loops: n-grams of each word, every run of words, the most toxic one."""
+    out = []
+    for text in texts:
+        value = []
+        for w in toxicity.words_of(text):
+            marked, grams = f"<{w}>", []
+            for n in toxicity.SIZES:
+                for k in range(len(marked) - n + 1):
+                    h = 0
+                    for c in marked[k : k + n]:
+                        h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                    grams.append(int(toxicity.mix64(np.array([h + n], np.uint64))[0]) % toxicity.BUCKETS)
+            value.append(sum(model.bucket_score[g] for g in grams) / max(1, len(grams)))
+        runs = [sum(value[k : k + toxicity.SEGMENT]) for k in range(max(1, len(value) - toxicity.SEGMENT + 1))]
+        out.append(1 / (1 + np.exp(-np.clip(model.bias + max(runs) / toxicity.SEGMENT, -30, 30))))
+    return out
+
+
+def test_scores_equal_plain_loops():
+    rng = np.random.default_rng(0)
+    model = toxicity.Toxicity(rng.normal(size=toxicity.BUCKETS), -0.3)
+    texts = ["", "one", "!!", "été B2 x", " ".join("".join(rng.choice(list("abcdé"), 4)) for _ in range(90)), "aa " * 200]
+    assert model.score(texts) == pytest.approx(naive_toxicity(model, texts), rel=1e-9)
+
+    weight = rng.normal(size=1 << nbsvm.BITS)
+    quality = nbsvm.Quality(weight, 0.2, 1.5, -0.1)
+    size = 1 << nbsvm.BITS
+    for text in (b"", b"a", b"The cat sat. the CAT sat.\nThe cat\nthe cat\nThe cat", "été d'été".encode() * 30):
+        found = set()
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+        for k in range(len(low) - 2):
+            found.add(((low[k] << 16 | low[k + 1] << 8 | low[k + 2]) * 0x9E3779B1 >> 7) % size)
+        hashes, *_ = nbsvm.word_hashes(text, lower=True)
+        assert len(hashes) == len(text.split())
+        found |= {int(h) % size for h in hashes} | {int(h) % size for h in nbsvm.gram_hashes(hashes, 2)}
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        fives = [tuple(hashes[k : k + 5].tolist()) for k in range(len(hashes) - 4)]
+        share = lambda part, whole: 0 if not part else 10 - min(9, int(np.log2(whole / part)))
+        for k, r in enumerate((share(len(lines) - len(set(lines)), len(lines)), share(int((hashes[1:] == hashes[:-1]).sum()), len(hashes)), share(len(fives) - len(set(fives)), len(fives)), min(len(hashes), 40) // 4)):
+            found.add((0x51ED270B * (16 * k + r + 1) >> 3) % size)
+        margin = sum(weight[f] for f in found) + 0.2
+        assert quality.score([text])[0] == pytest.approx(1 / (1 + np.exp(-np.clip(1.5 * margin - 0.1, -30, 30))), rel=1e-9)
+
+
+def test_recurrent_prediction_equals_plain_loops():
+    p = langid.start(3, 1)
+    k = langid.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    texts = [b"the cat and the hat", b"x" * 70, "été".encode()]
+
+    def states(data, d):
+        h, out = np.zeros(k), {}
+        for t in range(langid.WIDTH) if d == "f" else range(langid.WIDTH - 1, -1, -1):
+            x, u = p[f"x{d}"][:, data[t]], p[f"u{d}"] @ h
+            r, z = sigmoid(x[:k] + u[:k]), sigmoid(x[k : 2 * k] + u[k : 2 * k])
+            m = np.tanh(x[2 * k :] + r * (u[2 * k :] + p[f"n{d}"][:, 0]))
+            h = m + z * (h - m)
+            out[t] = h
+        return out
+
+    got = langid.predict(["a", "b", "c"], p, texts)
+    for text, row in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for at in range(0, len(text), langid.WIDTH):
+            part = text[at : at + langid.WIDTH]
+            data = part + bytes(langid.WIDTH - len(part))
+            f, b = states(data, "f"), states(data, "b")
+            for t in range(len(part)):
+                z = p["v"] @ np.concatenate([f[t], b[t]]) + p["c"][:, 0]
+                total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row == pytest.approx(total / len(text), abs=1e-4)
 
 
 def test_rejected_documents(spark):
