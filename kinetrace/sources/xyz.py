@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 
 #: How columns are read; any other is a number.
 CONVERTERS = {"name": ("string", str), "type": ("string", str), "ID": ("long", int)}
@@ -45,17 +45,42 @@ def columns_of(text: str) -> list[str]:
     raise ValueError("an XYZ file has three columns of numbers, or a name and three")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 0, read in splits. Each split counts its own lines from where those before it end; a row per split is gathered for that."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = text.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(splits.select("path", "block", (before - F.col("first")).alias("shift")))
+    return text.join(F.broadcast(starts), ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
 def read_xyz(spark: SparkSession, path: str, columns: Sequence[str] | str = ("name", "x", "y", "z")) -> DataFrame:
-    """(path, frame, row, columns...) of one or more files. A file is one trajectory and is parsed by one task, as a frame's place follows from all before it; many files are read side by side. columns 'auto': by the first frame."""
-    ship(spark)
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    """(path, frame, row, columns...) of one or more files. columns 'auto': by the first frame.
+
+    A file whose frames all have the number of rows of its first, with nothing between them, is read in splits, as a line's place tells its frame. Any other is parsed by one task, since a frame's place then follows from all before it.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.where("line = 0 and value rlike '^\\\\s*[0-9]+\\\\s*$'").select("path", (F.trim("value").cast("long") + 2).alias("size"))
+    placed = lines.join(heads, "path").select("path", F.floor(F.col("line") / F.col("size")).cast("int").alias("frame"), F.pmod("line", "size").alias("k"), (F.col("size") - 2).cast("string").alias("n"), F.btrim("value", F.lit(" \t\r")).alias("value"))
+    blank = F.when((F.col("k") == 0) & (F.col("value") == ""), F.col("frame"))
+    odd = F.bool_or((F.col("k") == 0) & (F.col("value") != "") & (F.col("value") != F.col("n")))
+    regular = written(placed.groupBy("path").agg((~odd & (F.coalesce(F.min(blank), F.lit(1 << 30)) > F.max(F.when(F.col("value") != "", F.col("frame"))))).alias("ok")))
+    every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("where"), F.col("_metadata.file_path").alias("path"))
+    whole = [r[0] for r in every.join(regular.where("ok"), "path", "left_anti").select("where").collect()]  # names of irregular files
     if columns == "auto":
-        first = whole.select("value").first()
-        if first is None:
-            raise FileNotFoundError(path)
-        columns = columns_of(first["value"])
+        first = placed.join(regular.where("ok"), "path").where("frame = 0 and k = 2").select("n", "value").first()
+        sample = f"{first['n']}\n\n{first['value']}" if first else spark.read.text(whole, wholetext=True).first()["value"] if whole else ""
+        columns = columns_of(sample)
     names = list(columns)
-    schema = ["path string", "frame int", "row long", *(f"{c} {CONVERTERS.get(c, ('double', float))[0]}" for c in names)]
+    kinds = [CONVERTERS.get(c, ("double", float))[0] for c in names]
+    schema = ["path string", "frame int", "row long", *(f"{c} {t}" for c, t in zip(names, kinds, strict=True))]
+    body = placed.join(regular.where("ok"), "path").where("k >= 2").withColumn("p", F.split("value", "\\s+")).where((F.col("value") != "") & (F.size("p") >= len(names)))
+    out = body.select("path", "frame", (F.col("k") - 2).alias("row"), *[F.col("p")[k].cast(t).alias(c) for k, (c, t) in enumerate(zip(names, kinds, strict=True))])
+    return out.unionByName(_parsed(spark, whole, names, ", ".join(schema))) if whole else out
+
+
+def _parsed(spark: SparkSession, paths: list[str], names: list[str], schema: str) -> DataFrame:
+    ship(spark)
     kinds = [pa.string(), pa.int32(), pa.int64(), *(_FIXED[CONVERTERS.get(c, ("double", float))[0]] for c in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +98,8 @@ def read_xyz(spark: SparkSession, path: str, columns: Sequence[str] | str = ("na
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "frame", "row", *names])
 
-    return whole.mapInArrow(run, ", ".join(schema))
+    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return whole.mapInArrow(run, schema)
 
 
 def positions_of(rows: DataFrame) -> DataFrame:
