@@ -17,8 +17,14 @@ from ..operators.tracking import link_step
 from ..session import ship
 
 
+def recent(frames: list, kept: list, first: int) -> tuple[list, list]:
+    """What is kept of frames from `first` on."""
+    n = next((k for k, f in enumerate(frames) if f >= first), len(frames))
+    return frames[n:], kept[n:]
+
+
 def lens(lists: DataFrame, delay: int = 1) -> DataFrame:
-    """(particle_id, frame, value) of a stream of neighbour lists (particle_id long, frame int, nbrs array<long>): emitted for frame - delay when a frame arrives. State: the last `delay` lists."""
+    """(particle_id, frame, value) of a stream of neighbour lists (particle_id long, frame int, nbrs array<long>): emitted for frame - delay when a frame arrives, if that one came. State: the lists of the last `delay` frames."""
     ship(lists.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,13 +33,13 @@ def lens(lists: DataFrame, delay: int = 1) -> DataFrame:
         for f, nbrs in sorted(((int(f), [int(i) for i in n]) for pdf in parts for f, n in zip(pdf["frame"], pdf["nbrs"], strict=True)), key=lambda r: r[0]):
             if frames and f <= frames[-1]:
                 continue
-            frames.append(f)
-            kept.append(nbrs)
-            if len(frames) > delay:
+            frames, kept = recent(frames, kept, f - delay)
+            if frames and frames[0] == f - delay:
                 a, b = set(kept[0]), set(nbrs)
                 total = len(a) + len(b)
                 out.append((key[0], frames[0], (total - 2 * len(a & b)) / total if total else 0.0))
-                frames, kept = frames[1:], kept[1:]
+            frames.append(f)
+            kept.append(nbrs)
         state.update((frames, [list(k) for k in kept]))
         yield pd.DataFrame(out, columns=["particle_id", "frame", "value"])
 
@@ -54,19 +60,19 @@ def drift(vectors: DataFrame, delay: int = 1) -> DataFrame:
         for f, v in sorted(((int(f), [float(x) for x in v]) for pdf in parts for f, v in zip(pdf["frame"], pdf["vec"], strict=True)), key=lambda r: r[0]):
             if frames and f <= frames[-1]:
                 continue
+            frames, kept = recent(frames, kept, f - delay)
+            if frames and frames[0] == f - delay:
+                out.append((key[0], frames[0], distance(np.array(kept[0]), np.array(v))))
             frames.append(f)
             kept.append(v)
-            if len(frames) > delay:
-                out.append((key[0], frames[0], distance(np.array(kept[0]), np.array(v))))
-                frames, kept = frames[1:], kept[1:]
         state.update((frames, [list(k) for k in kept]))
         yield pd.DataFrame(out, columns=["particle_id", "frame", "value"])
 
     return vectors.groupBy("particle_id").applyInPandasWithState(step, "particle_id long, frame int, value double", "frames array<int>, kept array<array<double>>", "append", GroupStateTimeout.NoTimeout)
 
 
-def track(detections: DataFrame, search_range: float, memory: int = 1) -> DataFrame:
-    """(trajectory, frame, x, y, z, particle_id) of a stream of detections (trajectory long, frame int, x, y, z double). A frame must arrive whole. State: where the live tracks are, and when each was last seen."""
+def track(detections: DataFrame, search_range: float, memory: int = 1, adaptive_stop: float | None = None, adaptive_step: float | None = None, largest_group: int | None = None) -> DataFrame:
+    """(trajectory, frame, x, y, z, particle_id) of a stream of detections (trajectory long, frame int, x, y, z double). A frame must arrive whole. Groups of candidates of any size are solved, unless largest_group says from which size on the reach is shortened, which ends the stream where it falls under adaptive_stop. State: where the live tracks are, and when each was last seen."""
     ship(detections.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,7 +84,7 @@ def track(detections: DataFrame, search_range: float, memory: int = 1) -> DataFr
             alive = seen >= f - 1 - memory
             where, seen, ids = where[alive], seen[alive], ids[alive]
             xyz = new.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float)
-            linked = link_step(where, xyz, search_range, None, None)
+            linked = link_step(where, xyz, search_range, adaptive_stop, adaptive_step, largest_group)
             for j, p in enumerate(xyz):
                 if j in linked:
                     k = linked[j]

@@ -380,6 +380,35 @@ def test_xyz_is_read_in_splits(spark, tmp_path):
             spark.conf.set(k, x)
 
 
+def test_labelling(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from kinetrace.sources import labelling
+
+    where = []
+    ready = threading.Event()
+    server = threading.Thread(target=labelling.label_tool, args=(0, lambda at: (where.append(at), ready.set())), daemon=True)
+    server.start()
+    assert ready.wait(10)
+    assert b"<canvas" in urllib.request.urlopen(where[0]).read()
+    for bad in (urllib.request.Request(where[0] + "else"), urllib.request.Request(where[0] + "else", method="POST")):
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(bad)
+    urllib.request.urlopen(urllib.request.Request(where[0] + "stop", method="POST"))
+    server.join(10)
+    assert not server.is_alive()
+    box = {"cls": 1, "x1": 10.0, "y1": 20.0, "x2": 30.0, "y2": 60.0}
+    rows = [{"image_path": "a.png", "width": 100, "height": 200, "names": ["x", "y"], "boxes": [box]}, {"image_path": "b.png", "width": 100, "height": 200, "names": ["x", "y"], "boxes": []}]
+    (tmp_path / "labels.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    found = labelling.read_labels(spark, str(tmp_path / "labels.jsonl"))
+    assert [f.split()[0] for f in detections.DETECTIONS.split(", ")] == found.columns and tuple(found.first()) == ("a.png", 0, 1, 1.0, 10.0, 20.0, 30.0, 60.0)
+    assert detections.yolo_lines(found, 100.0, 200.0).first()["lines"] == "1 0.200000 0.200000 0.200000 0.200000"
+    assert labelling.label_names(spark, str(tmp_path / "labels.jsonl")) == {0: "x", 1: "y"}
+
+
 def test_large_groups_may_be_linked(spark):
     from kinetrace.operators import tracking
 
