@@ -14,7 +14,7 @@ from .operators import descriptors, onion, series, soap, tracking, vectors
 from .operators.labels import clean_population, scan_summary, state_populations, transitions, window_means
 from .operators.neighbors import neighbor_edges
 from .provenance import LOG
-from .sources import gro, tables, xyz
+from .sources import gro, tables, xtc, xyz
 
 
 #: Older spellings of datasets' names.
@@ -147,7 +147,7 @@ class OnionSmoothInsight(ClusterInsight):
 
 @dataclass(frozen=True)
 class Trajectory:
-    """Positions (frame, particle_id, name, type, x, y, z[, vx, vy, vz]) and the box: three lengths, a table (frame, lx, ly, lz), or None."""
+    """Positions (frame, particle_id, name, type, x, y, z[, vx, vy, vz]) and the box: three lengths, a table (frame, lx, ly, lz[, alpha, beta, gamma]), or None."""
 
     positions: DataFrame
     box: object = None
@@ -164,6 +164,12 @@ class Trajectory:
         positions, frames = gro.read_gro(spark, path)
         return cls(positions, frames, dt)
 
+    @classmethod
+    def from_xtc(cls, spark: SparkSession, path: str, topology: str, dt: float = 1.0) -> Trajectory:
+        """Coordinates and boxes of an XTC file, names and types of a GRO file's first frame."""
+        positions, frames = xtc.read_xtc(spark, path)
+        return cls(xtc.named(positions, gro.read_gro(spark, topology)[0]), frames, dt)
+
     @classmethod
     def from_table(cls, spark: SparkSession, path: str, start: int = 0, stop: int | None = None, step: int = 1, box=None) -> Trajectory:
         return cls(tables.read_trajectory(spark, path, start, stop, step), box)

@@ -380,6 +380,108 @@ def test_xyz_is_read_in_splits(spark, tmp_path):
             spark.conf.set(k, x)
 
 
+class Packer:
+    """Writes what the reader reads: bits, the highest first."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n - 1, -1, -1)]
+
+    def triple(self, abc, n, sizes):
+        value = (abc[0] * sizes[1] + abc[1]) * sizes[2] + abc[2]
+        while n > 0:
+            self.put(value & 255 if n >= 8 else value & ((1 << n) - 1), min(8, n))
+            value, n = value >> 8, n - 8
+
+    def bytes(self):
+        return np.packbits(np.array(self.bits, np.uint8)).tobytes()
+
+
+def packed_xtc(numbers, rung, step=1):
+    """A frame's packed part: runs of small distances wherever they fit, the rung going up and down."""
+    from kinetrace.sources.xtc import LADDER, LOWEST
+
+    low, high = numbers.min(0), numbers.max(0)
+    sizes = (high - low + 1).tolist()
+    wide, width = max(sizes) > 0xFFFFFF, (sizes[0] * sizes[1] * sizes[2]).bit_length()
+    out, at, last, first, turn = Packer(), 0, 0, rung, 0
+    while at < len(numbers):
+        half = LADDER[rung] // 2
+        fits = lambda d: ((d + half >= 0) & (d + half < LADDER[rung])).all()  # noqa: B023, E731
+        run, full = [], numbers[at]
+        if at + 1 < len(numbers) and fits(numbers[at] - numbers[at + 1]):
+            full, run, k = numbers[at + 1], [numbers[at] - numbers[at + 1]], at + 2
+            before = numbers[at]
+            while len(run) < 8 and k < len(numbers) and fits(numbers[k] - before):
+                run.append(numbers[k] - before)
+                before, k = numbers[k], k + 1
+        if wide:
+            for value, size in zip((full - low).tolist(), sizes):
+                out.put(value, size.bit_length())
+        else:
+            out.triple((full - low).tolist(), width, sizes)
+        turn += 1
+        move = (0, 1, 0, -1)[turn % 4] if LOWEST < rung < len(LADDER) - 2 else 0
+        if len(run) != last or move:
+            out.put(1, 1)
+            out.put(3 * len(run) + move + 1, 5)
+            last = len(run)
+        else:
+            out.put(0, 1)
+        for d in run:
+            out.triple((d + half).tolist(), rung, [LADDER[rung]] * 3)
+        at += max(1, len(run) + 1)
+        rung += move
+    return low.tolist(), high.tolist(), first, out.bytes()
+
+
+def xtc_bytes(coords, box, precision=1000.0, rung=20, magic=1995):
+    import struct
+
+    data = b""
+    for f, a in enumerate(coords):
+        n = len(a)
+        data += struct.pack(">iiif9f", magic, n, f * 10, f * 0.5, *np.asarray(box, float).ravel()) + struct.pack(">i", n)
+        if n <= 9:
+            data += struct.pack(f">{3 * n}f", *a.ravel())
+        else:
+            low, high, first, packed = packed_xtc(np.rint(a * precision).astype(np.int64), rung)
+            data += struct.pack(">f7i", precision, *low, *high, first) + struct.pack(">i" if magic == 1995 else ">q", len(packed)) + packed + bytes(-len(packed) % 4)
+    return data
+
+
+def test_xtc(spark, tmp_path):
+    from kinetrace.sources import xtc
+    from kinetrace.trajectory import Trajectory
+
+    rng = np.random.default_rng(0)
+    box = np.diag([3.0, 4.0, 5.0])
+    water = np.repeat(rng.uniform(0, 3, (40, 3)), 3, 0) + rng.normal(0, 0.05, (120, 3))  # neighbours stand close together
+    for coords, options in (([rng.uniform(0, 3, (7, 3)) for _ in range(4)], {}), ([water + 0.1 * k for k in range(3)], {}), ([water], {"rung": 30}), ([water * 9000], {"precision": 1000.0, "rung": 40}), ([water - 7], {"magic": 2023, "rung": 12})):
+        got = list(xtc.parse(xtc_bytes(coords, box, **options)))
+        assert [g[0] for g in got] == list(range(len(coords))) and [g[1] for g in got] == [10 * k for k in range(len(coords))]
+        for g, a in zip(got, coords, strict=True):
+            assert np.abs(g[4] - a).max() <= (1e-3 if len(a) > 9 else 1e-6 * 3) and (g[3] == box).all()
+    data = xtc_bytes([water], box)
+    for bad in (data[:-8], data[:30], b"nonsense" * 20):
+        with pytest.raises(ValueError):
+            list(xtc.parse(bad))
+    assert xtc.box_of(np.array([[1.0, 0, 0], [0.5, 3**0.5 / 2, 0], [0, 0, 2]])) == pytest.approx((10, 10, 20, 90, 90, 60))
+    (tmp_path / "t.xtc").write_bytes(xtc_bytes([water + 0.1 * k for k in range(3)], box))
+    atom = lambda k: f"{k // 3 + 1:5d}{'SOL':<5}{('OW', 'HW1', 'HW2')[k % 3]:>5}{k + 1:5d}" + "".join(f"{x:8.3f}" for x in water[k])
+    (tmp_path / "t.gro").write_text("\n".join(["a title", " 120", *map(atom, range(120)), "   3.00000   4.00000   5.00000"]) + "\n")
+    trj = Trajectory.from_xtc(spark, str(tmp_path / "t.xtc"), str(tmp_path / "t.gro"))
+    rows = trj.positions.toPandas().sort_values(["frame", "particle_id"])
+    assert len(rows) == 360 and rows["name"].tolist()[:3] == ["OW", "HW1", "HW2"]
+    assert np.abs(rows[["x", "y", "z"]].to_numpy().reshape(3, 120, 3)[1] - (water + 0.1) * 10).max() < 0.01
+    assert trj.get_coord_number(3.0)[1].dataset.count() == 360 and trj.box.count() == 3
+    (tmp_path / "s.gro").write_text("\n".join(["a title", "  2", atom(0), atom(1), "   3.0   4.0   5.0"]) + "\n")
+    with pytest.raises(ValueError):
+        Trajectory.from_xtc(spark, str(tmp_path / "t.xtc"), str(tmp_path / "s.gro"))
+
+
 def test_labelling(spark, tmp_path):
     import json
     import threading
