@@ -221,28 +221,37 @@ def two_nn(vectors: DataFrame, metric=None) -> float:
     return n / s if n and s else math.nan
 
 
-def two_nn_sums(vectors: DataFrame, metric=None) -> DataFrame:
-    """(frame, n, s): counts and sums of ln(d2 / d1) by frame; a frame's points are compared in blocks."""
+def two_nn_sums(vectors: DataFrame, metric=None, block: int = 4096) -> DataFrame:
+    """(frame, n, s): counts and sums of ln(d2 / d1) by frame. A frame of over `block` points is cut into blocks, and each block meets each in a task of theirs, so no frame is one task's; of a meeting only the two least distances of each point go on."""
     ship(vectors.sparkSession)
 
     def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)))
 
     def run(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("vec").combine_chunks())
-        n, s, step = 0, 0.0, max(1, 2_000_000 // max(1, x.size))
-        for k in range(0, len(x), step):
-            d = (metric or euclid)(x[k : k + step], x)
-            d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-            if d.shape[1] < 3:
-                continue
-            two = np.partition(d, 1, axis=1)[:, :2]
-            two = two[two[:, 0] > 0]
-            n, s = n + len(two), s + float(np.log(two[:, 1] / two[:, 0]).sum())
-        return pa.table({"frame": pa.array([table.column("frame")[0].as_py()], table.column("frame").type), "n": [n], "s": [s]})
+        asks = table.column("asks").to_numpy()
+        x, ids = _matrix(table.column("vec").combine_chunks()), table.column("id").to_numpy()
+        q, p, q_ids, p_ids = x[asks], x[~asks], ids[asks], ids[~asks]
+        out, step = np.full((len(q), 2), np.inf), max(1, 2_000_000 // max(1, p.size))
+        for k in range(0, len(q), step):
+            d = (metric or euclid)(q[k : k + step], p)
+            d[q_ids[k : k + step, None] == p_ids[None]] = np.inf
+            least = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1) if d.shape[1] > 1 else np.pad(d, ((0, 0), (0, 1)), constant_values=np.inf)
+            out[k : k + step] = least
+        frame = table.column("frame")
+        return pa.table({"frame": pa.array([frame[0].as_py()] * len(q), frame.type), "id": q_ids, "d1": out[:, 0], "d2": out[:, 1]})
 
     kind = vectors.schema["frame"].dataType.simpleString()
-    return vectors.select("frame", "vec").groupBy("frame").applyInArrow(run, f"frame {kind}, n long, s double")
+    groups = vectors.groupBy("frame").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+    rows = vectors.select("frame", "vec", F.monotonically_increasing_id().alias("id")).join(groups, "frame").withColumn("mine", F.pmod(F.xxhash64("id"), "groups").cast("int"))
+    every = F.sequence(F.lit(0), F.col("groups") - 1)
+    cells = F.concat(F.transform(every, lambda k: F.struct(F.col("mine").alias("i"), k.alias("j"), F.lit(True).alias("asks"))), F.transform(every, lambda k: F.struct(k.alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"))))
+    met = rows.select("frame", "vec", "id", F.explode(cells).alias("c")).select("frame", "vec", "id", "c.i", "c.j", "c.asks")
+    least = met.groupBy("frame", "i", "j").applyInArrow(run, f"frame {kind}, id long, d1 double, d2 double")
+    two = least.groupBy("frame", "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.array("d1", "d2")))), 1, 2).alias("d"))
+    some = two.select("frame", F.col("d")[0].alias("d1"), F.col("d")[1].alias("d2")).where("d1 > 0 and d2 < double('inf')")
+    sums = some.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln(F.col("d2") / F.col("d1"))).alias("s"))
+    return groups.select("frame").join(sums, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
 def extrema_of(x: np.ndarray, y: np.ndarray, kind: str = "max", prominence: float | None = None) -> np.ndarray:

@@ -94,6 +94,24 @@ def test_nearest_neighbours_with_copies_and_outliers(spark, norm):
         assert len(got) == len(a) and all(got[i] == pytest.approx(x, abs=1e-9) for i, x in enumerate(want))
 
 
+def test_two_nearest_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(3, 40, 5))
+    a[0, 1] = a[0, 0]
+    a[2, 2:] = a[2, 0]
+    df = spark.createDataFrame([(p, f, a[f, p].tolist()) for f in range(3) for p in range(40)] + [(0, 3, [1.0] * 5), (1, 3, [2.0] * 5)], "particle_id long, frame int, vec array<double>").repartition(5)
+    want = {3: (0, 0.0)}
+    for f in range(3):
+        d = np.sqrt(((a[f][:, None] - a[f][None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        two = np.sort(d, 1)[:, :2]
+        two = two[two[:, 0] > 0]
+        want[f] = (len(two), np.log(two[:, 1] / two[:, 0]).sum())
+    for block in (4096, 7):
+        got = {r["frame"]: (r["n"], r["s"]) for r in ts.two_nn_sums(df, block=block).collect()}
+        assert {f: n for f, (n, _) in got.items()} == {f: n for f, (n, _) in want.items()} and all(got[f][1] == pytest.approx(want[f][1]) for f in want)
+
+
 def test_gaussian_sample(spark):
     one = [r["x"] for r in info.gaussian_sample(spark, 50, 3).orderBy("id").collect()]
     assert one == np.random.default_rng(3).normal(size=50).tolist()
