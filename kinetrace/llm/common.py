@@ -46,12 +46,18 @@ def discard(*tables: DataFrame) -> None:
         remove_path(t.sparkSession, t.written_to)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now; it only learns of them when the driver collects its garbage. The driver's Python gives back what it no longer uses too."""
-    gc.collect()
+def give_back() -> None:
+    """Return to the system the memory that this Python process no longer uses."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
     if trim is not None:
         trim(0)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now; it only learns of them when the driver collects its garbage. The driver's Python gives back what it no longer uses too."""
+    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -72,9 +78,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package on the workers."""
+    """mapInArrow with the package on the workers, which are kept for later tasks: when a task ends its worker gives back what it used."""
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -144,15 +155,23 @@ class IdFilter:
 
     def passed(self, df: DataFrame) -> DataFrame:
         """The rows whose id may be among the ids; null ids are not."""
-        column, shared = self.column, self.shared
+        keep = self.keeper()
 
         def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield keep(batch)
+
+        return map_arrow(df, one, df.schema)
+
+    def keeper(self) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        """The same of a batch, for functions that run on the workers."""
+        column, shared = self.column, self.shared
+
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(batch.schema.get_field_index(column))
             at = _bit_of(ids.fill_null(0))
-            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
+            return batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~ids.is_null().to_numpy(zero_copy_only=False)))
 
-        return map_arrow(df, one, df.schema)
+        return keep
 
     def destroy(self) -> None:
         self.shared.destroy()

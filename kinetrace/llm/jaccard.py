@@ -184,12 +184,15 @@ def classes_of(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, classes, total: int) -> DataFrame:
-    """(token, doc_id, n, rest, head, head_n, head_rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it; head is the list's first document. total: about how many prefix shingles there are. Of equal sets in a batch only the one of the least doc_id is listed. A list of a very frequent shingle is not one task's: it is dealt by document, and kept whole."""
+def postings(docs: DataFrame, firsts: IdFilter, classes, total: int) -> DataFrame:
+    """(token, doc_id, n, rest, head, head_n, head_rest) of every prefix shingle, under the first order, that two documents or more have; rest is how many of the set's shingles stand at it or behind it; head is the list's first document. firsts: documents that may be the first of their set; others aren't listed. total: about how many prefix shingles there are. Of equal sets in a batch only the one of the least doc_id is listed. A list of a very frequent shingle is not one task's: it is dealt by document, and kept whole."""
     spark = docs.sparkSession
-    shards, hot = max(4 * partitions(spark), -(-total // PER_SHARD)), HOT_CLASS
+    shards, hot, keep = max(4 * partitions(spark), -(-total // PER_SHARD)), HOT_CLASS, firsts.keeper()
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = keep(batch)
+        if not batch.num_rows:
+            return
         distinct: dict[bytes, int] = {}
         for doc_id, text in sorted(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True), key=lambda r: r[0]):
             distinct.setdefault(shingles(text).tobytes(), doc_id)
@@ -233,7 +236,7 @@ def postings(docs: DataFrame, classes, total: int) -> DataFrame:
         if parts:
             yield lists_of(parts)
 
-    blocks = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
+    blocks = map_arrow(docs.select("doc_id", "text"), pack, "shard int, token binary, ids binary, ns binary, rest binary")
     return in_arrow(blocks.repartition(max(partitions(spark), shards // 8), "shard").sortWithinPartitions("shard"), lists, ", ".join(f"{c} long" for c in POSTED))
 
 
@@ -328,7 +331,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     firsts = IdFilter(equal.select(F.col("rep").alias("doc_id")))  # a copy that it lets pass costs work, no more
-    listed = materialize(postings(firsts.passed(docs.select("doc_id", "text")), classes, int(total)))
+    listed = materialize(postings(docs, firsts, classes, int(total)))
     classes.destroy()
     firsts.destroy()
     free_shuffles(spark)
