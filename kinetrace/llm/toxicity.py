@@ -159,6 +159,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
     starts, doc = changing(hot, lengths)
     lo, hi = np.searchsorted(hot, starts), np.searchsorted(hot, np.minimum(starts + SEGMENT, np.cumsum(lengths)[doc]))
     part = 1 / (grams * SEGMENT)
+    opens = np.searchsorted(doc, np.arange(len(lengths)))
 
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -167,8 +168,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0
     weight /= weight.sum()
     for step in range(1, epochs + 1):
         logit = sums((np.bincount(owner, (e @ (w[:, 1] - w[:, 0]))[buckets], len(part)) * part)[word_at], lo, hi)
-        lead = np.lexsort((-logit, doc))
-        lead = lead[np.append(True, np.diff(doc[lead]) > 0)]  # the deciding passage of each document
+        lead = np.flatnonzero(logit == np.maximum.reduceat(logit, opens)[doc])
+        lead = lead[np.append(True, np.diff(doc[lead]) > 0)]  # the deciding passage of each document, the first of equals
         at, n = runs(lo[lead], hi[lead])
         words = word_at[at]
         pick, m_ = runs(first[words], first[words + 1])
