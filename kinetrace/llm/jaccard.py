@@ -102,13 +102,17 @@ def signature_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x.reshape(-1, size).sum(0) - y.reshape(-1, size).sum(0)).sum())
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The documents that pairs (a, b) name, as often as they do."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
 def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (a, b, ...) that may link, a written table: signatures first (sets that link differ in a seventh of their sizes' sum at most, and signatures never differ by more than the sets), then, of what they let pass, the prefixes under the second and third order, which must meet."""
     names = pairs.columns
 
     def checked(rows: DataFrame, fields: tuple[str, ...], test) -> DataFrame:
-        ids = materialize(rows.select(F.col("a").alias("doc_id")).unionByName(rows.select(F.col("b").alias("doc_id"))).distinct())
-        near = IdFilter(ids)
+        near = IdFilter(ends_of(rows))
         known = near.passed(sets.where("fp is not null").select("doc_id", "fp", "n", *fields)).dropDuplicates(["doc_id", "fp"])
         side = lambda x: known.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *fields)])
 
@@ -118,7 +122,6 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         out = materialize(map_arrow(rows.join(side("a"), "a").join(side("b"), "b"), run, ", ".join(f"{k} {t}" for k, t in pairs.dtypes)).distinct())
         near.destroy()
-        discard(ids)
         return out
 
     pairs = materialize(pairs)
@@ -241,11 +244,10 @@ def postings(docs: DataFrame, firsts: IdFilter, classes, total: int) -> DataFram
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b), a written table. Texts of b go to their a, in parts of about HUB; a task holds the texts of one a at a time."""
+    """The linked ones of the pairs (a, b, a written table), a written table. Texts of b go to their a, in parts of about HUB; a task holds the texts of one a at a time."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
     salted = pairs.select("a", "b").join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    near = IdFilter(ids)
+    near = IdFilter(ends_of(pairs))
     texts = near.passed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "id")
     members = salted.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
     leaders = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -270,7 +272,6 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     out = materialize(in_arrow(met, run, "a long, b long").distinct())
     near.destroy()
-    discard(ids)
     return out
 
 
