@@ -187,7 +187,7 @@ def sample_entropy_of(x: np.ndarray, r: float, m: int = 2) -> float:
     def pairs(width: int) -> int:
         w = np.lib.stride_tricks.sliding_window_view(x, width)
         w = w[np.argsort(w[:, 0], kind="stable")]
-        to, total = np.searchsorted(w[:, 0], w[:, 0] + r, side="left"), 0
+        to, total = np.searchsorted(w[:, 0], w[:, 0] + r, side="right"), 0  # the sum may round to a value whose difference is under r
         for i in range(len(w) - 1):
             total += int((np.abs(w[i + 1 : to[i]] - w[i]).max(1, initial=0) < r).sum())
         return total

@@ -32,6 +32,14 @@ def test_sample_entropy():
         info.sample_entropy_of(np.arange(20.0) ** 2, 1e-9)
 
 
+def test_sample_entropy_counts_all_near_pairs():
+    """4.2 + 8 rounds to 12.2, yet 12.2 - 4.2 is under 8: such pairs count, as in the SQL."""
+    assert info.sample_entropy_of(np.array([4.2, 36.0, 23.5, 12.2, 33.36, 30.56, 12.0]), 8.0) == pytest.approx(math.log(2))
+    x = np.random.default_rng(3).integers(0, 3000, 500) / 100
+    pairs = [sum(int((np.abs(w[k + 1 :] - w[k]).max(1) < 8).sum()) for k in range(len(w) - 1)) for w in (np.lib.stride_tricks.sliding_window_view(x, n) for n in (3, 4))]
+    assert info.sample_entropy_of(x, 8.0) == pytest.approx(-math.log(pairs[1] / pairs[0]), abs=1e-12)
+
+
 def test_correlations(spark):
     np.random.seed(1234)
     series = from_array(spark, np.random.rand(100, 100))
