@@ -126,6 +126,7 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = materialize(pairs)
     signed = checked(pairs, ("sig",), lambda n, m, p, q: (100 + PERCENT) * signature_distance(p, q) <= (100 - PERCENT) * (n + m))
+    free_shuffles(sets.sparkSession)
     met = checked(signed, ("second", "third"), lambda n, m, p, q, r, s: share(p, n, q, m) and share(r, n, s, m))
     discard(pairs, signed)
     return met
@@ -179,11 +180,11 @@ def classes_of(parts: DataFrame) -> np.ndarray:
                 total[k] = total.get(k, 0) + unpacked(data)
         for k, a in total.items():
             rank = np.where(a < 128, a, np.minimum(127 + 8 * (np.log2(np.maximum(a, 1)) - 7), 255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(rank.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     out = np.zeros(1 << CELL_BITS, np.uint8)
     for k, data in in_arrow(parts.repartition(1 << (CELL_BITS - BLOCK_BITS), "block"), add, "block int, counts binary").collect():
-        out[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(data, np.uint8)
+        out[k << BLOCK_BITS : (k + 1) << BLOCK_BITS] = np.frombuffer(zstandard.decompress(data), np.uint8)
     return out
 
 
@@ -329,9 +330,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = materialize(set_digests(docs), "sketch")
     sets = first.where("not sketch").select("doc_id", "n", "fp", "sig", "second", "third")
     classes = spark.sparkContext.broadcast(classes_of(first.where("sketch").select("block", "counts")))
+    free_shuffles(spark)
     total = sets.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     equal = materialize(sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     firsts = IdFilter(equal.select(F.col("rep").alias("doc_id")))  # a copy that it lets pass costs work, no more
+    free_shuffles(spark)
     listed = materialize(postings(docs, firsts, classes, int(total)))
     classes.destroy()
     firsts.destroy()
@@ -349,6 +352,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     groups = components(links)
     named = materialize(listed.join(groups, F.col("doc_id") == F.col("node"), "left").select("token", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n", "rest"))
     discard(listed)
+    free_shuffles(spark)
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = near_enough(cross_pairs(named).join(tested, ["a", "b"], "left_anti"), sets)
     free_shuffles(spark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, in_arrow, map_arrow, materialize, spread, text_bytes, word_hashes
+from .common import discard, documents, free_shuffles, in_arrow, map_arrow, materialize, spread, text_bytes, word_hashes
 
 #: Raking: rounds over all marginals, in so many steps that are written.
 ROUNDS, STEPS = 12, 3
@@ -125,6 +125,7 @@ def cells_of(docs: DataFrame) -> DataFrame:
     discard(counts)
     out = materialize(with_topic(rows, learned_centres(rows)))
     discard(rows)
+    free_shuffles(docs.sparkSession)
     return out
 
 
@@ -157,6 +158,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         if (k + 1) % -(-rounds // steps) == 0 and k + 1 < rounds:  # a plan of all rounds would be long
             out = materialize(out)
             done.append(out)
+            free_shuffles(cells.sparkSession)
     out = materialize(out.drop(*[f"want_{m}" for m in targets]))
     discard(*done)
     return out

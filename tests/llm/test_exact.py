@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrace.llm import fm, jaccard, media, mixing, packing, quality, store, substring
 from kinetrace.llm.components import components
@@ -485,6 +486,17 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.calibrated(empty).count() == 0
 
 
+def test_sketch_reaches_the_driver_compressed(spark, monkeypatch):
+    texts = [" ".join(f"w{k * j % 997}" for j in range(1, 120)) for k in range(1, 40)]
+    parts = jaccard.set_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("sketch").select("block", "counts")
+    made, real = [], jaccard.in_arrow
+    monkeypatch.setattr(jaccard, "in_arrow", lambda *a: made.append(real(*a)) or made[-1])
+    classes = jaccard.classes_of(parts)
+    assert made[-1].agg(F.sum(F.octet_length("counts"))).first()[0] < 1 << 20
+    counts = np.bincount(np.concatenate([jaccard.cells(jaccard.shingles(t.encode())) for t in texts]), minlength=len(classes))
+    assert (classes == counts).all() and counts.max() < 128
+
+
 def brute_targets(tokens, power, budget):
     """By value: budget of all tokens by share ** power, values that fall short give all."""
     names, t = list(tokens), np.array(list(tokens.values()), float)
