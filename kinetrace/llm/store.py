@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,31 +28,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import path_exists, remove_at_exit, remove_path, shared_dir
-from .common import documents, in_arrow, map_arrow, mix64, partitions, spread, text_bytes
+from .common import documents, gathered, in_arrow, map_arrow, mix64, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
-WINDOW = 16
+WINDOW, BLOCK = 16, 1 << 15
 MEAN, LEAST, MOST = 256, 64, 1024
 END = 2
 #: Keys of chunks sent that a task remembers.
 REMEMBERED = 1 << 16
+#: Bytes of texts that are encoded at once, at least: words that they share are looked up once.
+GATHERED = 2 << 20
 
 
 def chunk_marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
-    """Ends that the rolling hash allows: where that of the last 16 ids is 0 modulo `mean`. Streams may stand one after another, as no chunk is shorter than the window."""
-    g = mix64(ids.astype(np.uint64) + np.uint64(1))
-    h = g.copy()
-    for k in range(1, min(WINDOW, len(ids))):
-        h[k:] += g[: len(g) - k] << np.uint64(k)
-    return np.flatnonzero(mix64(h) % np.uint64(mean) == 0) + 1
-
-
-def cut_points(marks: np.ndarray, start: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends that the rolling hash allows: where that of the last 16 ids is 0 modulo `mean`. Streams may stand one after another, as no chunk is shorter than the window. Blocks that fit a core's cache overlap by a window."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(ids), BLOCK):
+        first = max(0, at - WINDOW + 1)
+        h, k = mix64(ids[first : at + BLOCK].astype(np.uint64) + np.uint64(1)), 1
+        while k < WINDOW:  # sums over twice as many ids
+            h[k:] += h[:-k] << np.uint64(k)
+            k *= 2
+        out.append(np.flatnonzero(mix64(h[at - first :]) % np.uint64(mean) == 0) + at + 1)
+    return np.concatenate(out)
+
+
+def cut_points(marks: Sequence[int], start: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
     """Ends of the chunks of the stream from start to end: the next mark `least` ids on at least and `most` at most; the stream's end ends one too."""
     out, at = [], start
     while end - at > least:
-        k = np.searchsorted(marks, at + least)
-        at = min(int(marks[k]) if k < len(marks) else end, at + most, end)
+        k = bisect_left(marks, at + least)
+        at = min(marks[k] if k < len(marks) else end, at + most, end)
         out.append(at)
     return out if at == end else [*out, end]
 
@@ -96,16 +103,14 @@ def write_store(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches, GATHERED):
             if len(seen) > REMEMBERED:
                 seen = set()
             rows = []
             streams = encode(text_bytes(batch.column("text")))
             tail = np.array([] if end is None else [end], streams[0].dtype)
             joined = np.concatenate([x for s in streams for x in (s, tail)])
-            marks, data, size, to = chunk_marks(joined), joined.tobytes(), joined.itemsize, 0
+            marks, data, size, to = chunk_marks(joined).tolist(), joined.tobytes(), joined.itemsize, 0
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), streams, strict=True):
                 keys, rest, at, last = [], [], to, to + len(ids) + len(tail)
                 first = at

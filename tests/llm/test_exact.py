@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm import fm, jaccard, media, mixing, packing, quality, store, substring
+from kinetrace.llm import common, fm, jaccard, media, mixing, packing, quality, store, substring
 from kinetrace.llm.components import components
 from kinetrace.llm.encode import CachedEncoder, encoder, vocabulary
 
@@ -35,6 +37,30 @@ def test_encoder_equals_the_library(path, drops):
     assert all(list(g) == w.ids for g, w in zip(got, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
+@pytest.mark.parametrize(("path", "drops"), [(CLIP, True), (BYTE, False)])
+def test_encoder_tokenizes_a_piece_once_while_it_is_met(path, drops):
+    """A cache that is full goes on from the last one, so pieces of every text aren't tokenized again."""
+    e, calls = CachedEncoder(path, drops, max_units=50), []
+    library = e.tokenizer
+    e.tokenizer = SimpleNamespace(encode=library.encode, model=SimpleNamespace(tokenize=lambda text: (calls.append(text), library.model.tokenize(text))[1]))
+    texts = [" ".join(["common words, again", *(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{'xyz'[j]}" for j in range(3))]) for k in range(400)]
+    for k in range(0, 400, 10):
+        got = e.encode([t.encode() for t in texts[k : k + 10]])
+        assert [g.tolist() for g in got] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k : k + 10]]
+        assert len(e.cache) <= 2 * 50
+    assert len(calls) == len(set(calls)) > 1000
+
+
+def test_encoder_by_words():
+    """Words between white space of every kind, with signs, digits and capitals at their borders, give the library's ids."""
+    rng = np.random.default_rng(3)
+    parts = [chr(k) for k in [*range(128), *range(0xC0, 0x100)]] + ["the", "Don't", "we'LL", "É", "...", "<|", "12a"] * 9 + [" "] * 40
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(2000)] + ["", " ", "\n\t ", " a ", "x" * 5000]
+    e = CachedEncoder(CLIP, True, max_units=200)
+    got = [g for k in range(0, len(texts), 97) for g in e.encode([t.encode() for t in texts[k : k + 97]])]
+    assert all(g.dtype == "<u2" and g.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
+
+
 def area_mean(image, height, width):
     """Mean over each cell of a grid, pixel by pixel, with exact fractions."""
     from fractions import Fraction as Q
@@ -165,6 +191,23 @@ def test_store_is_verified(spark, docs, tmp_path):
         store.read_digests(store.open_store(spark, path))
 
 
+def test_chunk_marks_equal_the_plain_sum():
+    for n in (0, 1, 2, 15, 16, 17, 100, store.BLOCK, store.BLOCK + 1, 3 * store.BLOCK - 5):
+        ids = np.random.default_rng(n).integers(0, 50000, n).astype("<u2")
+        g = store.mix64(ids.astype(np.uint64) + np.uint64(1))
+        h = sum((np.concatenate([np.zeros(min(k, n), np.uint64), g[: max(n - k, 0)]]) << np.uint64(k) for k in range(16)), np.zeros(n, np.uint64))
+        for mean in (3, 256):
+            assert (store.chunk_marks(ids, mean) == np.flatnonzero(store.mix64(h) % np.uint64(mean) == 0) + 1).all()
+
+
+def test_gathered():
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n))], ["a"]) for k, n in ((0, 3), (3, 0), (3, 5), (8, 1), (9, 40), (49, 2))]
+    for size in (1, 60, 1 << 20):
+        got = list(common.gathered(iter(parts), size))
+        assert [x for b in got for x in b.column(0).to_pylist()] == list(range(51)) and all(b.nbytes >= size for b in got[:-1]) and all(b.num_rows for b in got)
+    assert list(common.gathered(iter(parts[1:2]), 1)) == []
+
+
 def test_chunks_and_merkle():
     ids = np.random.default_rng(0).integers(0, 50000, 5000).astype("<u2")
     ends = store.cut_points(store.chunk_marks(ids), 0, 5000)
