@@ -29,10 +29,14 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+#: How tables of our own are written where the shared folder is a local path: Hadoop's default starts a process that sets the mode of each file and of the checksum file beside it, and that process shares all of the JVM's memory until it runs its program. Other stores don't read these.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage in a way that survives lost executors. What nobody discards goes when the application ends."""
     path = shared_dir(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**PLAIN_FILES)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     remove_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,6 +65,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_executors(spark: SparkSession) -> None:
+    """Let the executors' JVMs give back what finished tasks left: a heap grows with each stage and shrinks only when all of it is collected. A task for each core, so that an idle cluster gives every executor some."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()  # a word from each
+
+
+def finished(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """A small result, written and read back, so that whoever reads it finds executors that hold nothing of the stages that made it. tables: what only the result read, deleted here."""
+    out = materialize(result)
+    discard(*tables)
+    free_shuffles(result.sparkSession)
+    free_executors(result.sparkSession)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

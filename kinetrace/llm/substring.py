@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free_shuffles, gram_hashes, in_arrow, map_arrow, materialize, partitions, spread, text_bytes, word_hashes
+from .common import discard, documents, finished, free_shuffles, gram_hashes, in_arrow, map_arrow, materialize, partitions, spread, text_bytes, word_hashes
 from .fm import FMIndex
 
 WINDOW, GRAM = 20, 6
@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     cut = map_arrow(keyed(docs).join(spans, ["doc_id", "th"]), one, "doc_id long, th long, gone long, kept string").dropDuplicates(["doc_id", "th"])
     none = hashlib.sha256(b"").hexdigest()
     out = marked.drop("anchors").join(cut, ["doc_id", "th"], "left")
-    return out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), none).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"))
+    out = out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), none).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"))
+    return finished(out, marked, spans)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

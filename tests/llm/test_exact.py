@@ -245,6 +245,32 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_own_tables_have_no_checksum_files(spark, docs):
+    """A checksum file beside each file, and a process for the mode of both, is what Hadoop's default makes."""
+    from pathlib import Path
+
+    made = common.materialize(docs.repartition(3))
+    names = [p.name for p in Path(made.written_to.removeprefix("file://")).rglob("*")]
+    assert sum(n.startswith("part-") for n in names) == 3 and not [n for n in names if n.endswith(".crc")]
+    assert made.count() == docs.count()
+
+
+@pytest.mark.parametrize("query", [substring.remove_repeats])
+def test_small_results_are_written(spark, docs, query):
+    """Whoever reads the result runs none of the stages that made it."""
+    got = query(docs)
+    assert got.inputFiles() and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_core_frees_its_executor(spark):
+    spark.sparkContext.setJobGroup("freed", "")
+    common.free_executors(spark)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("freed") for s in told.getJobInfo(j).stageIds]
+    assert [(s.numTasks, s.numFailedTasks) for s in stages] == [(spark.sparkContext.defaultParallelism, 0)]
+
+
 def test_packing_of_repeated_rows(spark):
     made = [(1, "a b")] * 7 + [(1, "c d e")] * 3 + [(None, "x")] * 5 + [(None, None), (2, ""), (2, ""), (3, "word " * 5000), (3, "word " * 5000)]
     got = packing.pack(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
