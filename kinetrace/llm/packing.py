@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialize, partitions, spread, text_bytes
+from .common import documents, finished, map_arrow, materialize, partitions, spread, text_bytes
 from .encode import encoder, vocabulary
 
 CAPACITY, UNIT, SHORT = 2048, 8, 128
@@ -225,7 +225,8 @@ def sequences(docs: DataFrame, encode: Callable[[list[bytes]], list[np.ndarray]]
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of the documents with their place, encoded by the byte-level vocabulary with end id 0."""
     path = path or vocabulary("byte_bpe_50k.json")
-    return place(materialize(pieces(spread(docs.select("doc_id", "text")), lambda texts: encoder(path, False).encode(texts), 0)))
+    found = materialize(pieces(spread(docs.select("doc_id", "text")), lambda texts: encoder(path, False).encode(texts), 0))
+    return finished(place(found), found)
 
 
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

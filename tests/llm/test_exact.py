@@ -255,7 +255,7 @@ def test_own_tables_have_no_checksum_files(spark, docs):
     assert made.count() == docs.count()
 
 
-@pytest.mark.parametrize("query", [substring.remove_repeats])
+@pytest.mark.parametrize("query", [packing.pack, substring.remove_repeats])
 def test_small_results_are_written(spark, docs, query):
     """Whoever reads the result runs none of the stages that made it."""
     got = query(docs)
